@@ -225,8 +225,11 @@ def snippet_index(i: str, size: str) -> str:
     return f"(o_orderkey * (2 * {i} + 3) + {i} * {i} + CAST(floor(o_orderkey / 7.0) AS BIGINT)) % {size}"
 
 
-def build_files(orders: DataFrame) -> DataFrame:
-    """Add the file columns to rows with ``o_orderkey`` and ``o_custkey``; narrow, also on a stream."""
+def build_files(orders: DataFrame, **carry: str) -> DataFrame:
+    """File rows from rows with ``o_orderkey`` and ``o_custkey``; narrow, also on a stream.
+
+    ``carry`` passes further input columns through: new name = old name.
+    """
     spark = orders.sparkSession
     bank = F.broadcast(spark.createDataFrame(
         list(SNIPPETS.items()), "snippet_language string, bank array<string>"))
@@ -237,7 +240,7 @@ def build_files(orders: DataFrame) -> DataFrame:
     body = F.expr(f"""array_join(transform(sequence(0, CAST({SNIPPET_COUNT} AS INT) - 1),
         i -> element_at(bank, CAST({snippet_index('i', 'size(bank)')} AS INT) + 1)), '\n')""")
     return named.join(bank, "snippet_language").select(
-        *FILE_FIELDS, detect_language(F.col("file_path")).alias("language"),
+        *FILE_FIELDS, *[F.col(old).alias(new) for new, old in carry.items()], detect_language(F.col("file_path")).alias("language"),
         F.concat(header, body).alias("code"))
 
 

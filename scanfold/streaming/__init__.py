@@ -1 +1,59 @@
+"""Structured Streaming: continuous scans, report upserts, delivery de-duplication."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from scanfold.catalog import Catalogue
+from scanfold.operators import rollup
+from scanfold.operators.scan import find_violations
+
+
+def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """New parquet files below a path, as a stream."""
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(path)
+
+
+def scan_stream(files: DataFrame, rules, out: str, checkpoint: str) -> StreamingQuery:
+    """Scan files as they arrive.  The batch plan as it is: stateless, narrow, append only."""
+    scanned = find_violations(files, rules, languages=Catalogue.builtin().languages())
+    return (scanned.writeStream.format("parquet").outputMode("append")
+            .option("path", out).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def report_stream(summaries: DataFrame, out: str, checkpoint: str, keys=("org", "repo", "pr_number")) -> StreamingQuery:
+    """Append every micro-batch's pull-request figures to a log, one folder per batch.
+
+    A replayed batch overwrites its own folder, so the log holds each batch
+    once.  ``latest_reports`` reads the newest row per pull request.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        newest = rollup.roll_up(batch, *keys, "scanned_at")
+        newest.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id:012d}")
+
+    return (summaries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def latest_reports(spark: SparkSession, out: str, keys=("org", "repo", "pr_number")) -> DataFrame:
+    """The report that replaced all earlier ones, per pull request."""
+    log = spark.read.parquet(f"{out}/batch=*")
+    rest = [c for c in log.columns if c not in keys]
+    best = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("scanned_at", "batch_id")).alias("_r"))
+    return best.select(*keys, "_r.*").drop("batch_id")
+
+
+def deduplicated_deliveries(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Drop repeated deliveries of one event.
+
+    State is keyed by delivery id, so a busy repository does not gather on one
+    task, and the watermark bounds how long an id is remembered.
+    """
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))    # watermarks need an instant
+    return timed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["delivery_id"])
