@@ -47,6 +47,16 @@ def rows_of(columns, rows):
     return [columns[i] for i in order], sorted(tuple(_norm(r[i]) for i in order) for r in rows)
 
 
+def _kinds(dtypes):
+    names = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN",
+             "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP"}
+    return [names.get(t, t) for _, t in sorted(dtypes)]
+
+
+def _duck_kinds(description):
+    return [str(d[1]).upper() for d in sorted(description, key=lambda d: d[0])]
+
+
 def compare(spark, con, key: str, sf_dir: str, queries, oracles):
     """(ok, message) for one key."""
     start = time.time()
@@ -62,6 +72,9 @@ def compare(spark, con, key: str, sf_dir: str, queries, oracles):
     text = f"{len(got)} rows, spark {spent:.1f}s, sql {time.time() - start:.1f}s"
     if got_columns != want_columns:
         return False, f"columns differ: {got_columns} / {want_columns}"
+    loose = {c for c, t, w in zip(got_columns, _kinds(df.dtypes), _duck_kinds(cur.description)) if t != w}
+    if loose:
+        text += f" (types differ: {sorted(loose)})"
     if got != want:
         extra, missing = sorted(set(got) - set(want))[:2], sorted(set(want) - set(got))[:2]
         return False, f"{text}; expected {len(want)}\n   only spark: {extra}\n   only sql:   {missing}"
