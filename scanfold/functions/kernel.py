@@ -226,7 +226,7 @@ def _fill(template: Column, detail: Column) -> Column:
     return F.replace(template, F.lit("{detail}"), F.coalesce(detail, F.lit("")))
 
 
-def pattern_hits(code: Column, language: Column, marks: Column, ascii_text: Column, p: Column,
+def pattern_hits(code: Column, lines: Column, language: Column, marks: Column, ascii_text: Column, p: Column,
                  checks: set[str]) -> Column:
     """Every kept hit of pattern ``p``; ``checks`` limits the expression to the checks in use."""
     regex = F.when(ascii_text, p["jvm_ascii"]).otherwise(p["jvm"])
@@ -234,7 +234,7 @@ def pattern_hits(code: Column, language: Column, marks: Column, ascii_text: Colu
 
     none = F.lit(None).cast("string")
 
-    def kept(j: Column, lines: Column, extra: Column) -> Column:
+    def kept(j: Column, extra: Column) -> Column:
         span, i = j["span"], j["match_ord"]
         line = F.element_at(lines, span["first"])
         return _by_check(p, {c: f for c, f in {
@@ -252,7 +252,7 @@ def pattern_hits(code: Column, language: Column, marks: Column, ascii_text: Colu
             model.BODY: lambda: unhandled_body(F.element_at(extra, 2 * i + 1)),
         }.items() if c in checks})
 
-    def detail_of(j: Column, lines: Column, extra: Column) -> Column:
+    def detail_of(j: Column, extra: Column) -> Column:
         span, i = j["span"], j["match_ord"]
 
         def first_word():
@@ -268,7 +268,7 @@ def pattern_hits(code: Column, language: Column, marks: Column, ascii_text: Colu
                 F.nullif(F.element_at(extra, 2 * i + 2), F.lit("")), p["default_detail"]),
         }.items() if c in checks}, none)
 
-    def hit(j: Column, detail: Column, lines: Column) -> Column:
+    def hit(j: Column, detail: Column) -> Column:
         first, last = j["span"]["first"], _last(j["span"], p)
         count = F.when(p["snippet_span"], last - first + 1 + p["snippet_extra"]).otherwise(1)
         return F.struct(
@@ -297,11 +297,10 @@ def pattern_hits(code: Column, language: Column, marks: Column, ascii_text: Colu
 
     def found(marked: Column) -> Column:
         spans = match_spans(F.split(marked, marks["open"]), marks["close"])
-        parts = F.struct(lines_of(code).alias("lines"), extras(marked).alias("extra"))
         numbered = F.transform(spans, lambda s, i: F.struct(s.alias("span"), i.cast("int").alias("match_ord")))
-        return let(parts, lambda t: F.transform(
-            F.filter(numbered, lambda j: kept(j, t["lines"], t["extra"])),
-            lambda j: let(detail_of(j, t["lines"], t["extra"]), lambda d: hit(j, d, t["lines"]))))
+        return let(extras(marked), lambda extra: F.transform(
+            F.filter(numbered, lambda j: kept(j, extra)),
+            lambda j: let(detail_of(j, extra), lambda d: hit(j, d))))
 
     return let(bracket(code, regex, marks), lambda marked: F.when(
         F.contains(marked, marks["open"]), found(marked)).otherwise(empty))

@@ -37,7 +37,8 @@ def violations(parsed: DataFrame) -> DataFrame:
     running number of a file and category needs no window.
     """
     category = F.upper("category")
-    rows = parsed.select("file_id", "file_path", "category", F.posexplode("findings").alias("pos", "v"))
+    rows = parsed.select("file_id", "file_path", "category", F.posexplode_outer("findings").alias("pos", "v")).filter(
+        F.col("pos").isNotNull())
     severity = F.lower(F.col("v.severity"))
     return rows.select(
         "file_id", "file_path", "category",

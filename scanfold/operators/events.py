@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanfold.functions.paths import is_supported
+from scanfold.operators.config import resolve
 
 # --- Fixed values: handled actions and branches ------------------------------
 PR_ACTIONS = ("opened", "synchronize")
@@ -52,7 +53,7 @@ def changed_files(pushes: DataFrame) -> DataFrame:
     paths = F.array_distinct(F.flatten(F.transform(
         "commits", lambda c: F.concat(F.coalesce(c["added"], F.array().cast("array<string>")),
                                       F.coalesce(c["modified"], F.array().cast("array<string>"))))))
-    rows = pushes.select("event_id", "org", "repo", "commit_sha", F.explode(paths).alias("file_path"))
+    rows = pushes.select("event_id", "org", "repo", "commit_sha", F.explode_outer(paths).alias("file_path"))
     return rows.filter(is_supported(F.col("file_path")))
 
 
@@ -95,15 +96,14 @@ def on_added_lines(violations: DataFrame) -> DataFrame:
 def override_events(comments: DataFrame, configs: DataFrame, command: str) -> DataFrame:
     """Override commands in comments, with whether their author may override.
 
-    ``configs`` is the resolved configuration per (org, repo).
+    The configuration is resolved for the comments that hold a command only.
     """
     word = command.lstrip("/").replace(" ", r"\s+")
     pattern = rf"(?i)/{word}(?:\s+(.+))?"
     commands = comments.filter(F.col("body").rlike(pattern)).withColumn(
         "justification", F.nullif(F.trim(F.regexp_extract("body", pattern, 1)), F.lit("")))
-    joined = commands.join(configs.select("org", "repo", "override_allowed", "override_approvers"),
-                           ["org", "repo"], "left")
-    allowed = F.coalesce("override_allowed", F.lit(True)) & (
-        (F.size(F.coalesce("override_approvers", F.array().cast("array<string>"))) == 0)
-        | F.array_contains("override_approvers", F.col("author")))
-    return joined.withColumn("can_override", allowed).drop("override_allowed", "override_approvers")
+    joined = resolve(commands, configs.select("org", "repo", "override_allowed", "override_approvers"))
+    allowed = F.col("override_allowed") & (
+        (F.size("override_approvers") == 0) | F.array_contains("override_approvers", F.col("author")))
+    return joined.withColumn("can_override", allowed).drop(
+        "override_allowed", "override_approvers", "config_level")

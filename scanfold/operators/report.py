@@ -102,10 +102,13 @@ def markdown_blocks(summaries: DataFrame, violations: DataFrame, *keys: str) ->
         "## Security & Compliance Report\n\n### Summary\n\n| Severity | Count |\n|----------|-------|\n",
         *[x for s in MARKS for x in (f"| {MARKS[s]} {s.capitalize()} | ", F.col(s), " |\n")])
     action = F.create_map(*[F.lit(x) for pair in ACTION_TEXT.items() for x in pair])[F.col("enforcement_action")]
-    head = summaries.select(*keys, F.lit(0).alias("section"), F.lit("").alias("position"),
-                            F.concat(table, F.lit("\n**Enforcement Action:** "), action, F.lit("\n")).alias("block"))
     titles = {1: "Critical Issues", 2: "High Issues", 3: "Medium Issues"}
-    headings = None
+
+    def block(section: int, text: Column, shown: Column | None = None) -> Column:
+        made = F.struct(F.lit(section).alias("section"), text.alias("block"))
+        return made if shown is None else F.when(shown, made)
+
+    blocks = [block(0, F.concat(table, F.lit("\n**Enforcement Action:** "), action, F.lit("\n")))]
     for rank, severity in enumerate(MARKS, start=1):
         count = F.col(severity)
         if rank <= 3:
@@ -113,27 +116,21 @@ def markdown_blocks(summaries: DataFrame, violations: DataFrame, *keys: str) ->
         else:
             name = "Low Issues" if severity == "low" else "Info"
             text = _text(f"<details><summary>{MARKS[severity]} {name} (", count, ")</summary>\n")
-        rows = summaries.filter(count > 0).select(
-            *keys, F.lit(rank * 10).alias("section"), F.lit("").alias("position"), text.alias("block"))
-        headings = rows if headings is None else headings.unionByName(rows)
-    folded_from = summaries.filter(F.col("medium") > OPEN_MEDIUM).select(
-        *keys, F.lit(32).alias("section"), F.lit("").alias("position"),
-        _text("<details><summary>Show ", F.col("medium") - OPEN_MEDIUM, " more medium issues</summary>\n")
-        .alias("block"))
-    closings = None
-    for rank, severity, many in ((3, "medium", OPEN_MEDIUM), (4, "low", 0), (5, "info", 0)):
-        rows = summaries.filter(F.col(severity) > many).select(
-            *keys, F.lit(rank * 10 + 4).alias("section"), F.lit("").alias("position"),
-            F.lit("</details>\n").alias("block"))
-        closings = rows if closings is None else closings.unionByName(rows)
-    todo = F.concat(
+        blocks.append(block(rank * 10, text, count > 0))
+        folded_after = {"medium": OPEN_MEDIUM, "low": 0, "info": 0}.get(severity)
+        if folded_after is not None:
+            blocks.append(block(rank * 10 + 4, F.lit("</details>\n"), count > folded_after))
+    blocks.append(block(32, _text("<details><summary>Show ", F.col("medium") - OPEN_MEDIUM,
+                                  " more medium issues</summary>\n"), F.col("medium") > OPEN_MEDIUM))
+    blocks.append(block(90, F.concat(
         F.lit("### Actions\n\n"),
         F.when((F.col("critical") > 0) | (F.col("high") > 0),
                F.lit("- [ ] Fix critical and high severity issues before merge\n")).otherwise(""),
         F.when(F.col("medium") > 0, F.lit("- [ ] Review medium severity issues\n")).otherwise(""),
         F.when((F.col("enforcement_action") == "block") & F.col("override_allowed"),
-               F.lit("\n**Override:** comment the override command with a justification.\n")).otherwise(""))
-    foot = summaries.select(*keys, F.lit(90).alias("section"), F.lit("").alias("position"), todo.alias("block"))
+               F.lit("\n**Override:** comment the override command with a justification.\n")).otherwise(""))))
+    frame = summaries.select(*keys, F.inline(F.array_compact(F.array(*blocks)))).select(
+        *keys, "section", F.lit("").alias("position"), "block")
     rank = severity_rank(F.col("severity"))
     place = F.concat_ws("|", "file_path", F.format_string("%09d", "line_start"), F.format_string("%09d", "line_end"),
                         "rule_id")
@@ -141,5 +138,4 @@ def markdown_blocks(summaries: DataFrame, violations: DataFrame, *keys: str) ->
     section = rank * 10 + F.when((F.col("severity") == "medium") & (F.col("tier") == "folded"), 3).otherwise(1)
     body = violations.select(*keys, section.cast("int").alias("section"), place.alias("position"),
                              violation_block().alias("block"))
-    return (head.unionByName(headings).unionByName(folded_from).unionByName(body)
-            .unionByName(closings).unionByName(foot))
+    return frame.unionByName(body)

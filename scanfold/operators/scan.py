@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from scanfold.catalog import ANY, Catalogue, Rule
 from scanfold.catalog.frames import language_patterns, pattern_records
 from scanfold.functions import kernel
+from scanfold.functions.text import lines_of
 
 FILE_COLUMNS = ("file_id", "org", "repo", "pr_number", "commit_sha", "author", "file_path", "language")
 
@@ -46,6 +47,7 @@ def find_violations(files: DataFrame, rules: list[Rule], *, languages: list[str]
         kernel.folds_oddly(F.col("code")).alias("_odd"),
         kernel.markers(F.col("code")).alias("_marks"),
         kernel.is_ascii(F.col("code")).alias("_ascii"),
+        lines_of(F.col("code")).alias("_lines"),
         lang.alias("_lang"),
     )
     joined = prepared.join(language_patterns(spark, rules, languages), "scan_language", "left")
@@ -67,7 +69,7 @@ def find_violations(files: DataFrame, rules: list[Rule], *, languages: list[str]
         return gate
 
     hits = F.flatten(F.transform(F.filter(patterns, runs), lambda p: kernel.pattern_hits(
-        F.col("code"), F.col("_lang"), F.col("_marks"), F.col("_ascii"), p, checks)))
+        F.col("code"), F.col("_lines"), F.col("_lang"), F.col("_marks"), F.col("_ascii"), p, checks)))
     columns = [c for c in FILE_COLUMNS if c in files.columns] + [c for c in keep if c not in FILE_COLUMNS]
     ordered = kernel.sorted_hits(hits)
     if dedupe == "rule":
@@ -82,7 +84,9 @@ def find_violations(files: DataFrame, rules: list[Rule], *, languages: list[str]
 def explode_violations(scanned: DataFrame) -> DataFrame:
     """One row per violation; ``violation_id`` is a function of its content, so reruns agree."""
     columns = [c for c in scanned.columns if c != "violations"]
-    rows = scanned.select(*columns, F.inline("violations"))
+    # Outer plus a filter: for the inner form the optimizer adds a size check on the
+    # array, pushes it below, and the whole scan expression is evaluated twice.
+    rows = scanned.select(*columns, F.inline_outer("violations")).filter(F.col("rule_id").isNotNull())
     return rows.withColumn("violation_id", F.sha2(F.concat_ws(
         "|", F.col("file_id").cast("string"), "rule_id", F.col("line_start").cast("string"),
         F.col("line_end").cast("string")), 256))

@@ -59,7 +59,8 @@ def similar_sources(files: DataFrame, sources: DataFrame, threshold: float = DEF
     index = ranked.select("group_id", F.explode(
         F.slice("ordered", F.lit(1), size - _needed(size, threshold) + 1)).alias("shingle"))
 
-    candidates = (files.select("file_id", F.explode("f_set").alias("shingle")).join(index, "shingle")
+    # Outer explode: the inner form would evaluate the shingles a second time for its size check.
+    candidates = (files.select("file_id", F.explode_outer("f_set").alias("shingle")).join(index, "shingle")
                   .select("file_id", "group_id").distinct())
     counted = (candidates.join(files, "file_id").join(ranked, "group_id")
                .withColumn("shared", F.size(F.array_intersect("f_set", "ordered")))

@@ -15,7 +15,7 @@ from scanfold.operators.scan import explode_violations, find_violations, scan
 from scanfold.operators.similarity import similar_sources
 from scanfold.sources import derived, sinks
 from scanfold.sources.corpus import build_files, code_files, document_files
-from scanfold.sources.tables import shared_folder, spread, table
+from scanfold.sources.tables import shared_folder, staged, table
 from scanfold import streaming
 
 CATALOGUE = Catalogue.builtin()
@@ -119,15 +119,13 @@ def rules_selected(spark, sf):
 def scan_pack(spark, sf):
     """Each file scanned with the packs of its repository's configuration."""
     chosen = select.selected_rule_ids(CATALOGUE, F.col("enabled_rule_packs"), F.col("custom_rules"))
-    configs = _resolved(spark, sf).select("org", "repo", chosen.alias("rule_ids"))
-    files = code_files(spark, sf).join(configs, ["org", "repo"])
+    files = config.resolve(code_files(spark, sf), derived.configurations(spark, sf)).withColumn("rule_ids", chosen)
     return explode_violations(find_violations(
         files, CATALOGUE.list_rules(), languages=CATALOGUE.languages(), selected="rule_ids")).select(*SHORT)
 
 
 def path_scope_filter(spark, sf):
-    files = derived_files(spark, sf).join(
-        _resolved(spark, sf).select("org", "repo", "include_patterns", "exclude_patterns"), ["org", "repo"])
+    files = config.resolve(derived_files(spark, sf), derived.configurations(spark, sf))
     return files.select("file_id", "file_path", config.in_scope(
         F.col("file_path"), F.col("include_patterns"), F.col("exclude_patterns")).alias("in_scope"))
 
@@ -173,8 +171,8 @@ def _marked(spark, sf):
 
 def regex_finditer(spark, sf):
     found = kernel.finditer(F.col("code"), F.lit(to_jvm(CALL_RE)), F.col("marks"))
-    return _marked(spark, sf).select("file_id", F.inline(found)).select(
-        "file_id", F.col("start").cast("bigint").alias("start_at"), F.col("end").cast("bigint").alias("end_at"), "match")
+    return _marked(spark, sf).select("file_id", F.inline_outer(found)).select(
+        "file_id", F.col("start").cast("bigint").alias("start_at"), F.col("end").cast("bigint").alias("end_at"), "match").filter(F.col("start_at").isNotNull())
 
 
 def _spans(spark, sf, regex):
@@ -184,20 +182,22 @@ def _spans(spark, sf, regex):
 
 
 def line_numbers(spark, sf):
-    return _spans(spark, sf, BLOCK_RE).select("file_id", F.posexplode("spans").alias("n", "s")).select(
+    return _spans(spark, sf, BLOCK_RE).select("file_id", F.posexplode_outer("spans").alias("n", "s")).filter(F.col("n").isNotNull()).select(
         "file_id", "n", F.col("s.first").alias("line_start"), F.col("s.last").alias("line_end"))
 
 
 def snippets(spark, sf):
     cut = let(lines_of(F.col("code")), lambda lines: F.transform("spans", lambda s: strip(
         line_range(lines, s["first"], s["last"]))))
-    return _spans(spark, sf, BLOCK_RE).select("file_id", F.posexplode(cut).alias("n", "snippet"))
+    return _spans(spark, sf, BLOCK_RE).select("file_id", F.posexplode_outer(cut).alias("n", "snippet")).filter(
+        F.col("n").isNotNull())
 
 
 def context_window(spark, sf):
     cut = let(lines_of(F.col("code")), lambda lines: F.transform("spans", lambda s: line_range(
         lines, s["first"] - 2, s["first"] + 3)))
-    return _spans(spark, sf, RETURN_RE).select("file_id", F.posexplode(cut).alias("n", "context"))
+    return _spans(spark, sf, RETURN_RE).select("file_id", F.posexplode_outer(cut).alias("n", "context")).filter(
+        F.col("n").isNotNull())
 
 
 def comment_skip(spark, sf):
@@ -212,7 +212,7 @@ def comment_skip(spark, sf):
 def brace_body(spark, sf):
     marked = kernel.bracket(F.col("code"), F.lit(to_jvm(OPEN_RE)), F.col("marks"))
     bodies = kernel.brace_bodies(marked, F.col("marks"))
-    return _marked(spark, sf).select("file_id", F.posexplode(bodies).alias("n", "body")).select(
+    return _marked(spark, sf).select("file_id", F.posexplode_outer(bodies).alias("n", "body")).filter(F.col("n").isNotNull()).select(
         "file_id", "n", F.length("body").cast("bigint").alias("body_chars"), F.md5("body").alias("body_md5"))
 
 
@@ -270,11 +270,8 @@ def license_name(spark, sf):
 
 
 def _judged(spark, sf):
-    files = _detected(spark, sf)
-    repos = _license_files(spark, sf).select("org", "repo").distinct()
-    policy = config.resolve(repos, derived.configurations(spark, sf)).select(
-        "org", "repo", "allowed_licenses", "blocked_licenses")
-    return files.join(policy, ["org", "repo"]).withColumn("license_status", license.policy_status(
+    policies = derived.configurations(spark, sf).select("org", "repo", "allowed_licenses", "blocked_licenses")
+    return config.resolve(_detected(spark, sf), policies).withColumn("license_status", license.policy_status(
         F.col("license_id"), F.col("allowed_licenses"), F.col("blocked_licenses")))
 
 
@@ -321,10 +318,12 @@ def _core_scan(spark, sf) -> DataFrame:
 
 def _enforced(spark, sf) -> DataFrame:
     """Counters and enforcement action per file, under the repository's mode; no violations column."""
-    counted = _core_scan(spark, sf).drop("violations")
-    modes = _resolved(spark, sf).select("org", "repo", "enforcement_mode", "override_allowed")
-    joined = counted.join(modes, ["org", "repo"])
-    return joined.withColumn("enforcement_action", rollup.enforcement(
+    return _with_action(_core_scan(spark, sf).drop("violations"), spark, sf)
+
+
+def _with_action(counted: DataFrame, spark, sf) -> DataFrame:
+    modes = derived.configurations(spark, sf).select("org", "repo", "enforcement_mode", "override_allowed")
+    return config.resolve(counted, modes).withColumn("enforcement_action", rollup.enforcement(
         F.col("enforcement_mode"), F.col("total_issues"), F.col("critical"), F.col("high")))
 
 
@@ -348,8 +347,7 @@ def cascade_delete(spark, sf):
 
 def override_events(spark, sf):
     comments = derived.frame(spark, sf, derived.COMMENTS)
-    configs = config.resolve(comments.select("org", "repo").distinct(), derived.configurations(spark, sf))
-    return events.override_events(comments, configs, derived.OVERRIDE_COMMAND).select(
+    return events.override_events(comments, derived.configurations(spark, sf), derived.OVERRIDE_COMMAND).select(
         "comment_id", "author", "justification", "can_override")
 
 
@@ -450,10 +448,11 @@ def pr_rollup(spark, sf):
 
 
 def commit_status(spark, sf):
-    per_file = _enforced(spark, sf)
-    prs = rollup.pr_status(_rolled(spark, sf)).select(
+    """Pull-request states, and repository states rolled up from them."""
+    per_pr = staged(_rolled(spark, sf))
+    prs = rollup.pr_status(per_pr).select(
         F.lit("pull_request").alias("kind"), "org", "repo", "pr_number", "state", "description")
-    pushes = rollup.push_status(rollup.roll_up(per_file, "org", "repo", "enforcement_mode")).select(
+    pushes = rollup.push_status(rollup.roll_up(per_pr, "org", "repo", "enforcement_mode")).select(
         F.lit("push").alias("kind"), "org", "repo", F.lit(0).alias("pr_number"), "state", "description")
     return prs.unionByName(pushes)
 
@@ -473,8 +472,8 @@ def quality_score(spark, sf):
 
 
 def report_tiers(spark, sf):
-    rows = explode_violations(_core_scan(spark, sf).select(
-        "file_id", "org", "repo", "pr_number", "file_path", "violations"))
+    scanned = staged(_core_scan(spark, sf))
+    rows = explode_violations(scanned.select("file_id", "org", "repo", "pr_number", "file_path", "violations"))
     return report.tiers(rows, "org", "repo", "pr_number").select(*SHORT, "tier")
 
 
@@ -485,10 +484,12 @@ def severity_sorted(spark, sf):
 
 def report_markdown(spark, sf):
     keys = ("org", "repo", "pr_number")
-    scanned = _core_scan(spark, sf)
+    scanned = staged(_core_scan(spark, sf))
     rows = explode_violations(scanned.select("file_id", *keys, "file_path", "language", "violations"))
     tagged = report.with_fixes(report.tiers(rows, *keys))
-    return report.markdown_blocks(_rolled(spark, sf), tagged, *keys)
+    acted = _with_action(scanned.drop("violations"), spark, sf)
+    summaries = rollup.roll_up(acted, *keys, "override_allowed")
+    return report.markdown_blocks(summaries, tagged, *keys)
 
 
 def ai_parse(spark, sf):

@@ -34,3 +34,14 @@ def shared_folder(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="scanfold-")
     return os.path.join(base, f"run-{uuid.uuid4().hex}")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write a result that several branches need, and go on from the written table.
+
+    Cuts the lineage at a place executors share: later jobs re-read files
+    instead of repeating the scan, also after a lost executor.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
