@@ -13,6 +13,7 @@ cannot have one.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from re import _constants as _op
 from re import _parser
 
@@ -23,6 +24,7 @@ _EXTRA_SPACE = r"\x1c-\x1f"
 FOLDING_CHARS = ("ſ", "İ", "ı", "K")
 
 
+@lru_cache(maxsize=4096)
 def to_jvm(regex: str, flags: str = "", ascii_only: bool = False) -> str:
     """JVM spelling.  ``ascii_only`` gives the cheaper spelling for texts known to be ASCII."""
     out, in_class, i = [], False, 0
@@ -103,10 +105,15 @@ def _gate_of(items) -> tuple[str, ...]:
     return best
 
 
+@lru_cache(maxsize=4096)
+def _literal_gate(regex: str) -> tuple[str, ...]:
+    gate = _gate_of(_parser.parse(regex))
+    return gate if all(g.isascii() for g in gate) else ()
+
+
 def literal_gate(regex: str) -> list[str]:
     """Lower-case literals, one of which occurs in every match; [] if none is certain."""
-    gate = _gate_of(_parser.parse(regex))
-    return [g for g in gate] if all(g.isascii() for g in gate) else []
+    return list(_literal_gate(regex))
 
 
 def pattern_error(regex: str | None) -> str | None:

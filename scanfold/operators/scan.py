@@ -52,6 +52,19 @@ def find_violations(files: DataFrame, rules: list[Rule], *, languages: list[str]
     )
     joined = prepared.join(language_patterns(spark, rules, languages), "scan_language", "left")
 
+    columns = [c for c in FILE_COLUMNS if c in files.columns] + [c for c in keep if c not in FILE_COLUMNS]
+    shape = (spark.sparkContext.applicationId, frozenset(checks), skipping, selected, extra_patterns, dedupe)
+    if shape not in _EXPRESSIONS:
+        _EXPRESSIONS[shape] = _violations_column(checks, skipping, selected, extra_patterns, dedupe)
+    return joined.select(*columns, _EXPRESSIONS[shape].alias("violations"))
+
+
+# The expression depends on the checks in use, not on the patterns: built once per session and shape.
+_EXPRESSIONS: dict[tuple, Column] = {}
+
+
+def _violations_column(checks: set[str], skipping: bool, selected: str | None, extra_patterns: str | None,
+                       dedupe: str) -> Column:
     patterns = F.coalesce(F.col("patterns"), F.array())
     if selected:
         patterns = F.transform(
@@ -70,15 +83,14 @@ def find_violations(files: DataFrame, rules: list[Rule], *, languages: list[str]
 
     hits = F.flatten(F.transform(F.filter(patterns, runs), lambda p: kernel.pattern_hits(
         F.col("code"), F.col("_lines"), F.col("_lang"), F.col("_marks"), F.col("_ascii"), p, checks)))
-    columns = [c for c in FILE_COLUMNS if c in files.columns] + [c for c in keep if c not in FILE_COLUMNS]
     ordered = kernel.sorted_hits(hits)
     if dedupe == "rule":
-        ordered = kernel.dedupe_rule(ordered)
-    elif dedupe == "location":
-        ordered = kernel.dedupe_location(ordered)
-    elif dedupe != "none":
-        raise ValueError(f"unknown de-duplication: {dedupe}")
-    return joined.select(*columns, ordered.alias("violations"))
+        return kernel.dedupe_rule(ordered)
+    if dedupe == "location":
+        return kernel.dedupe_location(ordered)
+    if dedupe == "none":
+        return ordered
+    raise ValueError(f"unknown de-duplication: {dedupe}")
 
 
 def explode_violations(scanned: DataFrame) -> DataFrame:
