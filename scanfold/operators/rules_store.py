@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanfold.catalog import Catalogue
+from scanfold.catalog import ANY, Catalogue
 from scanfold.catalog.frames import PATTERN_FIELDS, MAX_BROADCAST_PATTERNS, _colon
 from scanfold.functions.dialect import literal_gate, pattern_error, to_jvm
 from scanfold.operators.scan import explode_violations, find_violations
@@ -49,7 +49,8 @@ def _compiled(patterns: pd.Series) -> pd.DataFrame:
 def compiled_rules(rules: DataFrame) -> DataFrame:
     """Enabled regex rules with their spelled patterns; ``error`` tells why one cannot run."""
     usable = rules.filter((F.col("rule_type") == "regex") & F.col("enabled") & F.col("pattern").isNotNull())
-    return usable.withColumn("_p", _compiled("pattern")).select("*", "_p.*").drop("_p")
+    # Marked non-deterministic so that later filters on its result do not evaluate it again.
+    return usable.withColumn("_p", _compiled.asNondeterministic()("pattern")).select("*", "_p.*").drop("_p")
 
 
 def _as_pattern() -> Column:
@@ -81,20 +82,26 @@ def scan_custom(files: DataFrame, rules: DataFrame) -> DataFrame:
         F.transform("languages", F.lower), F.array().cast("array<string>")).alias("languages"))
     ready = ready.select("org", "repo", entry.alias("e"))
 
-    def grouped(df: DataFrame, name: str, *keys: str) -> DataFrame:
-        return df.groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias(name))
+    too_many = F.raise_error(F.lit("too many rules in one scope")).cast("boolean")
 
-    everywhere = ready.filter(F.col("org").isNull()).agg(
-        F.array_sort(F.collect_list("e")).alias("_all")).select(
-        F.lit("*").alias("_scope"),
-        F.when(F.size("_all") > MAX_BROADCAST_PATTERNS, F.raise_error(F.lit("too many global rules")).cast("string"))
-        .alias("_check"), "_all").filter(F.col("_check").isNull()).drop("_check")
+    def grouped(df: DataFrame, name: str, *keys: str) -> DataFrame:
+        """The rules of a scope as one array; its size is checked, since every file of the scope meets all of it."""
+        arrays = df.groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias(name))
+        return arrays.filter(F.when(F.size(name) > MAX_BROADCAST_PATTERNS, too_many).otherwise(True))
+
+    # Rules of all organisations are keyed by the language they can meet, as the built-in catalogue is.
+    known = Catalogue.builtin().languages()
+    every_key = F.array(*[F.lit(x) for x in [*known, ANY]])
+    keys = F.when(F.size("e.languages") == 0, every_key).otherwise(F.array_distinct(F.transform(
+        "e.languages", lambda x: F.when(x.isin(known), x).otherwise(F.lit(ANY)))))
+    everywhere = grouped(ready.filter(F.col("org").isNull()).withColumn("_key", F.explode(keys)), "_all", "_key")
     by_org = grouped(ready.filter(F.col("org").isNotNull() & F.col("repo").isNull()), "_org_rules", "org")
     by_repo = grouped(ready.filter(F.col("repo").isNotNull()), "_repo_rules", "org", "repo")
 
-    scoped = (files.withColumn("_scope", F.lit("*")).join(F.broadcast(everywhere), "_scope", "left")
-              .join(by_org, "org", "left").join(by_repo, ["org", "repo"], "left"))
     lang = F.lower("language")
+    keyed = files.withColumn("_key", F.when(lang.isin(known), lang).otherwise(F.lit(ANY)))
+    scoped = (keyed.join(F.broadcast(everywhere), "_key", "left").join(by_org, "org", "left")
+              .join(by_repo, ["org", "repo"], "left"))
     rules_of_file = F.concat(*[F.coalesce(F.col(c), F.array()) for c in ("_all", "_org_rules", "_repo_rules")])
     fitting = F.filter(rules_of_file, lambda e: (F.size(e["languages"]) == 0) | F.array_contains(e["languages"], lang))
     # Each custom rule is a rule of its own: the position separates them in de-duplication.

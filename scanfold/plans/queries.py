@@ -285,7 +285,7 @@ def license_report(spark, sf):
 
 
 def license_recommendations(spark, sf):
-    return license.recommendations(_judged(spark, sf), "org")
+    return license.recommendations(staged(_judged(spark, sf)), "org")
 
 
 def ip_markers(spark, sf):
@@ -527,8 +527,11 @@ def sink_scan_results(spark, sf):
 
 
 def _order_stream(spark, sf, source, **options):
+    """Orders as a stream; spread by key while the rows are still a few numbers wide."""
     schema = table(spark, sf, "orders").schema
-    return streaming.file_stream(spark, source, schema, **options)
+    stream = streaming.file_stream(spark, source, schema, **options)
+    return stream.select("o_orderkey", "o_custkey", "o_orderdate").repartition(
+        spark.sparkContext.defaultParallelism, "o_orderkey")
 
 
 def stream_scan(spark, sf):
