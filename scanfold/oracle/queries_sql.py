@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from scanfold.catalog import PACK_INFO, Catalogue
+from scanfold.catalog.remedies import REMEDIES
 from scanfold.functions.paths import SUPPORTED_EXTENSIONS
 from scanfold.operators import config
 from scanfold.operators.license import HEADER_LINES, LICENSE_NAMES, LICENSE_PATTERNS
+from scanfold.operators.report import ACTION_TEXT, MARKS
 from scanfold.oracle.rules_sql import documents_cte, files_cte, hits_cte, language_sql, lit, scan_sql, values
 from scanfold.plans.queries import (
     BLOCK_RE, CALL_RE, CORE_PACKS, HIT_COLUMNS, OPEN_RE, PACK_KEYS, RETURN_RE, RULE_KEYS, SHORT, WORD_CALL_RE)
@@ -265,6 +267,64 @@ SELECT file_id, id AS rule_id, line_start, line_end, severity, category, name AS
 FROM scoped WHERE languages_csv IS NULL OR list_contains(string_split(lower(languages_csv), ','), lower(language))"""
 
 
+def markdown_sql() -> str:
+    """Blocks of every pull request's report."""
+    nl = "chr(10)"
+    exact = [(r, x, t) for r, texts in REMEDIES.items() for x, t in texts.items() if x != "*"]
+    general = [(r, t) for r, texts in REMEDIES.items() for x, t in texts.items() if x == "*"]
+    table = " || ".join(f"'| {MARKS[s]} {s.capitalize()} | ' || {s} || ' |' || {nl}" for s in MARKS)
+    acts = " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in ACTION_TEXT.items())
+
+    def escaped(column):
+        return (f"replace(replace(replace(replace(replace({column}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), "
+                "chr(34), '&quot;'), chr(39), '&#39;')")
+
+    camel = _CAMEL.replace("(name", "(coalesce(detail, '')")
+    lang = language_sql("file_path")
+    fix = f"CASE WHEN rule_id = 'STD-001' THEN 'Rename to: ' || {camel} ELSE coalesce(x.fix, d.fix) END"
+    body = f"""'<details>' || {nl} || '<summary><b>' || {escaped('title')} || '</b> - <code>' || {escaped('file_path')} || ':' ||
+      line_start || '</code></summary>' || {nl} || {nl} || '**Rule:** `' || rule_id || '`' ||
+      coalesce(' | **OWASP:** ' || owasp_mapping, '') || coalesce(' | **CWE:** ' || cwe_id, '') || {nl} || {nl} ||
+      CASE WHEN code_snippet <> '' THEN '```' || {lang} || {nl} || '// Line ' || line_start || '-' || line_end || {nl} ||
+        code_snippet || {nl} || '```' || {nl} || {nl} ELSE '' END ||
+      '**Why this is an issue:**' || {nl} || description || {nl} || {nl} ||
+      CASE WHEN coalesce(fix, '') <> '' THEN '**Suggested Fix:**' || {nl} || '```' || {lang} || {nl} || fix || {nl} ||
+        '```' || {nl} || {nl} ELSE '' END || '</details>' || {nl}"""
+    keys = "org, repo, pr_number"
+
+    def frame(section, text, cond="TRUE"):
+        return f"SELECT {keys}, {section} AS section, '' AS position, {text} AS block FROM prs WHERE {cond}"
+
+    frames = [
+        frame(0, f"'## Security & Compliance Report' || {nl} || {nl} || '### Summary' || {nl} || {nl} || '| Severity | Count |' "
+                 f"|| {nl} || '|----------|-------|' || {nl} || {table} || {nl} || '**Enforcement Action:** ' || "
+                 f"CASE enforcement_action {acts} END || {nl}"),
+        frame(10, f"'### {MARKS['critical']} Critical Issues' || {nl}", "critical > 0"),
+        frame(20, f"'### {MARKS['high']} High Issues' || {nl}", "high > 0"),
+        frame(30, f"'### {MARKS['medium']} Medium Issues' || {nl}", "medium > 0"),
+        frame(32, f"'<details><summary>Show ' || (medium - 5) || ' more medium issues</summary>' || {nl}", "medium > 5"),
+        frame(34, f"'</details>' || {nl}", "medium > 5"),
+        frame(90, f"'### Actions' || {nl} || {nl} || CASE WHEN critical + high > 0 THEN "
+                  f"'- [ ] Fix critical and high severity issues before merge' || {nl} ELSE '' END || "
+                  f"CASE WHEN medium > 0 THEN '- [ ] Review medium severity issues' || {nl} ELSE '' END || "
+                  f"CASE WHEN enforcement_action = 'block' AND override_allowed THEN {nl} || "
+                  f"'**Override:** comment the override command with a justification.' || {nl} ELSE '' END"),
+    ]
+    return core(f"""SELECT {keys}, section, position, block FROM (
+        {' UNION ALL '.join(frames)}
+        UNION ALL SELECT {keys}, CAST(CASE severity WHEN 'critical' THEN 11 WHEN 'high' THEN 21
+            ELSE CASE WHEN n <= 5 THEN 31 ELSE 33 END END AS INT),
+          file_path || '|' || printf('%09d', line_start) || '|' || printf('%09d', line_end) || '|' || rule_id, {body}
+        FROM fixed)""",
+        resolved(), ENFORCED,
+        f"prs AS (SELECT {keys}, override_allowed, {ROLL} FROM enforced GROUP BY {keys}, override_allowed)",
+        values("exact", ["rule", "lang", "fix"], exact), values("general", ["rule", "fix"], general),
+        f"""fixed AS (SELECT h.*, row_number() OVER (PARTITION BY {keys}, severity
+            ORDER BY file_path, line_start, line_end, rule_id) AS n, {fix} AS fix
+          FROM uniq h LEFT JOIN exact x ON x.rule = h.rule_id AND x.lang = h.language
+          LEFT JOIN general d ON d.rule = h.rule_id)""")
+
+
 def build() -> dict[str, str]:
     out: dict[str, str] = {}
     hit_columns = cols(HIT_COLUMNS)
@@ -497,6 +557,17 @@ def build() -> dict[str, str]:
           AS severity_rank, {cols(SHORT)} FROM hits ORDER BY severity_rank, file_path, line_start, line_end, rule_id""")
     out["ai_parse"] = f"WITH {AI} SELECT file_id, parse_failed, CAST(len(found) AS INT) AS findings FROM parsed"
     out["ai_violations"] = f"WITH {AI}, {AI_ROWS} SELECT * EXCLUDE (pos, file_path) FROM ai_rows"
+    out["ai_recommendations"] = f"""WITH {AI} SELECT file_id, array_to_string(list_transform(list_filter(found,
+        lambda v: coalesce({_js('suggested_fix')}, '') <> ''),
+        lambda v: 'Fix: ' || coalesce({_js('title')}, 'Issue'))[1:5], '; ') AS recommendations FROM parsed"""
+    doc = stripped("regexp_replace(regexp_replace(" + stripped('raw') + ", '^```(json)?', ''), '```$', '')")
+    out["ai_authorship"] = f"""WITH {cte('responses', derived.AUTHORSHIP)},
+      docs AS (SELECT file_id, CASE WHEN json_valid({doc}) THEN {doc} END AS doc FROM responses),
+      read AS (SELECT *, coalesce(json_extract_string(doc, '$.ai_code_lines[*]'), []) AS lines FROM docs)
+      SELECT file_id, coalesce(json_extract_string(doc, '$.is_ai_generated') = 'true', FALSE) AS detected_ai_code,
+        coalesce(CAST(json_extract_string(doc, '$.confidence') AS DOUBLE), 0) / 100 AS ai_code_percentage,
+        array_to_string(lines[1:20], ', ') || CASE WHEN len(lines) > 20 THEN '...' ELSE '' END AS ai_lines_shown FROM read"""
+    out["report_markdown"] = markdown_sql()
     out["combine_hits"] = core(f"""SELECT file_path, line_start, line_end, rule_id, source_ord FROM (
         SELECT file_path, line_start, line_end, rule_id, 0 AS source_ord,
           rule_ord * 1000000 + pattern_ord * 1000 + match_ord AS ord FROM uniq

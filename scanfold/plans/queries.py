@@ -501,6 +501,15 @@ def ai_violations(spark, sf):
     return ai.violations(ai.parse(derived.frame(spark, sf, derived.AI_RESPONSES))).drop("pos", "file_path")
 
 
+def ai_recommendations(spark, sf):
+    parsed = ai.recommendations(ai.parse(derived.frame(spark, sf, derived.AI_RESPONSES)))
+    return parsed.select("file_id", F.array_join("recommendations", "; ").alias("recommendations"))
+
+
+def ai_authorship(spark, sf):
+    return ai.authorship(derived.frame(spark, sf, derived.AUTHORSHIP)).drop("raw")
+
+
 def combine_hits(spark, sf):
     """Rule hits, then model findings on security, then on standards; the first per location stays."""
     columns = ["file_path", "line_start", "line_end", "rule_id", "ord"]
@@ -585,7 +594,8 @@ QUERIES = {
         config_upsert, rule_upsert, audit_query, audit_resolve, audit_from_scan, export_audit_csv,
         export_audit_json, dedup_rule, dedup_location, severity_summary, enforcement, owasp_coverage,
         standards_compliance, pr_rollup, commit_status, report_totals, quality_score, report_tiers,
-        severity_sorted, report_markdown, ai_parse, ai_violations, combine_hits, sink_scan_results, stream_scan,
+        severity_sorted, report_markdown, ai_parse, ai_violations, ai_recommendations,
+        ai_authorship, combine_hits, sink_scan_results, stream_scan,
         stream_latest_report, stream_dedup)},
     "detect_language": detect_languages,
 }

@@ -178,6 +178,17 @@ AI_RESPONSES = ("orders", {
            "ELSE '' END",
 })
 
+AUTHORSHIP = ("orders", {
+    "file_id": "o_orderkey",
+    "raw": "CASE o_orderkey % 5 WHEN 0 THEN 'unsure' "
+           "WHEN 1 THEN '```json' || chr(10) || '{\"is_ai_generated\":true,\"confidence\":' || " + _s("o_orderkey % 101") +
+           " || ',\"ai_code_lines\":[1,2,3,' || " + _s("o_orderkey % 90 + 4") + " || ']}' || chr(10) || '```' "
+           "WHEN 2 THEN '{\"is_ai_generated\":false,\"confidence\":12.5,\"ai_code_lines\":[]}' "
+           "WHEN 3 THEN '{\"is_ai_generated\":true,\"confidence\":80,\"ai_code_lines\":[' || "
+           "'1,2,3,4,5,6,7,8,9,10,11,12,13,14,15,16,17,18,19,20,21,22]}' "
+           "ELSE '{\"confidence\":40}' END",
+})
+
 MANIFESTS = ("part", {
     "file_id": "p_partkey + 1000000000",
     "org": "'pkg'",

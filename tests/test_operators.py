@@ -178,3 +178,19 @@ def test_similarity_equals_brute_force(spark, metric, threshold):
             if round(score, 9) >= threshold:
                 want.add((i, j))
     assert got == want and want
+
+
+def test_source_tree_is_read(spark, tmp_path):
+    from scanfold.sources.files import read_tree
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.py").write_text("print('é')\n", encoding="utf-8")
+    (tmp_path / "src" / "b.txt").write_text("x")
+    (tmp_path / "empty.go").write_text("")
+    rows = read_tree(spark, str(tmp_path), "o", "r").collect()
+    assert [(r["language"], r["code"]) for r in rows] == [("python", "print('é')\n")]
+
+
+def test_requests_are_read(spark, tmp_path):
+    from scanfold.sources.files import read_requests
+    (tmp_path / "r.json").write_text('{"file_id":1,"file_path":"a/b.ts","code":"x"}\n{"file_id":2,"code":""}\n')
+    assert [(r["file_id"], r["language"]) for r in read_requests(spark, str(tmp_path)).collect()] == [(1, "typescript")]
