@@ -114,8 +114,10 @@ wins AS (SELECT doc_id, j, bare AS a, lead(bare) OVER d AS b, lead(bare, 2) OVER
 later AS (SELECT doc_id, j FROM wins WHERE c IS NOT NULL
           QUALIFY row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, j) > 1),
 gone AS (SELECT DISTINCT doc_id, j + k AS j FROM later, unnest([0, 1, 2]) AS v(k)),
-left_over AS (SELECT l.doc_id, l.i, l.line FROM lines l LEFT JOIN solid s ON s.doc_id = l.doc_id AND s.i = l.i
-              LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.j = s.j WHERE g.j IS NULL),
+placed AS (SELECT *, count(*) FILTER (bare <> '') OVER (PARTITION BY doc_id ORDER BY i) AS j FROM lines),
+left_over AS (SELECT l.doc_id, l.i, l.line FROM placed l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.j = l.j
+              LEFT JOIN gone h ON h.doc_id = l.doc_id AND h.j = l.j + 1
+              WHERE g.j IS NULL OR (bare = '' AND h.j IS NULL)),
 made AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM left_over GROUP BY doc_id),
 n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT raw.doc_id, coalesce(n.n, 0) AS n_removed,
