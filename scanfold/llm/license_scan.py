@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from scanfold.llm.common import count_up, let
 from scanfold.sources.tables import table
 
-THRESHOLD = 0.8
+#: Least coefficient, in percent.
+PERCENT = 80
 
 # Notices and texts of common licences.
 TEMPLATES = {
@@ -92,25 +93,27 @@ def _bigrams(unit: Column) -> Column:
         F.array_distinct(F.transform(count_up(F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))))))
 
 
-def _verdicts(bigrams: Column, threshold: float) -> Column:
+def _verdicts(bigrams: Column, percent: int) -> Column:
     """(license, dice) of the templates that reach the threshold, only those tried whose size allows it."""
     known = sorted({b for bs in BIGRAMS.values() for b in bs})
 
     def tried(hits: Column) -> Column:
         n, found = F.size(bigrams), []
         for name, bs in BIGRAMS.items():
-            low, high = threshold / (2 - threshold) * len(bs), (2 - threshold) / threshold * len(bs)
-            fits = (n >= low) & (n <= high) & (F.size(hits) * 2 >= threshold * (n + len(bs)))
-            dice = F.size(F.array_intersect(hits, F.array(*map(F.lit, bs)))) * 2 / (n + len(bs))
-            found.append(F.when(fits, dice))
-        pairs = F.array(*[F.struct(F.lit(name).alias("license"), d.alias("dice")) for name, d in zip(BIGRAMS, found)])
-        return F.filter(pairs, lambda p: p["dice"] >= threshold)
+            least = (n + len(bs)) * percent
+            fits = (F.least(n, F.lit(len(bs))) * 200 >= least) & (F.size(hits) * 200 >= least)
+            common = F.size(F.array_intersect(hits, F.array(*map(F.lit, bs))))
+            found.append(F.when(fits, common))
+        pairs = F.array(*[F.struct(F.lit(name).alias("license"), c.alias("c"), (n + len(bs)).alias("size"))
+                          for (name, bs), c in zip(BIGRAMS.items(), found)])
+        return F.transform(F.filter(pairs, lambda p: p["c"] * 200 >= p["size"] * percent), lambda p: F.struct(
+            p["license"].alias("license"), (p["c"] * 2 / p["size"]).alias("dice")))
 
     none = F.array().cast("array<struct<license:string,dice:double>>")
     return let(F.filter(bigrams, lambda b: b.isin(known)), lambda hits: F.when(F.size(hits) == 0, none).otherwise(tried(hits)))
 
 
-def license_hits(text: Column, threshold: float = THRESHOLD) -> Column:
+def license_hits(text: Column, percent: int = PERCENT) -> Column:
     """Array of (license, dice) over all units of a text: lines, then paragraphs, then the whole."""
     def units(t: Column) -> Column:
         lines, parts = F.split(t, "\n", -1), F.filter(F.split(t, r"\n[\x20\x09\x0B-\x0D]*\n", -1), lambda p: F.instr(p, "\n") > 0)
@@ -119,12 +122,12 @@ def license_hits(text: Column, threshold: float = THRESHOLD) -> Column:
         return F.concat(lines, parts, whole)
 
     return let(F.coalesce(text, F.lit("")), lambda t: F.flatten(F.transform(units(t), lambda u: let(
-        _bigrams(u), lambda b: _verdicts(b, threshold)))))
+        _bigrams(u), lambda b: _verdicts(b, percent)))))
 
 
-def scan_licenses(docs: DataFrame, hits_col: str = "license_hits", threshold: float = THRESHOLD) -> DataFrame:
+def scan_licenses(docs: DataFrame, hits_col: str = "license_hits", percent: int = PERCENT) -> DataFrame:
     """docs with an array column of (license, dice); a column of that name is replaced."""
-    return docs.withColumn(hits_col, license_hits(F.col("text"), threshold))
+    return docs.withColumn(hits_col, license_hits(F.col("text"), percent))
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +150,7 @@ ws AS (SELECT doc_id, kind, i, regexp_extract_all(lower(u), '[a-z0-9]+') AS w FR
 bi AS (SELECT DISTINCT doc_id, kind, i, w[k] || ' ' || w[k + 1] AS b FROM ws, unnest(range(1, len(w))) AS r(k) WHERE len(w) <= {LONGEST}),
 n AS (SELECT doc_id, kind, i, count(*) AS n FROM bi GROUP BY ALL),
 hits AS (SELECT doc_id, kind, i, license, 2 * count(*) / (any_value(n) + any_value(m)) AS dice
-         FROM bi JOIN tpl USING (b) JOIN n USING (doc_id, kind, i) GROUP BY ALL HAVING dice >= {THRESHOLD})
+         FROM bi JOIN tpl USING (b) JOIN n USING (doc_id, kind, i) GROUP BY ALL HAVING 200 * count(*) >= {PERCENT} * (any_value(n) + any_value(m)))
 SELECT d.doc_id, count(license) AS n_hits, coalesce(string_agg(DISTINCT license, '; ' ORDER BY license), '') AS licenses,
        round(max(dice), 6) AS best_dice FROM d LEFT JOIN hits USING (doc_id) GROUP BY d.doc_id
 """
