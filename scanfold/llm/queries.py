@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from scanfold.llm import chunk_encode, license_scan, line_dedup, ngram_join, order_minhash, packing, quality_rules, secret_scan
+from scanfold.llm import byte_cnn, chunk_encode, disclosure, license_scan, line_dedup, ngram_join, order_minhash, packing, quality_rules, secret_scan
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_disclosure": disclosure.op3_disclosure,
     "op4_order_minhash": order_minhash.op4_order_minhash,
     "op5_packing": packing.op5_packing,
     "op6_chunk_encode": chunk_encode.op6_chunk_encode,
     "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_secret_scan": secret_scan.op9_secret_scan,
+    "op10_byte_cnn": byte_cnn.op10_byte_cnn,
 }
 ORACLES = {
     "op1_license_scan": license_scan.ORACLE,
