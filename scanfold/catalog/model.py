@@ -54,7 +54,6 @@ class Rule:
     check: str = PLAIN
     before: int = 0                 # window: lines before the first hit line
     after: int = 0                  # window: lines after the anchor line
-    window_from_end: bool = False   # the window's tail counts from the last hit line
     require: tuple[str, ...] = ()
     suppress: dict[str, tuple[str, ...]] | tuple[str, ...] = ()
     multi_line: bool = False        # report the true last line (else last = first)

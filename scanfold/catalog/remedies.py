@@ -62,7 +62,3 @@ REMEDIES: dict[str, dict[str, str]] = {
     "FED-003": {DEFAULT: "Use AES-256-GCM, SHA-256 or stronger, RSA-2048 or stronger, or ECDSA P-256."},
 }
 
-
-def remedy(rule_id: str, language: str) -> str | None:
-    texts = REMEDIES.get(rule_id, {})
-    return texts.get(language, texts.get(DEFAULT))

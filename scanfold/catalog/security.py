@@ -265,7 +265,6 @@ DESERIALIZATION = Rule(
     check=WINDOW,
     before=2,
     after=3,
-    window_from_end=True,
     multi_line=True,
     suppress={
         "python": (r'yaml\.safe_load', r'yaml\.SafeLoader', r'Loader\s*=\s*yaml\.SafeLoader'),

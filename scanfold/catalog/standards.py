@@ -137,7 +137,6 @@ ERROR_HANDLING = Rule(
     flags="im",
     check=WINDOW,
     after=2,
-    window_from_end=True,
     suppress=(r'log', r'throw', r'raise', r'console\.error', r'logger\.', r'logging\.', r'return', r'reject'),
     multi_line=True,
     snippet_span=True,

@@ -24,6 +24,16 @@ _EXTRA_SPACE = r"\x1c-\x1f"
 FOLDING_CHARS = ("ſ", "İ", "ı", "K")
 
 
+_UP_TO = re.compile(r"\{,\d+\}")
+#: Syntax the JVM has nothing for: conditions on a group, and flags of the character set.
+_UNKNOWN = re.compile(r"\(\?(?:\(|[aiLmsux]*[aLu])")
+
+
+def _jvm_name(name: str) -> str:
+    """A group name of letters and digits only."""
+    return re.sub("[^A-Za-z0-9]", lambda m: f"x{ord(m[0]):x}x", f"g{name}")
+
+
 @lru_cache(maxsize=4096)
 def to_jvm(regex: str, flags: str = "", ascii_only: bool = False) -> str:
     """JVM spelling.  ``ascii_only`` gives the cheaper spelling for texts known to be ASCII."""
@@ -34,6 +44,11 @@ def to_jvm(regex: str, flags: str = "", ascii_only: bool = False) -> str:
             pair = regex[i:i + 2]
             if pair == r"\s":
                 out.append(r"\s" + _EXTRA_SPACE if in_class else r"[\s" + _EXTRA_SPACE + "]")
+            elif pair == r"\Z" and not in_class:
+                out.append(r"\z")
+            elif pair == r"\U":
+                out.append(r"\x{" + regex[i + 2:i + 10].lstrip("0").rjust(1, "0") + "}")
+                i += 8
             else:
                 out.append(pair)
             i += 2
@@ -46,10 +61,14 @@ def to_jvm(regex: str, flags: str = "", ascii_only: bool = False) -> str:
             out.append(c)
         elif c == "&" and in_class:
             out.append(r"\&")
-        elif regex.startswith("(?P<", i) and not in_class:
-            out.append("(?<")
-            i += 4
+        elif regex.startswith("(?P", i) and regex[i + 3:i + 4] in ("<", "=") and not in_class:
+            end = regex.index(">" if regex[i + 3] == "<" else ")", i)
+            name = _jvm_name(regex[i + 4:end])
+            out.append(f"(?<{name}>" if regex[i + 3] == "<" else rf"\k<{name}>")
+            i = end + 1
             continue
+        elif not in_class and _UP_TO.match(regex, i):
+            out.append("{0")
         else:
             out.append(c)
         i += 1
@@ -124,4 +143,7 @@ def pattern_error(regex: str | None) -> str | None:
         re.compile(regex)
     except (re.error, OverflowError) as exc:
         return f"invalid pattern: {exc}"
+    bare = re.sub(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]", "", regex, flags=re.S)       # without escapes and classes
+    if found := _UNKNOWN.search(bare):
+        return f"not supported: {found[0]}"
     return None

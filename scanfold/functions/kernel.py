@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from scanfold.catalog import model
 from scanfold.catalog.government import CIPHER_CONTEXT_CHARS, CIPHER_CONTEXT_WORDS
 from scanfold.functions.dialect import FOLDING_CHARS
-from scanfold.functions.text import before_first, let, line_range, lines_of, newlines, occurrences, prefix_sums, strip
+from scanfold.functions.text import before_first, count_up, let, line_range, lines_of, occurrences, prefix_minima, prefix_sums, strip
 
 # Unicode noncharacters, reserved for use inside a process.
 MARKERS = (("﷐", "﷑"), ("﷒", "﷓"), ("﷔", "﷕"), ("﷖", "﷗"))
@@ -32,8 +32,19 @@ def is_ascii(text: Column) -> Column:
     return F.octet_length(text) == F.length(text)
 
 
+def unmarked(text: Column) -> Column:
+    """The text; if it holds every marker pair, with the first pair's characters replaced, one for one."""
+    def held(pair):
+        return F.contains(text, F.lit(pair[0])) | F.contains(text, F.lit(pair[1]))
+
+    every = F.lit(True)
+    for pair in MARKERS:
+        every = every & held(pair)
+    return F.when(~is_ascii(text) & every, F.translate(text, "".join(MARKERS[0]), "\ufffd\ufffd")).otherwise(text)
+
+
 def markers(text: Column) -> Column:
-    """A marker pair absent from the text."""
+    """A marker pair absent from a text that ``unmarked`` gave."""
     def absent(pair):
         return ~F.contains(text, F.lit(pair[0])) & ~F.contains(text, F.lit(pair[1]))
 
@@ -41,9 +52,9 @@ def markers(text: Column) -> Column:
         return F.struct(F.lit(pair[0]).alias("open"), F.lit(pair[1]).alias("close"))
 
     choice = F.when(is_ascii(text) | absent(MARKERS[0]), as_struct(MARKERS[0]))
-    for pair in MARKERS[1:]:
+    for pair in MARKERS[1:-1]:
         choice = choice.when(absent(pair), as_struct(pair))
-    return choice.otherwise(F.raise_error(F.lit("text holds every marker character")))
+    return choice.otherwise(as_struct(MARKERS[-1]))
 
 
 def folds_oddly(text: Column) -> Column:
@@ -58,23 +69,18 @@ def bracket(text: Column, regex: Column, marks: Column) -> Column:
     return F.regexp_replace(text, regex, F.concat(marks["open"], F.lit("$0"), marks["close"]))
 
 
-def match_spans(pieces: Column, close: Column) -> Column:
+def match_spans(marked: Column, marks: Column) -> Column:
     """array<struct<first:int,last:int>>: line of each match's start and end.
 
-    ``pieces`` is the marked text split at the opening marker, so piece 0 stands
-    before the first match and every later piece starts with a match.
+    A line of the marked text that holds n opening markers is the first line of
+    n matches, likewise for closing ones; both lists come in order of the matches.
     """
-    start = F.struct(
-        (newlines(F.element_at(pieces, 1)) + 1).cast("int").alias("line"),
-        F.array().cast("array<struct<first:int,last:int>>").alias("out"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        last = (acc["line"] + newlines(before_first(piece, close))).cast("int")
-        return F.struct(
-            (acc["line"] + newlines(piece)).cast("int").alias("line"),
-            F.concat(acc["out"], F.array(F.struct(acc["line"].alias("first"), last.alias("last")))).alias("out"))
+    def lines_holding(lines: Column, mark: Column) -> Column:
+        return F.flatten(F.transform(lines, lambda x, i: F.array_repeat((i + 1).cast("int"), occurrences(x, mark))))
 
-    return F.aggregate(F.slice(pieces, 2, F.size(pieces)), start, step, lambda acc: acc["out"])
+    return let(lines_of(marked), lambda lines: F.zip_with(
+        lines_holding(lines, marks["open"]), lines_holding(lines, marks["close"]),
+        lambda a, b: F.struct(a.alias("first"), b.alias("last"))))
 
 
 def finditer(text: Column, regex: Column, marks: Column) -> Column:
@@ -93,11 +99,6 @@ def finditer(text: Column, regex: Column, marks: Column) -> Column:
     return let(pieces, matches)
 
 
-def line_at(text: Column, offset: Column) -> Column:
-    """1-based line of a character offset."""
-    return (F.lit(1) + newlines(F.substring(text, F.lit(1), offset))).cast("int")
-
-
 # --- checks -----------------------------------------------------------------
 
 def _searched(default: bool, text: Column, ascii_text: Column, p: Column, name: str) -> Column:
@@ -179,35 +180,40 @@ def cipher_noted(context: Column) -> Column:
 def brace_bodies(marked: Column, marks: Column) -> Column:
     """Body after each match that ends in ``{``: up to its closing brace, or the end of the text.
 
-    One fold over the brace tokens with a stack of open braces, so nested
-    bodies do not re-read the text.
+    Braces get the level at which they open or close; a closing one without an
+    open one has none. Sorted by level and place, an opening brace is followed by
+    the one that closes it, or by nothing of its level if the text ends first.
     """
     token_re = F.concat(F.lit(r"\{"), marks["close"], F.lit(r"|[{}]|[^{}]+"))
     opener = F.concat(F.lit("{"), marks["close"])
-    state = "struct<pos:int,stack:array<struct<at:int,wanted:boolean>>,spans:array<struct<first:int,last:int>>>"
-
-    def step(acc: Column, token: Column) -> Column:
-        here = acc["pos"] + 1
-        depth = F.size(acc["stack"])
-        top = F.element_at(acc["stack"], -1)
-        popped = F.slice(acc["stack"], 1, depth - 1)
-        opening = F.startswith(token, F.lit("{"))
-        closing = (token == "}") & (depth > 0)
-        stack = (F.when(opening, F.concat(acc["stack"], F.array(
-                    F.struct(here.alias("at"), (token == opener).alias("wanted")))))
-                 .when(closing, popped).otherwise(acc["stack"]))
-        spans = F.when(closing & F.when(depth > 0, top["wanted"]).otherwise(False), F.concat(
-            acc["spans"], F.array(F.struct(top["at"].alias("first"), here.alias("last"))))).otherwise(acc["spans"])
-        return F.struct(here.cast("int").alias("pos"), stack.alias("stack"), spans.alias("spans")).cast(state)
+
+    def levels(tokens: Column) -> Column:
+        braces = F.filter(F.transform(tokens, lambda t, i: F.struct(
+            (i + 1).cast("int").alias("at"), F.startswith(t, F.lit("{")).alias("opens"), (t == opener).alias("wanted"),
+            F.when(F.startswith(t, F.lit("{")), F.lit(1)).when(t == "}", F.lit(-1)).otherwise(F.lit(0)).alias("step"))),
+            lambda x: x["step"] != 0)
+
+        def placed(bs: Column) -> Column:
+            steps = F.transform(bs, lambda x: x["step"])
+            return let(prefix_sums(steps), lambda before: let(
+                prefix_minima(F.zip_with(before, steps, lambda s, d: s + d)), lambda low: F.filter(F.transform(
+                    bs, lambda x, i: F.struct(
+                        (F.get(before, i) - F.get(low, i) + F.when(x["opens"], F.lit(1)).otherwise(F.lit(0))).alias("level"),
+                        x["at"].alias("at"), x["opens"].alias("opens"), x["wanted"].alias("wanted"))),
+                    lambda x: x["level"] > 0)))
+
+        return let(braces, lambda bs: F.sort_array(placed(bs)))
+
+    def spans(sorted_braces: Column, end: Column) -> Column:
+        def span(x: Column, i: Column) -> Column:
+            after = F.get(sorted_braces, i + 1)
+            return F.when(x["wanted"], F.struct(x["at"].alias("first"), F.when(
+                after["level"] == x["level"], after["at"]).otherwise(end).alias("last")))
+        return F.sort_array(F.filter(F.transform(sorted_braces, span), lambda s: s.isNotNull()))
 
     def bodies(tokens: Column) -> Column:
-        start = F.struct(F.lit(0).alias("pos"), F.array().alias("stack"), F.array().alias("spans")).cast(state)
-        # Braces still open at the end of the text close there.
-        folded = F.aggregate(tokens, start, step, lambda acc: F.concat(
-            acc["spans"],
-            F.transform(F.filter(acc["stack"], lambda b: b["wanted"]),
-                        lambda b: F.struct(b["at"].alias("first"), acc["pos"].alias("last")))))
-        return F.transform(F.array_sort(folded), lambda s: F.replace(
+        found = let(levels(tokens), lambda bs: spans(bs, F.size(tokens)))
+        return F.transform(found, lambda s: F.replace(
             F.replace(F.array_join(F.slice(tokens, s["first"] + 1, s["last"] - s["first"]), ""),
                       marks["close"], F.lit("")), marks["open"], F.lit("")))
 
@@ -296,7 +302,7 @@ def pattern_hits(code: Column, lines: Column, language: Column, marks: Column, a
         return out
 
     def found(marked: Column) -> Column:
-        spans = match_spans(F.split(marked, marks["open"]), marks["close"])
+        spans = match_spans(marked, marks)
         numbered = F.transform(spans, lambda s, i: F.struct(s.alias("span"), i.cast("int").alias("match_ord")))
         return let(extras(marked), lambda extra: F.transform(
             F.filter(numbered, lambda j: kept(j, extra)),

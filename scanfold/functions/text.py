@@ -42,13 +42,35 @@ def newlines(text: Column) -> Column:
     return occurrences(text, F.lit("\n"))
 
 
+def count_up(size: Column) -> Column:
+    """0, 1, ... size - 1; empty for a size of 0 or less."""
+    return F.when(size > 0, F.sequence(F.lit(0), F.greatest(size.cast("int"), F.lit(1)) - 1)).otherwise(
+        F.array().cast("array<int>"))
+
+
+def running(values: Column, fold, join) -> Column:
+    """For each position of an array, the fold of all values before it.
+
+    Blocks of about the root of the length keep the work near n * sqrt(n), and
+    nothing grows step by step. ``fold`` gives the neutral value for an empty array.
+    """
+    def whole(v: Column) -> Column:
+        block = F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1))
+        return let(block, lambda b: let(
+            F.transform(count_up(F.ceil(F.size(v) / b)), lambda k: fold(F.slice(v, k * b + 1, b))),
+            lambda folded: let(
+                F.transform(count_up(F.size(folded)), lambda k: fold(F.slice(folded, F.lit(1), k))),
+                lambda heads: F.transform(count_up(F.size(v)), lambda i: join(
+                    F.get(heads, F.floor(i / b).cast("int")),
+                    fold(F.slice(v, F.floor(i / b).cast("int") * b + 1, i % b)))))))
+    return let(values, whole)
+
+
 def prefix_sums(values: Column) -> Column:
-    """[0, v1, v1+v2, ...]: running totals before each element, in one pass."""
-    return F.aggregate(
-        values,
-        F.struct(F.lit(0).alias("total"), F.array().cast("array<int>").alias("before")),
-        lambda acc, v: F.struct(
-            (acc["total"] + v).cast("int").alias("total"),
-            F.concat(acc["before"], F.array(acc["total"])).alias("before"),
-        ),
-    )["before"]
+    """[0, v1, v1+v2, ...]: running totals before each element."""
+    return running(values, lambda v: F.aggregate(v, F.lit(0), lambda a, x: (a + x).cast("int")), lambda a, b: (a + b).cast("int"))
+
+
+def prefix_minima(values: Column) -> Column:
+    """Smallest of 0 and the values before each element."""
+    return running(values, lambda v: F.least(F.coalesce(F.array_min(v), F.lit(0)), F.lit(0)), F.least)

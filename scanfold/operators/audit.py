@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# --- Fixed values: export columns and limits --------------------------------
+# --- Fixed values: export columns and page size ------------------------------
 EXPORT_COLUMNS = ("id", "timestamp", "event_type", "org", "repo", "pr_number", "commit_sha", "author",
                   "action_taken", "violations_count", "resolution_state")
-DEFAULT_PAGE, MAX_PAGE, MAX_EXPORT = 100, 10_000, 10_000
+DEFAULT_PAGE = 100
 
 
 def filtered(logs: DataFrame, org=None, repo=None, event_type=None, action_taken=None,
@@ -26,8 +26,8 @@ def filtered(logs: DataFrame, org=None, repo=None, event_type=None, action_taken
 
 def page(logs: DataFrame, limit: int = DEFAULT_PAGE, offset: int = 0) -> DataFrame:
     """Newest first; the id breaks ties.  Planned as a top-k, not as a full sort."""
-    if not 0 <= limit <= MAX_PAGE or offset < 0:
-        raise ValueError(f"limit must be 0..{MAX_PAGE} and offset >= 0")
+    if limit < 0 or offset < 0:
+        raise ValueError("limit and offset must not be negative")
     return logs.orderBy(F.desc("timestamp"), "id").offset(offset).limit(limit)
 
 
@@ -35,8 +35,9 @@ def query(logs: DataFrame, limit: int = DEFAULT_PAGE, offset: int = 0, **filters
     return page(filtered(logs, **filters), limit, offset)
 
 
-def export_rows(logs: DataFrame, **filters) -> DataFrame:
-    return query(logs, limit=MAX_EXPORT, **filters)
+def export_rows(logs: DataFrame, limit: int | None = None, **filters) -> DataFrame:
+    """All filtered rows, in no order, so that the export is written where it is read; or the newest ``limit``."""
+    return filtered(logs, **filters) if limit is None else query(logs, limit=limit, **filters)
 
 
 def iso_timestamp(ts: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanfold.functions.paths import is_supported
+from scanfold.functions.text import let, prefix_sums
 from scanfold.operators.config import resolve
 
 # --- Fixed values: handled actions and branches ------------------------------
@@ -71,21 +72,20 @@ def decoded_files(files: DataFrame) -> DataFrame:
 def added_lines(patch: Column) -> Column:
     """New-file numbers of the lines a unified diff adds, in order.
 
-    One fold per patch: a hunk header sets the counter, context and added lines advance it.
+    Hunks are taken one by one: the header gives the first number, and every
+    context or added line before a line moves it on.
     """
     header = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
 
-    def step(acc: Column, line: Column) -> Column:
-        is_header = F.rlike(line, F.lit(header))
-        added = ~is_header & F.startswith(line, F.lit("+")) & acc["inside"]
-        context = ~is_header & F.startswith(line, F.lit(" "))
-        at = F.when(is_header, F.regexp_extract(line, header, 1).try_cast("int")).when(
-            added | context, acc["at"] + 1).otherwise(acc["at"])
-        return F.struct(at.alias("at"), (acc["inside"] | is_header).alias("inside"),
-                        F.when(added, F.concat(acc["out"], F.array(acc["at"]))).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(F.split(patch, "\n"), start, step, lambda acc: acc["out"])
+    def numbers(hunk: Column) -> Column:
+        return let(F.split(hunk, "\n"), lambda lines: let(F.slice(lines, 2, F.size(lines)), lambda body: F.zip_with(
+            F.transform(body, lambda x: F.startswith(x, F.lit("+"))),
+            prefix_sums(F.transform(body, lambda x: F.when(F.rlike(x, F.lit("^[ +]")), F.lit(1)).otherwise(F.lit(0)))),
+            lambda added, before: F.when(added, F.regexp_extract(F.get(lines, F.lit(0)), header, 1).try_cast("int") + before))))
+
+    hunks = F.filter(F.split(patch, f"(?md)^(?={header[1:]})"),
+                     lambda h: F.rlike(h, F.lit(header)))
+    return F.filter(F.flatten(F.transform(hunks, numbers)), lambda n: n.isNotNull())
 
 
 def on_added_lines(violations: DataFrame) -> DataFrame:

@@ -32,10 +32,9 @@ LICENSE_NAMES = {
     "LGPL-2.1": "GNU Lesser General Public License v2.1",
     "LGPL-3.0": "GNU Lesser General Public License v3.0",
 }
-# --- Fixed values: default policy, header depth, confidences -----------------
+# --- Fixed values: default policy, confidences -------------------------------
 DEFAULT_ALLOWED = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC")
 DEFAULT_BLOCKED = ("GPL-2.0", "GPL-3.0", "AGPL-3.0")
-HEADER_LINES = 100
 HEADER_CONFIDENCE, MANIFEST_CONFIDENCE = 0.9, 1.0
 # --- Fixed values: origin markers --------------------------------------------
 ORIGIN_MARKERS = (
@@ -46,11 +45,11 @@ ORIGIN_SCORE = 0.7
 SHOWN_FILES = 3
 
 
-def detect(files: DataFrame) -> DataFrame:
+def detect(files: DataFrame, header_lines: int | None = None) -> DataFrame:
     """Add ``license_id``, ``license_name``, ``confidence`` and ``license_source``; null when none is found.
 
-    One pass per file: the header is cut once, and the licences are tried in
-    order, each as one alternation.
+    One pass per file: the licences are tried in order, each as one alternation,
+    on the whole text or on its first ``header_lines`` lines.
     """
     header = F.col("_header")
     by_header = None
@@ -59,7 +58,7 @@ def detect(files: DataFrame) -> DataFrame:
         by_header = F.when(found, license_id) if by_header is None else by_header.when(found, license_id)
     manifest = F.when(F.endswith("file_path", F.lit("package.json")), F.get_json_object("code", "$.license"))
     # The header cut is used by every pattern, so it gets a projection of its own.
-    cut = files.withColumn("_header", F.substring_index("code", "\n", HEADER_LINES))
+    cut = files.withColumn("_header", F.col("code") if header_lines is None else F.substring_index("code", "\n", header_lines))
     found = cut.withColumn("_by_header", by_header).withColumn("_manifest", manifest)
     return (found
             .withColumn("license_id", F.coalesce("_by_header", "_manifest"))

@@ -81,6 +81,16 @@ def roll_up(per_file: DataFrame, *keys: str) -> DataFrame:
             .withColumn("enforcement_action", action_name(F.col("_action"))).drop("_action"))
 
 
+def add_up(rolled: DataFrame, *keys: str) -> DataFrame:
+    """Add rolled-up parts of the same key, as if their files had been rolled up together."""
+    flags = [F.bool_or("detected_ai_code").alias("detected_ai_code")] if "detected_ai_code" in rolled.columns else []
+    out = rolled.groupBy(*keys).agg(
+        *[F.sum(c).cast("bigint").alias(c) for c in ("files", *COUNTERS)], *flags,
+        F.max(action_rank(F.col("enforcement_action"))).alias("_action"))
+    return (out.withColumn("status", status(F.col("total_issues")))
+            .withColumn("enforcement_action", action_name(F.col("_action"))).drop("_action"))
+
+
 def pr_status(rolled: DataFrame) -> DataFrame:
     """Commit status of pull requests: failure iff blocked, text cut to 140 characters."""
     mode, total, critical, high = (F.col(c) for c in ("enforcement_mode", "total_issues", "critical", "high"))

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scanfold.catalog import ANY, Catalogue
-from scanfold.catalog.frames import PATTERN_FIELDS, MAX_BROADCAST_PATTERNS, _colon
+from scanfold.catalog.frames import PATTERN_FIELDS, _colon
 from scanfold.functions.dialect import literal_gate, pattern_error, to_jvm
 from scanfold.operators.scan import explode_violations, find_violations
+from scanfold.ship import ship
 
 UPDATABLE = ("name", "description", "severity", "enabled", "pattern", "ai_prompt", "fix_suggestion")
 
@@ -48,11 +49,17 @@ def _compiled(patterns: pd.Series) -> pd.DataFrame:
 
 def compiled_rules(rules: DataFrame) -> DataFrame:
     """Enabled regex rules with their spelled patterns; ``error`` tells why one cannot run."""
+    ship(rules.sparkSession)
     usable = rules.filter((F.col("rule_type") == "regex") & F.col("enabled") & F.col("pattern").isNotNull())
     # Marked non-deterministic so that later filters on its result do not evaluate it again.
     return usable.withColumn("_p", _compiled.asNondeterministic()("pattern")).select("*", "_p.*").drop("_p")
 
 
+def rule_errors(rules: DataFrame) -> DataFrame:
+    """Rules that can't run, and why; ``scan_custom`` leaves them out."""
+    return compiled_rules(rules).where(F.col("error").isNotNull()).select("id", "org", "repo", "name", "pattern", "error")
+
+
 def _as_pattern() -> Column:
     """A custom rule in the shape of a catalogue pattern."""
     given = {
@@ -82,12 +89,9 @@ def scan_custom(files: DataFrame, rules: DataFrame) -> DataFrame:
         F.transform("languages", F.lower), F.array().cast("array<string>")).alias("languages"))
     ready = ready.select("org", "repo", entry.alias("e"))
 
-    too_many = F.raise_error(F.lit("too many rules in one scope")).cast("boolean")
-
     def grouped(df: DataFrame, name: str, *keys: str) -> DataFrame:
-        """The rules of a scope as one array; its size is checked, since every file of the scope meets all of it."""
-        arrays = df.groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias(name))
-        return arrays.filter(F.when(F.size(name) > MAX_BROADCAST_PATTERNS, too_many).otherwise(True))
+        """The rules of a scope as one array, which every file of the scope meets."""
+        return df.groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias(name))
 
     # Rules of all organisations are keyed by the language they can meet, as the built-in catalogue is.
     known = Catalogue.builtin().languages()
@@ -100,7 +104,7 @@ def scan_custom(files: DataFrame, rules: DataFrame) -> DataFrame:
 
     lang = F.lower("language")
     keyed = files.withColumn("_key", F.when(lang.isin(known), lang).otherwise(F.lit(ANY)))
-    scoped = (keyed.join(F.broadcast(everywhere), "_key", "left").join(by_org, "org", "left")
+    scoped = (keyed.join(everywhere, "_key", "left").join(by_org, "org", "left")
               .join(by_repo, ["org", "repo"], "left"))
     rules_of_file = F.concat(*[F.coalesce(F.col(c), F.array()) for c in ("_all", "_org_rules", "_repo_rules")])
     fitting = F.filter(rules_of_file, lambda e: (F.size(e["languages"]) == 0) | F.array_contains(e["languages"], lang))

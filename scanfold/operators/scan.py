@@ -40,7 +40,7 @@ def find_violations(files: DataFrame, rules: list[Rule], *, languages: list[str]
     skipping = any(r["skip_path"] for r in records)
 
     lang = F.lower(F.col("language"))
-    prepared = files.select(
+    prepared = files.withColumn("code", kernel.unmarked(F.col("code"))).select(
         "*",
         F.when(lang.isin(languages), lang).otherwise(F.lit(ANY)).alias("scan_language"),
         F.lower("code").alias("_lowered"),

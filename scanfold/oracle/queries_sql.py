@@ -6,7 +6,7 @@ from scanfold.catalog import PACK_INFO, Catalogue
 from scanfold.catalog.remedies import REMEDIES
 from scanfold.functions.paths import SUPPORTED_EXTENSIONS
 from scanfold.operators import config
-from scanfold.operators.license import HEADER_LINES, LICENSE_NAMES, LICENSE_PATTERNS
+from scanfold.operators.license import LICENSE_NAMES, LICENSE_PATTERNS
 from scanfold.operators.report import ACTION_TEXT, MARKS
 from scanfold.oracle.rules_sql import documents_cte, files_cte, hits_cte, language_sql, lit, scan_sql, values
 from scanfold.plans.queries import (
@@ -152,7 +152,7 @@ def license_ctes() -> str:
     return f"""{files_cte()}, {documents_cte('docs')}, {cte('manifests', derived.MANIFESTS)},
 lic_files AS (SELECT file_id, org, repo, file_path, code FROM files UNION ALL
   SELECT file_id, org, repo, file_path, code FROM docs UNION ALL SELECT file_id, org, repo, file_path, code FROM manifests),
-headed AS (SELECT *, array_to_string(string_split(code, chr(10))[1:{HEADER_LINES}], chr(10)) AS header FROM lic_files),
+headed AS (SELECT *, code AS header FROM lic_files),
 found AS (SELECT *, CASE {cases} END AS by_header,
   CASE WHEN ends_with(file_path, 'package.json') AND json_valid(code) THEN json_extract_string(code, '$.license') END
     AS by_manifest FROM headed),
@@ -490,7 +490,7 @@ def build() -> dict[str, str]:
         CAST(to_json({{'summary': {{'total_issues': total_issues, 'critical': critical, 'high': high, 'medium': medium,
           'low': low, 'info': info}}, 'copilot_detected': FALSE}}) AS VARCHAR) AS details,
         'pending' AS resolution_state FROM summ""")
-    export = "FROM logs ORDER BY logs.timestamp DESC, id LIMIT 10000"
+    export = "FROM logs"
     out["export_audit_csv"] = f"""WITH {AUDIT} SELECT id, {ISO} AS timestamp, event_type, org, repo, pr_number, commit_sha,
       author, action_taken, violations_count, resolution_state {export}"""
     out["export_audit_json"] = f"WITH {AUDIT} SELECT id, CAST(to_json({{{_AUDIT_JSON}}}) AS VARCHAR) AS json {export}"
@@ -568,10 +568,11 @@ def build() -> dict[str, str]:
         coalesce(CAST(json_extract_string(doc, '$.confidence') AS DOUBLE), 0) / 100 AS ai_code_percentage,
         array_to_string(lines[1:20], ', ') || CASE WHEN len(lines) > 20 THEN '...' ELSE '' END AS ai_lines_shown FROM read"""
     out["report_markdown"] = markdown_sql()
-    out["combine_hits"] = core(f"""SELECT file_path, line_start, line_end, rule_id, source_ord FROM (
+    out["combine_hits"] = core("""SELECT file_path, line_start, line_end, rule_id, source_ord FROM (
         SELECT file_path, line_start, line_end, rule_id, 0 AS source_ord,
-          rule_ord * 1000000 + pattern_ord * 1000 + match_ord AS ord FROM uniq
-        UNION ALL SELECT file_path, line_start, line_end, rule_id, CASE category WHEN 'security' THEN 1 ELSE 2 END, pos
+          {'r': rule_ord, 'p': pattern_ord, 'm': match_ord} AS ord FROM uniq
+        UNION ALL SELECT file_path, line_start, line_end, rule_id, CASE category WHEN 'security' THEN 1 ELSE 2 END,
+          {'r': 0, 'p': 0, 'm': pos}
           FROM ai_rows)
       QUALIFY row_number() OVER (PARTITION BY file_path, line_start, line_end ORDER BY source_ord, ord) = 1""",
         AI, AI_ROWS, rules=CATALOGUE.select(packs=["default-security"]))
@@ -580,14 +581,14 @@ def build() -> dict[str, str]:
       UNION ALL SELECT 'scan_results', CASE WHEN total_issues = 0 THEN 'clean' ELSE 'violations_found' END, 0, count(*)
         FROM summ GROUP BY ALL""")
     out["stream_scan"] = scan_sql(CATALOGUE.select(packs=["enterprise-standards"]), f"SELECT {cols(SHORT)} FROM hits")
-    out["stream_latest_report"] = scan_sql(CATALOGUE.select(["STD-002", "SEC-001"]), """,
+    out["stream_latest_report"] = scan_sql(CATALOGUE.list_rules(), """,
       dated AS (SELECT f.file_id, f.org, f.repo, f.pr_number, o_orderdate AS scanned_at, count(h.rule_id) AS total_issues,
-          count(*) FILTER (WHERE h.severity = 'critical') AS critical
+          count(*) FILTER (WHERE h.severity = 'critical') AS critical, count(*) FILTER (WHERE h.severity = 'high') AS high
         FROM files f JOIN orders ON o_orderkey = f.file_id LEFT JOIN hits h USING (file_id) GROUP BY ALL),
       newest AS (SELECT org, repo, pr_number, max(scanned_at) AS scanned_at FROM dated GROUP BY ALL)
       SELECT org, repo, pr_number, scanned_at, count(*) AS files, CAST(sum(total_issues) AS BIGINT) AS total_issues,
         CAST(sum(critical) AS BIGINT) AS critical,
-        CASE WHEN sum(critical) > 0 THEN 'block' WHEN sum(total_issues) > 0 THEN 'annotate' ELSE 'none' END AS enforcement_action
+        CASE WHEN sum(critical) + sum(high) > 0 THEN 'block' WHEN sum(total_issues) > 0 THEN 'annotate' ELSE 'none' END AS enforcement_action
       FROM dated JOIN newest USING (org, repo, pr_number, scanned_at) GROUP BY ALL""")
     out["stream_dedup"] = f"WITH {cte('payloads', derived.PR_PAYLOADS)} SELECT DISTINCT delivery_id FROM payloads"
     return {k: v.replace(")\n,\n", "),\n").replace(")\n, ", "), ") for k, v in out.items()}

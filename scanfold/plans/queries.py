@@ -178,7 +178,7 @@ def regex_finditer(spark, sf):
 def _spans(spark, sf, regex):
     marked = kernel.bracket(F.col("code"), F.lit(to_jvm(regex)), F.col("marks"))
     return _marked(spark, sf).withColumn("spans", let(marked, lambda m: kernel.match_spans(
-        F.split(m, F.col("marks.open")), F.col("marks.close"))))
+        m, F.col("marks"))))
 
 
 def line_numbers(spark, sf):
@@ -515,10 +515,11 @@ def combine_hits(spark, sf):
     columns = ["file_path", "line_start", "line_end", "rule_id", "ord"]
     rule_hits = scan(code_files(spark, sf), packs=["default-security"], dedupe="location").select(
         "file_path", "line_start", "line_end", "rule_id",
-        (F.col("rule_ord") * 1_000_000 + F.col("pattern_ord") * 1000 + F.col("match_ord")).alias("ord"))
+        F.struct("rule_ord", "pattern_ord", "match_ord").alias("ord"))
     found = ai.violations(ai.parse(derived.frame(spark, sf, derived.AI_RESPONSES)))
     def of(category):
-        return found.filter(F.col("category") == category).withColumn("ord", F.col("pos")).select(*columns)
+        return found.filter(F.col("category") == category).withColumn("ord", F.struct(
+            F.lit(0).alias("rule_ord"), F.lit(0).alias("pattern_ord"), F.col("pos").cast("int").alias("match_ord"))).select(*columns)
     combined = dedup.combine(rule_hits, of("security"), of("standards"))
     return dedup.first_per_key(combined, ["file_path", "line_start", "line_end"], ["source_ord", "ord"]).drop("ord")
 
@@ -554,13 +555,13 @@ def stream_scan(spark, sf):
 
 
 def stream_latest_report(spark, sf):
-    """Several micro-batches of scans; the newest report per pull request wins."""
+    """Several micro-batches that split each scan; the newest report per pull request wins, with all its parts."""
     out = shared_folder(spark)
-    (table(spark, sf, "orders").repartition(4, "o_orderdate").write.parquet(f"{out}/drop"))
+    (table(spark, sf, "orders").repartition(4, "o_orderkey").write.parquet(f"{out}/drop"))
     orders = _order_stream(spark, sf, f"{out}/drop", files_per_trigger=1)
     dated = build_files(orders.select("o_orderkey", "o_custkey", "o_orderdate"), scanned_at="o_orderdate")
     scanned = rollup.summarize(find_violations(
-        dated, CATALOGUE.select(["STD-002", "SEC-001"]), languages=CATALOGUE.languages(), keep=("scanned_at",)))
+        dated, CATALOGUE.list_rules(), languages=CATALOGUE.languages(), keep=("scanned_at",)))
     per_file = scanned.drop("violations").withColumn("enforcement_action", rollup.enforcement(
         F.lit("blocking"), F.col("total_issues"), F.col("critical"), F.col("high")))
     streaming.report_stream(per_file, f"{out}/log", f"{out}/checkpoint").awaitTermination()

@@ -31,22 +31,23 @@ def report_stream(summaries: DataFrame, out: str, checkpoint: str, keys=("org",
     """Append every micro-batch's pull-request figures to a log, one folder per batch.
 
     A replayed batch overwrites its own folder, so the log holds each batch
-    once.  ``latest_reports`` reads the newest row per pull request.
+    once.  The files of one scan may come in several batches, so a row is a part
+    of a scan; ``latest_reports`` adds the parts up.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        newest = rollup.roll_up(batch, *keys, "scanned_at")
-        newest.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id:012d}")
+        parts = rollup.roll_up(batch, *keys, "scanned_at")
+        parts.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id:012d}")
 
     return (summaries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
 def latest_reports(spark: SparkSession, out: str, keys=("org", "repo", "pr_number")) -> DataFrame:
-    """The report that replaced all earlier ones, per pull request."""
-    log = spark.read.parquet(f"{out}/batch=*")
-    rest = [c for c in log.columns if c not in keys]
-    best = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("scanned_at", "batch_id")).alias("_r"))
-    return best.select(*keys, "_r.*").drop("batch_id")
+    """The report that replaced all earlier ones, per pull request: all parts of its newest scan."""
+    scans = rollup.add_up(spark.read.parquet(f"{out}/batch=*"), *keys, "scanned_at")
+    rest = [c for c in scans.columns if c not in keys]
+    best = scans.groupBy(*keys).agg(F.max_by(F.struct(*rest), "scanned_at").alias("_r"))
+    return best.select(*keys, "_r.*")
 
 
 def deduplicated_deliveries(events: DataFrame, delay: str = "10 minutes") -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from scanfold.catalog import Catalogue
 from scanfold.functions.paths import detect_language, is_supported, matches_any_glob
-from scanfold.operators import ai, audit, config, dedup, events, report, rollup, rules_store, similarity
+from scanfold.operators import ai, audit, config, dedup, events, license, report, rollup, rules_store, similarity
 
 
 @pytest.mark.parametrize("mode,critical,high,medium,expect", [
@@ -103,8 +103,29 @@ def test_audit_page_limits(spark):
     logs = spark.createDataFrame([(str(i), dt.datetime(2024, 1, 1 + i)) for i in range(9)],
                                  "id string, timestamp timestamp")
     assert [r["id"] for r in audit.page(logs, limit=3, offset=2).collect()] == ["6", "5", "4"]
+    assert audit.page(logs, limit=10_001).count() == 9
     with pytest.raises(ValueError):
-        audit.page(logs, limit=10_001)
+        audit.page(logs, limit=-1)
+    many = spark.range(12_000).selectExpr("cast(id as string) AS id", "timestamp'2024-01-01' AS timestamp")
+    assert audit.export_rows(many).count() == 12_000 and audit.export_rows(many, limit=5).count() == 5
+
+
+def test_license_deep_in_a_file(spark):
+    text = "line\n" * 150 + "Licensed under the Apache License, Version 2.0"
+    df = spark.createDataFrame([("a.py", text)], "file_path string, code string")
+    assert license.detect(df).first()["license_id"] == "Apache-2.0"
+    assert license.detect(df, header_lines=100).first()["license_id"] is None
+
+
+def test_report_parts_add_up(spark):
+    rows = [("r", 1, 7, 1, "block"), ("r", 1, 2, 0, "annotate"), ("r", 2, 0, 0, "none")]
+    per_file = spark.createDataFrame(rows, "repo string, scan int, total_issues long, critical long, enforcement_action string")
+    for c in ("high", "medium", "low", "info"):
+        per_file = per_file.withColumn(c, F.lit(0).cast("long"))
+    parts = rollup.roll_up(per_file.where("total_issues > 2"), "repo", "scan").union(
+        rollup.roll_up(per_file.where("total_issues <= 2"), "repo", "scan"))
+    whole = rollup.roll_up(per_file, "repo", "scan")
+    assert sorted(rollup.add_up(parts, "repo", "scan").select(whole.columns).collect()) == sorted(whole.collect())
 
 
 def test_audit_exports_write_files(spark, tmp_path):

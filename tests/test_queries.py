@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as entry_module
 from compare import compare, duck
+from scanfold.oracle.queries_sql import ORACLES
+from scanfold.plans.queries import QUERIES
 
 SAMPLE = ("dedup_location", "scan_pack", "std_003_async", "fed_003", "src_code_files", "src_push_events", "changed_files",
           "detect_language", "rules_applicable", "config_resolve", "path_scope_filter", "diff_only_hits",
@@ -14,7 +16,7 @@ SAMPLE = ("dedup_location", "scan_pack", "std_003_async", "fed_003", "src_code_f
           "violations_by_repo", "override_events", "config_upsert", "rule_upsert", "audit_query", "export_audit_csv",
           "export_audit_json", "dedup_rule", "commit_status", "report_totals", "quality_score", "report_tiers",
           "ai_violations", "ai_authorship", "report_markdown", "combine_hits", "sink_scan_results", "stream_scan", "stream_latest_report", "stream_dedup")
-KEYS = list(entry_module.queries()) if os.environ.get("SCANFOLD_ALL") else list(SAMPLE)
+KEYS = list(QUERIES) if os.environ.get("SCANFOLD_ALL") else list(SAMPLE)
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +32,7 @@ def test_query(spark, con, sf_dir, key):
 
 def test_every_oracle_has_a_query():
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):

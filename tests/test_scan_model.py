@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -9,8 +10,8 @@ from model import Model
 from scanfold.catalog import Catalogue
 from scanfold.catalog.frames import pattern_records
 from scanfold.functions import kernel
-from scanfold.functions.dialect import literal_gate, to_jvm
-from scanfold.operators.scan import explode_violations, find_violations
+from scanfold.functions.dialect import literal_gate, pattern_error, to_jvm
+from scanfold.operators.scan import explode_violations, find_violations, scan
 from scanfold.sources.corpus import SNIPPETS
 
 CATALOGUE = Catalogue.builtin()
@@ -107,3 +108,35 @@ def test_literal_gate_shapes():
     assert literal_gate(r"login|sign[_\s]?in") == ["login", "sign"]
     assert literal_gate(r"\w+") == []
     assert literal_gate(r"(?:abc)*x") == ["x"]
+
+
+def _one_file(spark, line, times, language="javascript"):
+    return spark.range(1).select(
+        F.lit(1).cast("bigint").alias("file_id"), F.lit("o").alias("org"), F.lit("r").alias("repo"), F.lit(1).alias("pr_number"),
+        F.lit("src/a.js").alias("file_path"), F.lit(language).alias("language"), F.repeat(F.lit(line), times).alias("code"))
+
+
+def test_time_follows_the_number_of_hits(spark):
+    spent = {}
+    for times in (100, 20_000, 80_000):
+        start = time.perf_counter()
+        assert scan(_one_file(spark, "console.log(x)\n", times), rule_ids=["STD-002"], dedupe="none").count() == times
+        spent[times] = time.perf_counter() - start
+    assert spent[80_000] < 5.3 * spent[20_000] + 5
+
+
+def test_text_with_every_marker(spark):
+    line = "console.log(x) // " + "".join(c for pair in kernel.MARKERS for c in pair) + "\n"
+    rows = scan(_one_file(spark, line, 3), rule_ids=["STD-002"], dedupe="none").collect()
+    assert [r["line_start"] for r in rows] == [1, 2, 3]
+
+
+def test_python_only_syntax(spark):
+    cases = [(r"a{,3}b", "caaab"), (r"(?P<q_1>['\"]).*?(?P=q_1)", "x 'y' z"), (r"end\Z", "the end"), (r"end\Z", "the end\n"),
+             (r"\U0001F642", "smile \U0001F642"), (r"[a{,3}]b", ",b"), (r"x\{,3}", "x{,3}")]
+    for regex, text in cases:
+        assert pattern_error(regex) is None
+        found = spark.range(1).select(F.lit(text).rlike(to_jvm(regex))).first()[0]
+        assert found == bool(re.search(regex, text)), regex
+    assert all("not supported" in pattern_error(p) for p in (r"(a)?(?(1)b|c)", r"(?a)\w", r"(?u:x)"))
+    assert pattern_error(r"[(?(]x\(?(y)") is None
