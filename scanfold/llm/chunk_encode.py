@@ -13,7 +13,7 @@ own ids and ends with the right chunk's; what lies between is the join.
 Otherwise the window grows, in the end to the whole text. Its edges lie before
 a single blank between visible ASCII characters, where byte-level BPE always
 begins a new piece, so agreement is exact. Chunks without such places are
-merged with the next.
+merged with the next. Texts are compressed while they move.
 
 A null text counts as empty and has no ids; repeated rows are encoded each for
 themselves; other columns play no part.
@@ -26,7 +26,6 @@ from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -137,25 +136,38 @@ def worker_chunks(path: str) -> Chunks:
     return Chunks(bpe(path))
 
 
-def route(texts: pd.Series) -> pd.Series:
+def route(text: bytes) -> int:
     """Smallest hash of a text's chunks."""
     import xxhash
 
-    def least(text: bytes | None) -> int:
-        if not text:
-            return 0
-        ends = boundaries(text)
-        return min(xxhash.xxh64_intdigest(text[a:b]) for a, b in zip([0, *ends], ends)) >> 1
-    return pd.Series([least(t) for t in texts], dtype="int64")
+    ends = boundaries(text)
+    return min(xxhash.xxh64_intdigest(text[a:b]) for a, b in zip([0, *ends], ends)) >> 1
+
+
+def _routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to doc_id, route and the text compressed, which is what moves."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            texts = [x.as_py() for x in part.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([route(t) if t else 0 for t in texts], pa.int64()),
+                 pa.array([press.compress(t) for t in texts], pa.binary())], ["doc_id", "route", "packed"])
 
 
 def _coded(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = worker_chunks(path)
+        import zstandard
+
+        chunks, unpress = worker_chunks(path), zstandard.ZstdDecompressor()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids = [encode(t.as_py(), chunks).astype("<u4") if t.as_py() else np.empty(0, "<u4") for t in part.column(1)]
+                texts = [unpress.decompress(t.as_py()).decode() for t in part.column(1)]
+                ids = [encode(t, chunks).astype("<u4") if t else np.empty(0, "<u4") for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in ids], pa.binary())],
                                                  ["doc_id", "ids"])
     return run
@@ -163,10 +175,9 @@ def _coded(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and ids (4 bytes each, little-endian) of each row's text."""
-    key = F.pandas_udf(route, "long")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = rows.withColumn("route", key(F.col("text").cast("binary"))).hint("rebalance", "route").select("doc_id", "text")
-    return dealt.mapInArrow(_coded(path or default_path()), "doc_id long, ids binary")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    dealt = rows.mapInArrow(_routed, "doc_id long, route long, packed binary").hint("rebalance", "route")
+    return dealt.select("doc_id", "packed").mapInArrow(_coded(path or default_path()), "doc_id long, ids binary")
 
 
 def decode_ids(coded: DataFrame, path: str | None = None) -> DataFrame:
