@@ -7,14 +7,15 @@ tokens that holds for all; the order here is that of the hash. Prefixes are
 extended by k - 1 tokens, so that a pair must share k of them:
 
 1. The extended prefixes are indexed; tokens of one node only are left out.
-2. Star rounds: each token's nodes are compared with one of them, its leader,
-   if node and leader meet in at least k tokens. Verified pairs are links, and
-   their components are found. Large groups of near copies collapse here at a
-   cost in proportion to their size. Rounds go on, with other leaders, while
-   they find links.
+2. Star rounds: a node is compared with the node that leads half of its prefix,
+   each token being led by one of its nodes. Verified pairs are links, and their
+   components are found. Large groups of near copies collapse here at a cost in
+   proportion to their size. Rounds go on, with other leaders, while they link
+   nodes in numbers.
 3. What is left: tokens whose nodes lie in several components, and nodes that
    have k such tokens; no other node can have a link that is missing. Rare
-   tokens pair the nodes of different components directly. Nodes that may only
+   tokens pair the nodes of different components directly, if they can have
+   as many tokens in common as their sizes ask for. Nodes that may only
    meet in frequent tokens are indexed by combinations of two of these, taken
    from the first f - k + 2 of their f frequent tokens; nodes with long
    prefixes by single ones. The pairs are verified on whole sets.
@@ -43,6 +44,8 @@ from scanfold.sources.tables import staged, table
 
 #: Tokens of more nodes than this are frequent; sets of more tokens than LONG are indexed by single frequent tokens.
 FREQUENT, LONG = 100, 1_000
+#: Star rounds at most; what they leave is found in step 3 whatever their number.
+STAR_ROUNDS = 8
 #: So many ids, 24 bytes each, are broadcast at most to fetch texts; more are joined by shuffle.
 BROADCAST_IDS = 200_000
 
@@ -148,20 +151,33 @@ def _live(hits: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 
 def _star_pairs(live: DataFrame, turn: int) -> DataFrame:
-    """(a, b): nodes and their tokens' leaders of another component, where they meet in k tokens."""
+    """(a, b): nodes and their tokens' leaders of another component, where one leads half of a node's prefix."""
     lead = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("o"), F.col("node").alias("b"), F.col("comp").alias("bc")))
     leaders = live.groupBy("token").agg(lead.alias("lead")).select("token", "lead.b", "lead.bc")
     return live.join(leaders, "token").where("comp <> bc").groupBy(F.col("node").alias("a"), "b").agg(
-        F.count(F.lit(1)).alias("c"), F.first("k").alias("k")).where("c >= k").select("a", "b")
+        F.count(F.lit(1)).alias("c"), F.first("e").alias("e")).where("2 * c >= e").select("a", "b")
 
 
 def _rest_pairs(live: DataFrame, percent: int) -> DataFrame:
     """(a, b): all pairs of nodes of different components that can share k tokens."""
-    counts = live.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    counts = live.groupBy("token").agg((F.count(F.lit(1)) > FREQUENT).alias("often"))
     rows = live.join(counts, "token")
-    single = rows.where(F.col("df") <= FREQUENT).select("node", "comp", "n", F.xxhash64("token").alias("key"))
-    ranked = rows.where(F.col("df") > FREQUENT).groupBy("node", "comp", "n", "k", "mixed").agg(
-        F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts")).where(F.size("ts") >= F.col("k"))
+    rows = staged(rows.join(rows.groupBy("node").agg(F.sum(F.col("often").cast("int")).alias("f")), "node"))
+    fits = (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & (
+        F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent)
+    side = lambda df, x: df.select("key", F.col("node").alias(x), *[F.col(c).alias(x + c[0]) for c in ("comp", "n", "e", "f")])
+    rare = rows.where(~F.col("often")).withColumn("key", F.col("token"))
+    met = side(rare, "a").join(side(rare, "b"), "key").where(fits).groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("c"), *[F.first(c).alias(c) for c in ("an", "bn", "ae", "be", "af", "bf")])
+    # with so many common tokens at least, each prefix has so few that aren't
+    common = F.ceil((F.col("an") + F.col("bn")) * percent / (100 + percent))
+    least = F.least(F.col("ae") - F.col("an"), F.col("be") - F.col("bn")) + common
+    met = met.where(F.col("c") + F.least("af", "bf") >= least).select("a", "b")
+    # nodes that may meet in frequent tokens only
+    frequent = rows.where(F.col("often") & (F.col("f") >= F.col("k")))
+    order = frequent.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    ranked = frequent.join(order, "token").groupBy("node", "comp", "n", "k", "e", "f", "mixed").agg(
+        F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))
     tokens = F.transform("ts", lambda t: t["token"])
     combined = (F.col("k") > 1) & (F.col("n") <= LONG)
     alone = F.col("mixed") | (F.col("k") == 1) | (F.ceil(F.col("n") * 100 / percent) > LONG)
@@ -175,11 +191,8 @@ def _rest_pairs(live: DataFrame, percent: int) -> DataFrame:
     keys = F.concat(
         F.when(combined, let(first(2), pairs)).otherwise(none),
         F.when(alone, F.transform(F.when(F.col("mixed"), tokens).otherwise(first(1)), lambda t: F.xxhash64(t))).otherwise(none))
-    index = single.union(ranked.select("node", "comp", "n", F.explode(keys).alias("key")))
-    x = index.select(F.col("node").alias("a"), F.col("comp").alias("ac"), F.col("n").alias("an"), "key")
-    y = index.select(F.col("node").alias("b"), F.col("comp").alias("bc"), F.col("n").alias("bn"), "key")
-    return x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc"))
-                                  & (F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent)).select("a", "b").distinct()
+    index = ranked.withColumn("key", F.explode(keys))
+    return met.union(side(index, "a").join(side(index, "b"), "key").where(fits).select("a", "b")).distinct()
 
 
 def link(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
@@ -190,22 +203,25 @@ def link(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     nodes = staged(filled.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("x"), F.min("doc_id").alias("least")).select(
         "node", F.col("x.doc_id").alias("label"), F.col("x.th").alias("th"), "least"))
     index = filled.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "k", "mixed", "tokens")]).select(
-        "node", "n", "k", "mixed", F.explode("tokens").alias("token"))
+        "node", "n", "k", "mixed", F.size("tokens").alias("e"), F.explode("tokens").alias("token"))
     shared = index.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
     hits = staged(index.join(shared, "token").withColumn("comp", F.col("node")))
+    enough = hits.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.first("k").alias("k")).where("c >= k").select("node")
+    live = staged(hits.join(enough, "node"))
     edges = comps = None
-    live, turn = hits, 0
-    while not live.isEmpty():
+    for turn in range(STAR_ROUNDS):
         found = staged(_verified(staged(_star_pairs(live, turn)), nodes, docs, size, percent))
-        if found.isEmpty():
-            rest = staged(_verified(staged(_rest_pairs(live, percent)), nodes, docs, size, percent))
-            if not rest.isEmpty():
-                edges = rest if edges is None else edges.union(rest)
-                comps = staged(components(edges))
+        links = found.count()
+        if links:
+            edges = found if edges is None else edges.union(found)
+            comps = staged(components(edges))
+            live = _live(live, comps)
+        if links * 50 < live.count():
             break
-        edges = found if edges is None else edges.union(found)
+    rest = staged(_verified(staged(_rest_pairs(live, percent)), nodes, docs, size, percent))
+    if not rest.isEmpty():
+        edges = rest if edges is None else edges.union(rest)
         comps = staged(components(edges))
-        live, turn = _live(live, comps), turn + 1
     named = nodes.select("node", "least")
     if comps is not None:
         whole = named.join(comps, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp"))
