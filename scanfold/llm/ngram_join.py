@@ -6,9 +6,12 @@ share a token among the first p = n - ceil(t * n) + 1 of each, in any order of
 tokens that holds for all; the order here is that of the hash. Prefixes are
 extended by k - 1 tokens, so that a pair must share k of them:
 
-1. The extended prefixes are indexed; tokens of one node only are left out.
+1. The extended prefixes are indexed; tokens of one node only are left out, and
+   sets too small to be like any other set (under 9 tokens for 0.9).
 2. Star rounds: a node is compared with the node that leads half of its prefix,
-   each token being led by one of its nodes. Verified pairs are links, and their
+   each token being led by one of its nodes: in turn the most central one (whose
+   tokens the most nodes have, such as the text that copies were made from) and
+   any. Verified pairs are links, and their
    components are found. Large groups of near copies collapse here at a cost in
    proportion to their size. Rounds go on, with other leaders, while they link
    nodes in numbers.
@@ -43,7 +46,7 @@ from scanfold.llm.components import components
 from scanfold.sources.tables import staged, table
 
 #: Tokens of more nodes than this are frequent; sets of more tokens than LONG are indexed by single frequent tokens.
-FREQUENT, LONG = 100, 1_000
+FREQUENT, LONG = 30, 1_000
 #: Star rounds at most; what they leave is found in step 3 whatever their number.
 STAR_ROUNDS = 8
 #: So many ids, 24 bytes each, are broadcast at most to fetch texts; more are joined by shuffle.
@@ -80,7 +83,7 @@ def least_size(n: int, percent: int) -> int:
 
 def extension(n: int, percent: int) -> int:
     """k: tokens that the extended prefixes of two sets of n share at least."""
-    return 1 + prefix(n, percent) // 5
+    return min(4 + prefix(n, percent) // 5, least_size(n, percent))
 
 
 def shared_least(n: int, percent: int) -> int:
@@ -88,6 +91,11 @@ def shared_least(n: int, percent: int) -> int:
     return extension(least_size(n, percent), percent)
 
 
+def smallest(percent: int) -> int:
+    """Least size of a set that can be like a different one: n / (n + 1) must reach the threshold."""
+    return -(-percent // (100 - percent)) if percent < 100 else 1 << 62
+
+
 SET_SCHEMA = "doc_id long, th long, n long, node long, k long, mixed boolean, tokens array<long>"
 
 
@@ -152,8 +160,11 @@ def _live(hits: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 def _star_pairs(live: DataFrame, turn: int) -> DataFrame:
     """(a, b): nodes and their tokens' leaders of another component, where one leads half of a node's prefix."""
-    lead = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("o"), F.col("node").alias("b"), F.col("comp").alias("bc")))
-    leaders = live.groupBy("token").agg(lead.alias("lead")).select("token", "lead.b", "lead.bc")
+    counts = live.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    central = live.join(counts, "token").groupBy("node").agg((F.sum("df") / F.first("e")).alias("score"))
+    order = F.col("score") if turn % 2 == 0 else F.xxhash64(F.lit(turn), "node")
+    lead = F.max(F.struct(order.alias("o"), F.col("node").alias("b"), F.col("comp").alias("bc")))
+    leaders = live.join(central, "node").groupBy("token").agg(lead.alias("lead")).select("token", "lead.b", "lead.bc")
     return live.join(leaders, "token").where("comp <> bc").groupBy(F.col("node").alias("a"), "b").agg(
         F.count(F.lit(1)).alias("c"), F.first("e").alias("e")).where("2 * c >= e").select("a", "b")
 
@@ -202,7 +213,7 @@ def link(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     filled = rows.where("n > 0")
     nodes = staged(filled.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("x"), F.min("doc_id").alias("least")).select(
         "node", F.col("x.doc_id").alias("label"), F.col("x.th").alias("th"), "least"))
-    index = filled.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "k", "mixed", "tokens")]).select(
+    index = filled.where(F.col("n") >= smallest(percent)).groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "k", "mixed", "tokens")]).select(
         "node", "n", "k", "mixed", F.size("tokens").alias("e"), F.explode("tokens").alias("token"))
     shared = index.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
     hits = staged(index.join(shared, "token").withColumn("comp", F.col("node")))
@@ -216,7 +227,7 @@ def link(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
             edges = found if edges is None else edges.union(found)
             comps = staged(components(edges))
             live = _live(live, comps)
-        if links * 50 < live.count():
+        if links * 50 < live.select("node").distinct().count():
             break
     rest = staged(_verified(staged(_rest_pairs(live, percent)), nodes, docs, size, percent))
     if not rest.isEmpty():
