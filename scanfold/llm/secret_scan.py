@@ -36,12 +36,18 @@ CLASSES = {
 }
 #: A candidate must mix letters and digits, else it is a word or a number.
 MIXED = r"(?s)(?=.*[A-Za-z])(?=.*[0-9])"
-#: Harmless candidates: placeholders, UUIDs, dates and times, versions, addresses and paths made of words.
-ALLOWED = (r"(?i:example|placeholder|changeme|dummy|sample|xxxxx|00000|12345678|abcdefgh)",
+#: Runs of digits that only fill a placeholder.
+FILLER = r"(?:0{5,}+|0?12345678(?:90?)?)[0-9]{0,4}(?![0-9])"
+#: Harmless candidates: placeholders, UUIDs, dates and times, versions, addresses and paths made of words. A placeholder
+#: clears a candidate only if no other part could be a key: each segment between separators is letters, filler and at
+#: most four digits at its end. Versions and file extensions have bounded parts.
+ALLOWED = (r"^wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY$",
+           r"^(?=.*(?i:example|placeholder|changeme|dummy|sample|xxxxx|00000|12345678|abcdefgh))"
+           rf"(?!.*(?<![0-9])(?!{FILLER})(?:[0-9]++[A-Za-z]|[0-9]{{5}}))",
            r"^[0-9A-Fa-f]{8}-([0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$",
            r"^[0-9]{4}-?[0-9]{2}-?[0-9]{2}[T_-]?[0-9.:+-]*Z?$",
-           r"^[vV]?[0-9]+(\.[0-9A-Za-z-]+)+$",
-           r"^/*([A-Za-z_.-]+[0-9]{0,4}/)+[A-Za-z_.-]*[0-9]{0,4}(\.[A-Za-z0-9]+)?/*$",
+           r"^[vV]?[0-9]{1,8}(\.[0-9]{1,8}){1,4}([.+_-]([A-Za-z]{1,12}[0-9]{0,4}|[0-9]{1,14})){0,4}([.+-]g?[0-9a-f]{7,8})?$",
+           r"^/*([A-Za-z_.-]+[0-9]{0,4}/)+[A-Za-z_.-]*[0-9]{0,4}(\.[A-Za-z0-9]{1,5})?/*$",
            r"^([A-Za-z]+[0-9]{0,4}[_.-])+[A-Za-z]+[0-9]{0,4}$")
 KINDS = [*BASE, *CLASSES]
 

@@ -68,6 +68,25 @@ def test_spans_and_mask(spark):
     assert S.find_secrets(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("secret", [
+    "//hooks.sample-corp.com/services/T0A1B2C3/Zk8mQ2vX9pL4dR7w", "1.k9F3xQ7bT2mZ8rW4yL6", "prod/db.k9F3xQ7bT2mZ8rW4yL6",
+    "example.k9F3xQ7bT2mZ8rW4yL6", "k9F3xQ7b00000T2mZ8rW4yL6"])
+def test_allow_list_hides_no_secret(spark, secret):
+    text = f"see {secret} here"
+    row = S.mask_secrets(S.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert [(s.start, s.end) for s in row.secret_spans] == [(4, 4 + len(secret))]
+    assert row.text == "see [secret] here"
+
+
+def test_allow_list_keeps_the_harmless(spark):
+    rows = [(i, t) for i, t in enumerate([
+        "example-api-key-placeholder-0001", "sk_sample_000000000000000000", "abcdefghijklmnopqrstuvwxyz0123456789",
+        "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "v1.22.333-beta2.20240131", "10.2.0-rc1-g1a2b3c4d",
+        "data/lake/raw/events2024/part01.mp3"])]
+    found = S.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.text for r in found if r.secret_spans] == []
+
+
 def test_query(spark, sf_dir):
     rows = S.op9_secret_scan(spark, sf_dir).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
