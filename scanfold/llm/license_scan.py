@@ -9,6 +9,13 @@ occur in any template at all is left out before. A unit of more than LONGEST
 words can't be one licence, nor a whole text of more than 40 times as many
 characters; their lines and paragraphs are looked at.
 
+Licences inside other text are found by word windows over the whole text, with
+the units that hit the same licence cut out. A window begins and ends with a
+bigram of the template and is at most as long as the threshold allows; of
+windows that overlap the best one counts. A template is tried if enough of its
+distinct bigrams occur in the text, whatever its length. No windows are looked
+at for a licence that the whole text is. The SQL has the units only.
+
 The scan stays inside the row. A null or empty text has no licence, repeated
 rows are scanned each for themselves, other columns pass through.
 """
@@ -113,16 +120,93 @@ def _verdicts(bigrams: Column, percent: int) -> Column:
     return let(F.filter(bigrams, lambda b: b.isin(known)), lambda hits: F.when(F.size(hits) == 0, none).otherwise(tried(hits)))
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+
+
+def _pairs(words: Column) -> Column:
+    """All word bigrams in order."""
+    return let(words, lambda w: F.transform(count_up(F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))))
+
+
+def _windows(text: Column, template: Column, percent: int) -> Column:
+    """Dice of the best windows of a text for one template; windows that overlap count once."""
+    size = F.size(template)
+    least, reach = F.ceil(size * percent / (200 - percent)).cast("int"), F.floor(size * (200 - percent) / percent).cast("int")
+
+    def best(pairs: Column, own: Column, k: Column) -> Column:
+        first = F.get(own, k)
+        near = F.filter(F.transform(count_up(F.least(F.size(own) - k, reach)), lambda d: F.get(own, k + d)),
+                        lambda i: i - first < reach)
+
+        def window(n: Column, j: Column) -> Column:
+            last = F.get(n, j)
+            inside = F.array_distinct(F.transform(count_up(last - first + 1), lambda d: F.get(pairs, first + d)))
+            return let(inside, lambda x: F.struct(
+                (F.size(F.array_intersect(x, template)) * 2 / (F.size(x) + size)).alias("dice"), (-last).alias("back"),
+                first.alias("first"),
+                (F.size(F.array_intersect(x, template)) * 200 >= (F.size(x) + size) * percent).alias("ok")))
+
+        def of(n: Column) -> Column:
+            enough = F.size(F.array_distinct(F.transform(n, lambda i: F.get(pairs, i)))) >= least
+            ends = F.when(enough, F.filter(count_up(F.size(n)), lambda j: j + 1 >= least)).otherwise(F.array().cast("array<int>"))
+            return F.array_max(F.filter(F.transform(ends, lambda j: window(n, j)), lambda x: x["ok"]))
+
+        return let(near, of)
+
+    def merge(done: Column, x: Column) -> Column:
+        apart = F.array(x)
+        return let(F.get(done, F.size(done) - 1), lambda last: F.when(last.isNull() | (x["first"] > -last["back"]), F.concat(
+            done, apart)).when(x["dice"] > last["dice"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), apart)).otherwise(done))
+
+    def found(pairs: Column) -> Column:
+        places = F.filter(count_up(F.size(pairs)), lambda i: F.array_contains(template, F.get(pairs, i)))
+        good = let(places, lambda own: F.filter(F.transform(
+            count_up(F.size(own)), lambda k: best(pairs, own, k)), lambda x: x.isNotNull()))
+        none = F.array().cast("array<struct<dice:double,back:int,first:int,ok:boolean>>")
+        return F.transform(F.aggregate(good, none, merge), lambda x: x["dice"])
+
+    return let(_pairs(_words(text)), found)
+
+
+def _embedded(text: Column, units: Column, percent: int) -> Column:
+    """(license, dice) of licences inside other text; units: (unit, verdicts)."""
+    known = sorted({b for bs in BIGRAMS.values() for b in bs})
+    templates = F.array(*[F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, bs)).alias("bigrams"))
+                          for name, bs in BIGRAMS.items()])
+
+    def rest(gone: Column) -> Column:
+        cut = lambda x: F.array_contains(gone, x)
+        return F.array_join(F.transform(F.split(text, r"\n[\x20\x09\x0B-\x0D]*\n", -1), lambda p: F.when(
+            cut(p), F.lit("0cut0")).otherwise(F.array_join(F.transform(F.split(p, "\n", -1), lambda x: F.when(
+                cut(x), F.lit("0cut0")).otherwise(x)), "\n"))), "\n")
+
+    def one(x: Column) -> Column:
+        gone = F.transform(F.filter(units, lambda u: F.exists(u["v"], lambda v: v["license"] == x["license"])), lambda u: u["u"])
+        dices = let(gone, lambda g: F.when(F.array_contains(g, text), F.array().cast("array<double>")).otherwise(
+            _windows(rest(g), x["bigrams"], percent)))
+        return F.transform(dices, lambda d: F.struct(x["license"].alias("license"), d.alias("dice")))
+
+    hits = F.array_distinct(F.filter(_pairs(_words(text)), lambda b: b.isin(known)))
+    likely = let(hits, lambda h: F.when(F.size(h) == 0, F.slice(templates, F.lit(1), F.lit(0))).otherwise(F.filter(
+        templates, lambda x: F.size(F.array_intersect(h, x["bigrams"])) * (200 - percent) >= F.size(x["bigrams"]) * percent)))
+    return F.flatten(F.transform(likely, one))
+
+
 def license_hits(text: Column, percent: int = PERCENT) -> Column:
-    """Array of (license, dice) over all units of a text: lines, then paragraphs, then the whole."""
+    """Array of (license, dice) over all units of a text, lines, then paragraphs, then the whole, and windows inside others."""
     def units(t: Column) -> Column:
         lines, parts = F.split(t, "\n", -1), F.filter(F.split(t, r"\n[\x20\x09\x0B-\x0D]*\n", -1), lambda p: F.instr(p, "\n") > 0)
         whole = F.when((F.size(lines) > 1) & (F.char_length(t) <= LONGEST * 40), F.array(t)).otherwise(
             F.array().cast("array<string>"))
         return F.concat(lines, parts, whole)
 
-    return let(F.coalesce(text, F.lit("")), lambda t: F.flatten(F.transform(units(t), lambda u: let(
-        _bigrams(u), lambda b: _verdicts(b, percent)))))
+    def both(t: Column) -> Column:
+        judged = F.filter(F.transform(units(t), lambda u: F.struct(u.alias("u"), let(
+            _bigrams(u), lambda b: _verdicts(b, percent)).alias("v"))), lambda x: F.size(x["v"]) > 0)
+        return let(judged, lambda us: F.concat(F.flatten(F.transform(us, lambda x: x["v"])), _embedded(t, us, percent)))
+
+    return let(F.coalesce(text, F.lit("")), both)
 
 
 def scan_licenses(docs: DataFrame, hits_col: str = "license_hits", percent: int = PERCENT) -> DataFrame:
