@@ -108,7 +108,7 @@ def encode(text: str, chunks: Chunks) -> np.ndarray:
     if begin < len(data):                                      # what is left over joins the last chunk
         spans = [*spans[:-1], (spans[-1][0], len(data))] if spans else [(0, len(data))]
     if len(spans) < 2:
-        return chunks.coder.encode(text)
+        return chunks.ids(data)[0]
     coded = [chunks.ids(data[a:b]) for a, b in spans]
     out, done = [], 0                                          # done: ids of the current chunk that the join before took
     for k, ((a, b), (c, d)) in enumerate(zip(spans, spans[1:])):

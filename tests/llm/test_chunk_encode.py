@@ -60,3 +60,13 @@ def test_query(spark, tmp_path):
 
 def test_empty_table(spark):
     assert E.encode_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_short_texts_are_kept():
+    from scanfold.llm import chunk_encode
+    from scanfold.llm.bpe import bpe, default_path
+    coder = bpe(default_path())
+    chunks = chunk_encode.Chunks(coder)
+    for text in ["a short text", "noblanks" * 300] * 50:
+        assert chunk_encode.encode(text, chunks).tolist() == coder.encode(text).tolist()
+    assert (chunks.asked, chunks.reused) == (100, 98)
