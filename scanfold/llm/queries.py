@@ -7,7 +7,10 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from scanfold.llm import byte_cnn, chunk_encode, disclosure, license_scan, line_dedup, ngram_join, order_minhash, packing, quality_rules, secret_scan
+from scanfold.llm import (
+    byte_cnn, chunk_encode, disclosure, embedding_whitening, license_scan, line_dedup, merkle_manifest, ngram_join, order_minhash, packing,
+    phrase_index, quality_rules, secret_scan,
+)
 from scanfold.ship import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +36,9 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_byte_cnn": _with_package(byte_cnn.op10_byte_cnn),
+    "op11_embedding_whitening": _with_package(embedding_whitening.op11_embedding_whitening),
+    "op12_phrase_index": _with_package(phrase_index.op12_phrase_index),
+    "op13_merkle_manifest": _with_package(merkle_manifest.op13_merkle_manifest),
 }
 ORACLES = {
     "op1_license_scan": license_scan.ORACLE,
