@@ -73,13 +73,12 @@ def append(entries: DataFrame, path: str) -> None:
 
 
 def from_scan(summarized: DataFrame, now: Column) -> DataFrame:
-    """One audit row per scanned file."""
-    first_path = F.get(F.col("violations"), F.lit(0))
+    """One audit row per scanned file; a file without hits has no path to take its organisation from."""
     return summarized.select(
         F.sha2(F.concat_ws("|", F.lit("scan"), F.col("file_id").cast("string")), 256).alias("id"),
         now.alias("timestamp"),
         F.lit("scan").alias("event_type"),
-        F.when(first_path.isNotNull(), F.element_at(F.split("file_path", "/"), 1)).otherwise("unknown").alias("org"),
+        F.when(F.col("total_issues") > 0, F.element_at(F.split("file_path", "/"), 1)).otherwise("unknown").alias("org"),
         F.lit("unknown").alias("repo"),
         F.col("enforcement_action").alias("action_taken"),
         F.col("file_id").cast("string").alias("scan_id"),

@@ -88,9 +88,40 @@ def added_lines(patch: Column) -> Column:
     return F.filter(F.flatten(F.transform(hunks, numbers)), lambda n: n.isNotNull())
 
 
-def on_added_lines(violations: DataFrame) -> DataFrame:
-    """Keep violations that start on an added line; both sides are already in the row."""
-    return violations.filter(F.array_contains("added", F.col("line_start"))).drop("added")
+def touching(spans: Column, lines: Column) -> Column:
+    """For each span (line_start, line_end) of an array, in its order: does it hold one of the lines?
+
+    Starts, lines and ends are merged in order of place, as one sorted text of
+    tokens. Cut at its lines, the text's k-th piece names the starts and ends that
+    have k lines before them; a span holds a line if its two numbers differ. The
+    work is that of the sort, whatever the number of spans and lines.
+    """
+    def event(line: Column, kind: int, token: Column) -> Column:
+        return F.struct(line.cast("int").alias("line"), F.lit(kind).alias("kind"), token.alias("token"))
+
+    def of(vs: Column) -> Column:
+        merged = F.sort_array(F.concat(
+            F.transform(vs, lambda v, i: event(v["line_start"], 0, F.concat(F.lit("a"), i.cast("string"), F.lit(",")))),
+            F.transform(lines, lambda n: event(n, 1, F.lit("|"))),
+            F.transform(vs, lambda v, i: event(v["line_end"], 2, F.concat(F.lit("b"), i.cast("string"), F.lit(","))))))
+        pieces = F.split(F.array_join(F.transform(merged, lambda e: e["token"]), ""), r"\|")
+        counted = F.flatten(F.transform(pieces, lambda piece, k: F.transform(
+            F.filter(F.split(piece, ","), lambda x: x != ""), lambda x: F.struct(
+                F.left(x, F.lit(1)).alias("side"), F.substring(x, 2, 10).cast("int").alias("i"), k.alias("k")))))
+        side = lambda cs, name: F.sort_array(F.transform(
+            F.filter(cs, lambda c: c["side"] == name), lambda c: F.struct(c["i"].alias("i"), c["k"].alias("k"))))
+        return let(counted, lambda cs: F.zip_with(side(cs, "a"), side(cs, "b"), lambda a, b: b["k"] > a["k"]))
+
+    return let(spans, of)
+
+
+def on_added_lines(scanned: DataFrame) -> DataFrame:
+    """Scan-result rows with the violations that touch a line of ``added``; none where there is no patch."""
+    def kept(vs: Column) -> Column:
+        held = touching(F.transform(vs, lambda v: F.struct(v["line_start"].alias("line_start"), v["line_end"].alias("line_end"))),
+                        F.coalesce("added", F.array().cast("array<int>")))
+        return let(held, lambda flags: F.filter(vs, lambda v, i: F.get(flags, i)))
+    return scanned.withColumn("violations", let(F.col("violations"), kept)).drop("added")
 
 
 def override_events(comments: DataFrame, configs: DataFrame, command: str) -> DataFrame:

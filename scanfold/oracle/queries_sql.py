@@ -11,7 +11,7 @@ from scanfold.operators.report import ACTION_TEXT, MARKS
 from scanfold.oracle.rules_sql import documents_cte, files_cte, hits_cte, language_sql, lit, scan_sql, values
 from scanfold.plans.queries import (
     BLOCK_RE, CALL_RE, CORE_PACKS, HIT_COLUMNS, OPEN_RE, PACK_KEYS, RETURN_RE, RULE_KEYS, SHORT, WORD_CALL_RE)
-from scanfold.sources import derived
+from scanfold.sources import corpus, derived
 
 CATALOGUE = Catalogue.builtin()
 NOW = "TIMESTAMP '2024-06-01 12:00:00'"
@@ -228,13 +228,30 @@ _CAMEL = f"lower({_WORDS}[1]) || array_to_string(list_transform({_WORDS}[2:], la
 _UNDER = "regexp_replace(name, '([A-Z])', '_\\1', 'g')"
 
 PR = "json_extract_string(payload, '$.{}')"
-PUSHES = f"""{cte('payloads', derived.PUSH_PAYLOADS)},
+
+
+def pushes(spec) -> str:
+    return f"""{cte('payloads', spec)},
 pushes AS (SELECT *, replace({PR.format('ref')}, 'refs/heads/', '') AS branch,
   coalesce(nullif({PR.format('repository.owner.login')}, ''), {PR.format('repository.owner.name')}, '') AS org,
   {PR.format('repository.name')} AS repo, {PR.format('after')} AS commit_sha, {PR.format('pusher.name')} AS author,
   CAST(json_array_length(payload, '$.commits') AS INT) AS n_commits FROM payloads),
 main AS (SELECT * FROM pushes WHERE branch IN ('main', 'master') AND n_commits > 0)"""
 
+
+PUSHES = pushes(derived.PUSH_PAYLOADS)
+CHANGED = f"""paths AS (SELECT event_id, org, repo, commit_sha, unnest(list_concat(
+        json_extract_string(payload, '$.commits[*].added[*]'), json_extract_string(payload, '$.commits[*].modified[*]')))
+        AS file_path FROM main),
+      changed AS (SELECT DISTINCT event_id, org, repo, commit_sha, file_path FROM paths WHERE {supported('file_path')})"""
+PUSHED = f"""{pushes(derived.PUSH_LOG)}, {CHANGED}, {cte('versions', derived.FILE_VERSIONS)},
+      pushed AS (SELECT c.*, v.version_id, v.body_key, v.removed FROM changed c ASOF LEFT JOIN versions v
+        ON c.org = v.org AND c.repo = v.repo AND c.file_path = v.file_path AND c.event_id >= v.position)"""
+_AUTHORSHIP_DOC = stripped("regexp_replace(regexp_replace(" + stripped('raw') + ", '^```(json)?', ''), '```$', '')")
+FLAGS = f"""{cte('responses_ai', derived.AUTHORSHIP)},
+flags AS (SELECT file_id AS flag_id, coalesce(json_extract_string(CASE WHEN json_valid({_AUTHORSHIP_DOC}) THEN {_AUTHORSHIP_DOC} END,
+  '$.is_ai_generated') = 'true', FALSE) AS detected_ai_code FROM responses_ai)"""
+
 AUDIT = cte("logs", derived.AUDIT_LOGS)
 ISO = """CASE WHEN strftime(timestamp, '%f') = '000000' THEN strftime(timestamp, '%Y-%m-%dT%H:%M:%S')
   ELSE strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') END"""
@@ -325,6 +342,33 @@ def markdown_sql() -> str:
           LEFT JOIN general d ON d.rule = h.rule_id)""")
 
 
+def body_files() -> str:
+    """The contents of file versions as files, each with the path of its versions."""
+    own = files_cte().replace("FROM orders)", "FROM body_keys)").replace(corpus.FILE_FIELDS["file_path"], derived.version_path("o_orderkey"))
+    return f"body_keys AS (SELECT DISTINCT {derived.BODY_KEY} AS o_orderkey, 0 AS o_custkey FROM orders),{own}"
+
+
+def push_ctes() -> str:
+    """Roll-up of pushes: files as of the push, hits of the repository's packs, one per location."""
+    chosen = pack_rules("enabled_rule_packs", "custom_rules")
+    return f"""{body_files()}, {hits_cte(CATALOGUE.list_rules())}, {PUSHED}, {FLAGS}, {resolved('SELECT DISTINCT org, repo FROM main')},
+seen AS (SELECT p.event_id, p.file_path, body_key, enforcement_mode, string_split({chosen}, ',') AS ids, detected_ai_code
+  FROM pushed p JOIN resolved USING (org, repo) JOIN flags ON flag_id = version_id WHERE NOT removed),
+push_hits AS (SELECT event_id, s.file_path, h.severity, h.rule_id FROM seen s JOIN hits h ON h.file_id = s.body_key
+  WHERE list_contains(ids, rule_id) QUALIFY row_number() OVER (PARTITION BY event_id, s.file_path, line_start, line_end
+    ORDER BY list_position(ids, rule_id), pattern_ord, match_ord) = 1),
+push_summ AS (SELECT s.event_id, s.file_path, enforcement_mode, detected_ai_code, {COUNTS}
+  FROM seen s LEFT JOIN push_hits h ON h.event_id = s.event_id AND h.file_path = s.file_path GROUP BY ALL),
+push_acted AS (SELECT *, {action('enforcement_mode')} AS enforcement_action FROM push_summ),
+push_sums AS (SELECT event_id, bool_or(detected_ai_code) AS detected_ai_code, {ROLL} FROM push_acted GROUP BY event_id),
+push_rolled AS (SELECT m.event_id, m.org, m.repo, m.branch, m.commit_sha, m.author,
+  {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("files", "total_issues", "critical", "high", "medium", "low", "info"))},
+  coalesce(status, 'clean') AS status, coalesce(detected_ai_code, FALSE) AS detected_ai_code,
+  coalesce(enforcement_action, 'none') AS enforcement_action, r.enforcement_mode
+  FROM main m LEFT JOIN push_sums USING (event_id) JOIN resolved r ON r.org = m.org AND r.repo = m.repo
+  WHERE event_id IN (SELECT event_id FROM changed))"""
+
+
 def build() -> dict[str, str]:
     out: dict[str, str] = {}
     hit_columns = cols(HIT_COLUMNS)
@@ -349,11 +393,8 @@ def build() -> dict[str, str]:
         {PR.format('pull_request.head.sha')} AS commit_sha, {PR.format('pull_request.user.login')} AS author
       FROM payloads WHERE {PR.format('action')} IN ('opened', 'synchronize')"""
     out["src_push_events"] = f"WITH {PUSHES} SELECT event_id, branch, org, repo, commit_sha, author, n_commits FROM main"
-    out["changed_files"] = f"""WITH {PUSHES},
-      paths AS (SELECT event_id, org, repo, commit_sha, unnest(list_concat(
-        json_extract_string(payload, '$.commits[*].added[*]'), json_extract_string(payload, '$.commits[*].modified[*]')))
-        AS file_path FROM main)
-      SELECT DISTINCT event_id, org, repo, commit_sha, file_path FROM paths WHERE {supported('file_path')}"""
+    out["changed_files"] = f"WITH {PUSHES}, {CHANGED} SELECT * FROM changed"
+    out["pushed_versions"] = f"WITH {PUSHED} SELECT event_id, org, repo, commit_sha, file_path, version_id FROM pushed"
     out["detect_language"] = f"""WITH {files_cte()}, paths AS (SELECT file_path FROM files UNION ALL SELECT url FROM pages)
       SELECT file_path, {language_sql('file_path')} AS language, {supported('file_path')} AS supported FROM paths"""
     out["supported_files"] = f"""WITH {files_cte()} SELECT file_id, file_path, language,
@@ -375,8 +416,8 @@ def build() -> dict[str, str]:
       SELECT file_id, file_path, {matches_globs('include_patterns')} AND NOT {matches_globs('exclude_patterns')} AS in_scope
       FROM files JOIN resolved USING (org, repo)"""
     out["diff_only_hits"] = scan_sql(
-        CATALOGUE.select(["SEC-003", "STD-002", "SEC-001"]),
-        f"SELECT {cols(SHORT)} FROM hits WHERE (line_start - 1 + file_id) % 3 = 0")
+        CATALOGUE.list_rules(),
+        f"SELECT {cols(SHORT)} FROM hits WHERE len(list_filter(range(line_start, line_end + 1), lambda n: (n - 1 + file_id) % 3 = 0)) > 0")
     out["config_overlay"] = f"""WITH {cte('parsed', derived.PARSED_FILES)} SELECT org, repo,
       CASE WHEN has_file THEN coalesce(nullif(enforcement_mode, ''), 'warning') ELSE 'warning' END AS enforcement_mode,
       CASE WHEN has_file THEN coalesce(packs_csv, 'default-security,enterprise-standards')
@@ -449,10 +490,10 @@ def build() -> dict[str, str]:
         0.4, "shared::DOUBLE / (fn.n + sn.n - shared)", "file_id, source_id, shared, similarity_score")
 
     out["violations_by_repo"] = scan_sql(
-        CATALOGUE.select(packs=["default-security"]),
+        CATALOGUE.list_rules(),
         "SELECT org, repo, severity, count(*) AS violations FROM hits GROUP BY ALL")
     out["cascade_delete"] = scan_sql(
-        [CATALOGUE.rules["SEC-002"]],
+        CATALOGUE.list_rules(),
         f"SELECT {cols(SHORT)} FROM hits WHERE file_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
     out["override_events"] = f"""WITH {cte('comments', derived.COMMENTS)},
       {resolved('SELECT DISTINCT org, repo FROM comments')}
@@ -488,15 +529,15 @@ def build() -> dict[str, str]:
         {action("CASE WHEN file_id % 2 = 0 THEN 'blocking' ELSE 'warning' END")} AS action_taken,
         CAST(file_id AS VARCHAR) AS scan_id, CAST(total_issues AS INT) AS violations_count,
         CAST(to_json({{'summary': {{'total_issues': total_issues, 'critical': critical, 'high': high, 'medium': medium,
-          'low': low, 'info': info}}, 'copilot_detected': FALSE}}) AS VARCHAR) AS details,
-        'pending' AS resolution_state FROM summ""")
+          'low': low, 'info': info}}, 'copilot_detected': detected_ai_code}}) AS VARCHAR) AS details,
+        'pending' AS resolution_state FROM summ JOIN flags ON flag_id = file_id""", FLAGS)
     export = "FROM logs"
     out["export_audit_csv"] = f"""WITH {AUDIT} SELECT id, {ISO} AS timestamp, event_type, org, repo, pr_number, commit_sha,
       author, action_taken, violations_count, resolution_state {export}"""
     out["export_audit_json"] = f"WITH {AUDIT} SELECT id, CAST(to_json({{{_AUDIT_JSON}}}) AS VARCHAR) AS json {export}"
 
     out["dedup_rule"] = scan_sql(
-        CATALOGUE.select(packs=["default-security"]),
+        CATALOGUE.list_rules(),
         "SELECT file_id, rule_id, line_start, line_end, label, pattern_ord FROM hits")
     out["dedup_location"] = core(f"SELECT {cols(SHORT)} FROM uniq", rules=CATALOGUE.list_rules())
     out["severity_summary"] = core("""SELECT file_id, total_issues, critical, high, medium, low, info,
@@ -513,27 +554,30 @@ def build() -> dict[str, str]:
           NOT coalesce(bool_or(contains(lower(description), 'error') OR contains(lower(description), 'catch')), FALSE)
             AS error_handling
         FROM files f LEFT JOIN hits USING (file_id) GROUP BY ALL""")
-    out["pr_rollup"] = core(f"SELECT org, repo, pr_number, {ROLL} FROM enforced GROUP BY org, repo, pr_number",
-                            resolved(), ENFORCED)
+    flagged = "(SELECT e.*, detected_ai_code FROM enforced e JOIN flags ON flag_id = file_id)"
+    out["pr_rollup"] = core(f"""SELECT org, repo, pr_number, bool_or(detected_ai_code) AS detected_ai_code, {ROLL}
+      FROM {flagged} GROUP BY org, repo, pr_number""", resolved(), ENFORCED, FLAGS)
+    out["push_rollup"] = f"WITH {push_ctes()} SELECT * EXCLUDE (enforcement_mode) FROM push_rolled"
     mode = "enforcement_mode"
-    out["commit_status"] = core(f"""SELECT 'pull_request' AS kind, org, repo, pr_number,
+    prs = core(f"""SELECT 'pull_request' AS kind, org, repo, pr_number, commit_sha,
         CASE WHEN {action(mode)} = 'block' THEN 'failure' ELSE 'success' END AS state,
         left(CASE WHEN {mode} = 'advisory' THEN 'Advisory mode - informational only'
           WHEN {mode} = 'warning' AND total_issues > 0 THEN 'Found ' || total_issues || ' issues (warning mode)'
           WHEN {mode} = 'blocking' AND critical + high > 0
             THEN 'Found ' || critical || ' critical and ' || high || ' high severity issues'
           WHEN {mode} = 'blocking' AND total_issues > 0 THEN 'Found ' || total_issues || ' medium/low issues'
-          ELSE 'All checks passed' END, 140) AS description FROM prs
-      UNION ALL SELECT 'push', org, repo, 0,
+          ELSE 'All checks passed' END, 140) AS description FROM prs""",
+        resolved(), ENFORCED,
+        f"""prs AS (SELECT org, repo, pr_number, commit_sha, {mode}, {ROLL} FROM enforced
+          JOIN (SELECT file_id, commit_sha FROM files) USING (file_id) GROUP BY org, repo, pr_number, commit_sha, {mode})""")
+    out["commit_status"] = f"""SELECT * FROM ({prs})
+      UNION ALL SELECT * FROM (WITH {push_ctes()} SELECT 'push', org, repo, CAST(NULL AS INT), commit_sha,
         CASE WHEN {mode} = 'blocking' AND critical + high > 0 THEN 'failure' ELSE 'success' END,
         left(CASE WHEN {mode} = 'blocking' AND critical + high > 0
             THEN 'Found ' || critical || ' critical and ' || high || ' high severity issues'
           WHEN total_issues > 0
             THEN 'Found ' || total_issues || ' issues (' || critical || ' critical, ' || high || ' high)'
-          ELSE 'All security checks passed' END, 140) FROM reps""",
-        resolved(), ENFORCED,
-        f"prs AS (SELECT org, repo, pr_number, {mode}, {ROLL} FROM enforced GROUP BY org, repo, pr_number, {mode})",
-        f"reps AS (SELECT org, repo, {mode}, {ROLL} FROM enforced GROUP BY org, repo, {mode})")
+          ELSE 'All security checks passed' END, 140) FROM push_rolled)"""
     out["report_totals"] = core("""SELECT *, CAST(critical + high > 0 AS INT) AS exit_code,
         CAST(to_json({'summary': {'totalFiles': total_files, 'totalIssues': total_issues, 'critical': critical,
           'high': high, 'medium': medium, 'low': low, 'info': info}}) AS VARCHAR) AS report_json
@@ -552,7 +596,7 @@ def build() -> dict[str, str]:
       FROM (SELECT *, row_number() OVER (PARTITION BY org, repo, pr_number, severity
         ORDER BY file_path, line_start, line_end, rule_id) AS n FROM uniq)""")
     out["severity_sorted"] = scan_sql(
-        CATALOGUE.select(packs=["enterprise-standards"]),
+        CATALOGUE.list_rules(),
         f"""SELECT CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 WHEN 'low' THEN 4 ELSE 5 END
           AS severity_rank, {cols(SHORT)} FROM hits ORDER BY severity_rank, file_path, line_start, line_end, rule_id""")
     out["ai_parse"] = f"WITH {AI} SELECT file_id, parse_failed, CAST(len(found) AS INT) AS findings FROM parsed"
@@ -575,12 +619,12 @@ def build() -> dict[str, str]:
           {'r': 0, 'p': 0, 'm': pos}
           FROM ai_rows)
       QUALIFY row_number() OVER (PARTITION BY file_path, line_start, line_end ORDER BY source_ord, ord) = 1""",
-        AI, AI_ROWS, rules=CATALOGUE.select(packs=["default-security"]))
+        AI, AI_ROWS, rules=CATALOGUE.list_rules())
     out["sink_scan_results"] = core("""SELECT category, severity, count(*) AS violations, count(DISTINCT file_id) AS files
         FROM uniq GROUP BY ALL
       UNION ALL SELECT 'scan_results', CASE WHEN total_issues = 0 THEN 'clean' ELSE 'violations_found' END, 0, count(*)
         FROM summ GROUP BY ALL""")
-    out["stream_scan"] = scan_sql(CATALOGUE.select(packs=["enterprise-standards"]), f"SELECT {cols(SHORT)} FROM hits")
+    out["stream_scan"] = scan_sql(CATALOGUE.list_rules(), f"SELECT {cols(SHORT)} FROM hits")
     out["stream_latest_report"] = scan_sql(CATALOGUE.list_rules(), """,
       dated AS (SELECT f.file_id, f.org, f.repo, f.pr_number, o_orderdate AS scanned_at, count(h.rule_id) AS total_issues,
           count(*) FILTER (WHERE h.severity = 'critical') AS critical, count(*) FILTER (WHERE h.severity = 'high') AS high

@@ -10,7 +10,7 @@ from scanfold.functions import kernel, naming
 from scanfold.functions.dialect import to_jvm
 from scanfold.functions.paths import detect_language, is_supported
 from scanfold.functions.text import let, line_range, lines_of, strip
-from scanfold.operators import ai, audit, config, dedup, events, license, report, rollup, rules_store, select
+from scanfold.operators import ai, audit, config, dedup, events, license, pushes, report, rollup, rules_store, select
 from scanfold.operators.scan import explode_violations, find_violations, scan
 from scanfold.operators.similarity import similar_sources
 from scanfold.sources import derived, sinks
@@ -77,6 +77,22 @@ def changed_files(spark, sf):
     return events.changed_files(events.push_events(derived.frame(spark, sf, derived.PUSH_PAYLOADS)))
 
 
+def _push_log(spark, sf):
+    return events.push_events(derived.frame(spark, sf, derived.PUSH_LOG))
+
+
+def pushed_versions(spark, sf):
+    """For each file a push changed, the version that its commit sees."""
+    versions = derived.frame(spark, sf, derived.FILE_VERSIONS).select("org", "repo", "file_path", "position", "version_id")
+    return pushes.pushed_versions(_push_log(spark, sf), versions).select(
+        "event_id", "org", "repo", "commit_sha", "file_path", F.col("version.version_id").alias("version_id"))
+
+
+def _ai_flags(spark, sf, key: str) -> DataFrame:
+    """The detector's verdict by file or version."""
+    return ai.authorship(derived.frame(spark, sf, derived.AUTHORSHIP)).select(F.col("file_id").alias(key), "detected_ai_code")
+
+
 def detect_languages(spark, sf):
     code = derived_files(spark, sf).select("file_path")
     pages = table(spark, sf, "pages").select(F.col("url").alias("file_path"))
@@ -141,9 +157,8 @@ def with_patch(files: DataFrame) -> DataFrame:
 
 def diff_only_hits(spark, sf):
     files = with_patch(code_files(spark, sf)).withColumn("added", events.added_lines(F.col("patch"))).drop("patch")
-    rules = CATALOGUE.select(["SEC-003", "STD-002", "SEC-001"])
-    found = explode_violations(find_violations(files, rules, languages=CATALOGUE.languages(), keep=("added",)))
-    return events.on_added_lines(found).select(*SHORT)
+    found = find_violations(files, CATALOGUE.list_rules(), languages=CATALOGUE.languages(), keep=("added",))
+    return explode_violations(events.on_added_lines(found)).select(*SHORT)
 
 
 def config_overlay(spark, sf):
@@ -321,16 +336,28 @@ def _enforced(spark, sf) -> DataFrame:
     return _with_action(_core_scan(spark, sf).drop("violations"), spark, sf)
 
 
+def _flagged(counted: DataFrame, spark, sf) -> DataFrame:
+    """With the detector's flag; a file it has not seen has none."""
+    return counted.join(_ai_flags(spark, sf, "file_id"), "file_id", "left").withColumn(
+        "detected_ai_code", F.coalesce("detected_ai_code", F.lit(False)))
+
+
 def _with_action(counted: DataFrame, spark, sf) -> DataFrame:
     modes = derived.configurations(spark, sf).select("org", "repo", "enforcement_mode", "override_allowed")
     return config.resolve(counted, modes).withColumn("enforcement_action", rollup.enforcement(
         F.col("enforcement_mode"), F.col("total_issues"), F.col("critical"), F.col("high")))
 
 
+def _stored_scans(spark, sf) -> DataFrame:
+    """Scan results of all rules as a stored table holds them."""
+    return staged(find_violations(code_files(spark, sf), CATALOGUE.list_rules(), languages=CATALOGUE.languages()).select(
+        "file_id", "org", "repo", F.transform("violations", lambda v: F.struct(
+            *[v[c].alias(c) for c in ("rule_id", "line_start", "line_end", "severity")])).alias("violations")))
+
+
 def violations_by_repo(spark, sf):
     """Violations joined to their scan result; counted per scan before the join."""
-    scanned = find_violations(code_files(spark, sf), CATALOGUE.select(packs=["default-security"]),
-                              languages=CATALOGUE.languages())
+    scanned = _stored_scans(spark, sf)
     results = scanned.select("file_id", "org", "repo")
     per_scan = explode_violations(scanned.select("file_id", "violations")).groupBy("file_id", "severity").agg(
         F.count(F.lit(1)).alias("n"))
@@ -338,7 +365,7 @@ def violations_by_repo(spark, sf):
 
 
 def cascade_delete(spark, sf):
-    scanned = find_violations(code_files(spark, sf), CATALOGUE.select(["SEC-002"]), languages=CATALOGUE.languages())
+    scanned = _stored_scans(spark, sf)
     deleted = table(spark, sf, "orders").filter(F.col("o_orderstatus") == "F").select(
         F.col("o_orderkey").alias("file_id"))
     _, left = sinks.delete_scans(explode_violations(scanned), scanned, deleted)
@@ -390,7 +417,7 @@ def audit_resolve(spark, sf):
 
 def audit_from_scan(spark, sf):
     modes = F.when(F.col("file_id") % 2 == 0, "blocking").otherwise("warning")
-    acted = _core_scan(spark, sf).withColumn("detected_ai_code", F.lit(False)).withColumn(
+    acted = _flagged(_core_scan(spark, sf).drop("violations"), spark, sf).withColumn(
         "enforcement_action", rollup.enforcement(modes, F.col("total_issues"), F.col("critical"), F.col("high")))
     return audit.from_scan(acted, F.expr(NOW)).drop("id", "timestamp")
 
@@ -408,8 +435,7 @@ def export_audit_json(spark, sf):
 def dedup_rule(spark, sf):
     """Row-wise de-duplication of raw hits."""
     raw = explode_violations(find_violations(
-        code_files(spark, sf), CATALOGUE.select(packs=["default-security"]), languages=CATALOGUE.languages(),
-        dedupe="none"))
+        code_files(spark, sf), CATALOGUE.list_rules(), languages=CATALOGUE.languages(), dedupe="none"))
     return dedup.first_per_key(
         raw.select("file_id", "rule_id", "line_start", "line_end", "label", "pattern_ord", "match_ord"),
         ["file_id", "rule_id", "line_start", "line_end"], ["pattern_ord", "match_ord"]).drop("match_ord")
@@ -439,22 +465,34 @@ def standards_compliance(spark, sf):
     return rollup.standards_flags(scanned).select("file_id", "naming", "logging", "error_handling")
 
 
-def _rolled(spark, sf):
-    return rollup.roll_up(_enforced(spark, sf), "org", "repo", "pr_number", "enforcement_mode", "override_allowed")
+def _rolled(spark, sf, *keys: str):
+    return rollup.roll_up(_flagged(_enforced(spark, sf), spark, sf), "org", "repo", "pr_number", *keys)
 
 
 def pr_rollup(spark, sf):
-    return _rolled(spark, sf).drop("enforcement_mode", "override_allowed")
+    return _rolled(spark, sf)
+
+
+def _pushes_rolled(spark, sf):
+    versions = derived.file_versions(spark, sf).join(_ai_flags(spark, sf, "version_id"), "version_id", "left").withColumn(
+        "detected_ai_code", F.coalesce("detected_ai_code", F.lit(False)))
+    configs = derived.configurations(spark, sf)
+    log = _push_log(spark, sf)
+    return pushes.push_roll_up(log, staged(pushes.scan_pushes(log, versions, configs, CATALOGUE)), configs)
+
+
+def push_rollup(spark, sf):
+    return _pushes_rolled(spark, sf).drop("enforcement_mode")
 
 
 def commit_status(spark, sf):
-    """Pull-request states, and repository states rolled up from them."""
-    per_pr = staged(_rolled(spark, sf))
+    """States of pull requests, on their head commit, and of pushes, each on its own."""
+    per_pr = _rolled(spark, sf, "commit_sha", "enforcement_mode", "override_allowed")
     prs = rollup.pr_status(per_pr).select(
-        F.lit("pull_request").alias("kind"), "org", "repo", "pr_number", "state", "description")
-    pushes = rollup.push_status(rollup.roll_up(per_pr, "org", "repo", "enforcement_mode")).select(
-        F.lit("push").alias("kind"), "org", "repo", F.lit(0).alias("pr_number"), "state", "description")
-    return prs.unionByName(pushes)
+        F.lit("pull_request").alias("kind"), "org", "repo", "pr_number", "commit_sha", "state", "description")
+    per_push = rollup.push_status(_pushes_rolled(spark, sf)).select(
+        F.lit("push").alias("kind"), "org", "repo", F.lit(None).cast("int").alias("pr_number"), "commit_sha", "state", "description")
+    return prs.unionByName(per_push)
 
 
 def report_totals(spark, sf):
@@ -478,7 +516,7 @@ def report_tiers(spark, sf):
 
 
 def severity_sorted(spark, sf):
-    return report.by_severity(scan(code_files(spark, sf), packs=["enterprise-standards"])).select(
+    return report.by_severity(scan(code_files(spark, sf))).select(
         "severity_rank", *SHORT)
 
 
@@ -513,7 +551,7 @@ def ai_authorship(spark, sf):
 def combine_hits(spark, sf):
     """Rule hits, then model findings on security, then on standards; the first per location stays."""
     columns = ["file_path", "line_start", "line_end", "rule_id", "ord"]
-    rule_hits = scan(code_files(spark, sf), packs=["default-security"], dedupe="location").select(
+    rule_hits = scan(code_files(spark, sf), dedupe="location").select(
         "file_path", "line_start", "line_end", "rule_id",
         F.struct("rule_ord", "pattern_ord", "match_ord").alias("ord"))
     found = ai.violations(ai.parse(derived.frame(spark, sf, derived.AI_RESPONSES)))
@@ -548,8 +586,7 @@ def stream_scan(spark, sf):
     """Files scanned as they arrive, read back from the sink."""
     out = shared_folder(spark)
     files = build_files(_order_stream(spark, sf, f"{sf}/orders*.parquet").select("o_orderkey", "o_custkey"))
-    query = streaming.scan_stream(files, CATALOGUE.select(packs=["enterprise-standards"]), f"{out}/sink",
-                                  f"{out}/checkpoint")
+    query = streaming.scan_stream(files, CATALOGUE.list_rules(), f"{out}/sink", f"{out}/checkpoint")
     query.awaitTermination()
     return explode_violations(spark.read.parquet(f"{out}/sink")).select(*SHORT)
 
@@ -586,7 +623,7 @@ QUERIES = {
     **{key: _rule(rule_id) for key, rule_id in RULE_KEYS.items()},
     **{key: _pack(name) for key, name in PACK_KEYS.items()},
     **{f.__name__: f for f in (
-        src_code_files, src_pr_events, src_push_events, changed_files, supported_files, rules_applicable,
+        src_code_files, src_pr_events, src_push_events, changed_files, pushed_versions, push_rollup, supported_files, rules_applicable,
         config_resolve, rules_selected, scan_pack, path_scope_filter, diff_only_hits, config_overlay, list_rules,
         pack_listing, regex_finditer, line_numbers, snippets, context_window, comment_skip, brace_body,
         std_003_async, secrets_in_documents, naming_fix, scan_security, scan_standards, custom_regex_rules,

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanfold.sources.tables import table
+from scanfold.sources.corpus import EXTENSION, build_files
+from scanfold.sources.tables import spread, table
 
 
 def _s(expr: str) -> str:
@@ -148,6 +149,42 @@ PUSH_PAYLOADS = ("events", {
                + _COMMIT_A + " || ',' || " + _COMMIT_B + " END || ']}'",
 })
 
+# Versions of files by commit order: repositories with some hundred versions of 20 paths. Three versions share a content,
+# that of the code corpus' file body_key.
+_REPO_KEY = "(o_custkey - o_custkey % 8)"
+BODY_KEY = "o_orderkey - 20 * (CAST(floor(o_orderkey / 20.0) AS BIGINT) % 3)"
+
+
+def version_path(key: str) -> str:
+    """The path of a version, which depends on its key's rest by 20 only, as the language of the content does."""
+    folder = f"CASE WHEN ({key}) % 20 IN (2, 7) THEN 'src/tests/test_mod' ELSE 'src/mod' END"
+    return f"{folder} || {_s(f'({key}) % 20')} || {EXTENSION.replace('o_orderkey', f'({key})')}"
+
+
+FILE_VERSIONS = ("orders", {
+    "version_id": "o_orderkey", "position": "o_orderkey", "body_key": BODY_KEY,
+    "org": f"'org' || {_s(f'{_REPO_KEY} % 25')}", "repo": f"'repo' || {_s(_REPO_KEY)}",
+    "file_path": version_path("o_orderkey"), "removed": "o_orderkey % 23 = 7",
+})
+
+
+def _commit(added: str, *modified: str) -> str:
+    paths = [f"'\"' || {version_path(k)} || '\"'" for k in (added, *modified)]
+    return ("'{\"added\":[' || " + paths[0] + " || '],\"modified\":[' || " + " || ',' || ".join(paths[1:]) +
+            " || '],\"removed\":[\"src/gone.py\"]}'")
+
+
+PUSH_LOG = ("orders", {
+    "event_id": "o_orderkey",
+    "payload": "'{\"ref\":\"refs/heads/' || CASE o_orderkey % 7 WHEN 0 THEN 'dev' WHEN 1 THEN 'master' ELSE 'main' END || "
+               "'\",\"after\":\"' || md5(" + _s("o_orderkey") + ") || '\",\"repository\":{\"owner\":{\"login\":\"org' || "
+               + _s(f"{_REPO_KEY} % 25") + " || '\"},\"name\":\"repo' || " + _s(_REPO_KEY) +
+               " || '\"},\"pusher\":{\"name\":\"user' || " + _s("o_custkey % 97") + " || '\"},\"commits\":[' || "
+               "CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN " + _commit("o_orderkey", "o_orderkey + 7", "o_orderkey + 13") +
+               " ELSE " + _commit("o_orderkey + 1", "o_orderkey + 4", "o_orderkey") + " || ',' || "
+               + _commit("o_orderkey + 4", "o_orderkey + 9", "o_orderkey + 18") + " END || ']}'",
+}, "o_orderkey % 3 <> 0")
+
 OVERRIDE_COMMAND = "/scanfold override"
 COMMENTS = ("conversations", {
     "comment_id": f"{_s('conv_id')} || '-' || {_s('turn')}",
@@ -255,3 +292,13 @@ def parsed_config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def custom_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = frame(spark, sf_dir, CUSTOM_RULES)
     return rows.withColumn("languages", split_list(F.col("languages_csv"))).drop("languages_csv")
+
+
+def file_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """version_id, org, repo, file_path, position, code: null where the version removes the file."""
+    base, fields = FILE_VERSIONS
+    rows = spread(table(spark, sf_dir, base).select("o_orderkey", "o_custkey"), "o_orderkey").select(
+        "o_custkey", *[F.expr(sql).alias(f"v_{name}") for name, sql in fields.items()]).withColumn("o_orderkey", F.col("v_body_key"))
+    built = build_files(rows, **{f"v_{name}": f"v_{name}" for name in fields})
+    return built.select(*[F.col(f"v_{c}").alias(c) for c in ("version_id", "org", "repo", "file_path", "position")],
+                        F.when(~F.col("v_removed"), F.col("code")).alias("code"))
