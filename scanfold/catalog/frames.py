@@ -16,7 +16,8 @@ MAX_BROADCAST_PATTERNS = 20_000
 
 PATTERN_FIELDS = (
     "rule_ord int, pattern_ord int, rule_id string, severity string, category string, label string, "
-    "title string, message string, owasp string, cwe string, jvm string, jvm_ascii string, gate array<string>, "
+    "title string, message string, owasp string, cwe string, regex_id int, require_id int, suppress_id int, "
+    "jvm string, jvm_ascii string, gate array<string>, "
     "`check` string, before int, after int, require string, require_ascii string, require_gate array<string>, "
     "suppress string, suppress_ascii string, suppress_gate array<string>, drop_re string, "
     "multi_line boolean, snippet_span boolean, snippet_extra int, skip_path string, default_detail string, "
@@ -63,18 +64,39 @@ def pattern_records(rules: list[Rule], languages: list[str]) -> list[dict]:
     return records
 
 
+def distinct_regexes(records: list[dict]) -> tuple[list[str], list[str]]:
+    """The regexes of the patterns, and those of their contexts; a pattern names them by their places."""
+    patterns = sorted({r["jvm_ascii"] for r in records})
+    contexts = sorted({r[k] for r in records for k in ("require_ascii", "suppress_ascii")} - {""})
+    return patterns, contexts
+
+
+def literal_index(patterns: list[dict]) -> list[tuple[str, list[int]]]:
+    """Literal -> places of the patterns it opens; patterns that no literal guards are under the empty one."""
+    index: dict[str, list[int]] = {}
+    for i, p in enumerate(patterns):
+        for literal in dict.fromkeys(p["gate"] or [""]):
+            index.setdefault(literal, []).append(i)
+    return list(index.items())
+
+
 def language_patterns(spark: SparkSession, rules: list[Rule], languages: list[str]) -> DataFrame:
-    """language -> array of pattern structs; ANY stands for every other language."""
+    """language -> array of pattern structs, and the index from literals to them; ANY stands for every other language."""
     records = pattern_records(rules, languages)
     if len(records) > MAX_BROADCAST_PATTERNS:
         raise ValueError(f"{len(records)} patterns exceed the broadcast bound of {MAX_BROADCAST_PATTERNS}")
+    regexes, contexts = ({x: i for i, x in enumerate(xs)} for xs in distinct_regexes(records))
+    for r in records:
+        r |= dict(regex_id=regexes[r["jvm_ascii"]], require_id=contexts.get(r["require_ascii"], -1),
+                  suppress_id=contexts.get(r["suppress_ascii"], -1))
     names = [f.split()[0].strip("`") for f in
              PATTERN_FIELDS.replace("struct<raw:string,jvm:string,gate:string>", "x").split(", ")]
-    rows = [
-        (language, [tuple(r[n] for n in names) for r in records if r["language"] == language])
-        for language in list(languages) + [ANY]
-    ]
-    schema = f"scan_language string, patterns array<struct<{_colon(PATTERN_FIELDS)}>>"
+    rows = []
+    for language in list(languages) + [ANY]:
+        own = [r for r in records if r["language"] == language]
+        rows.append((language, [tuple(r[n] for n in names) for r in own], literal_index(own)))
+    schema = (f"scan_language string, patterns array<struct<{_colon(PATTERN_FIELDS)}>>, "
+              "literals array<struct<literal:string,opens:array<int>>>")
     return F.broadcast(spark.createDataFrame(rows, schema))
 
 

@@ -10,17 +10,22 @@ All of it is Column expressions over one row: no shuffle, no Python worker.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scanfold.catalog import model
 from scanfold.catalog.government import CIPHER_CONTEXT_CHARS, CIPHER_CONTEXT_WORDS
 from scanfold.functions.dialect import FOLDING_CHARS
-from scanfold.functions.text import before_first, count_up, let, line_range, lines_of, occurrences, prefix_minima, prefix_sums, strip
+from scanfold.functions.text import before_first, count_up, let, line_range, lines_of, newlines, occurrences, prefix_minima, prefix_sums, strip
 
 # Unicode noncharacters, reserved for use inside a process.
 MARKERS = (("﷐", "﷑"), ("﷒", "﷓"), ("﷔", "﷕"), ("﷖", "﷗"))
 
+#: Matches up to which a text is read once for each of them.
+FEW = 8
+
 VIOLATION_SCHEMA = (
     "array<struct<line_start:int,line_end:int,rule_ord:int,pattern_ord:int,match_ord:int,"
     "rule_id:string,severity:string,category:string,label:string,title:string,description:string,"
@@ -69,6 +74,50 @@ def bracket(text: Column, regex: Column, marks: Column) -> Column:
     return F.regexp_replace(text, regex, F.concat(marks["open"], F.lit("$0"), marks["close"]))
 
 
+def by_regex(number: Column, regexes: list[str], use: Callable[[Column], Column], other: Column) -> Column:
+    """``use`` of the regex with this number, or ``other`` for a number below 0.
+
+    A regex that is a constant of the expression is compiled once for a task; one
+    that is data is compiled for every call. Halving finds the number's branch.
+    """
+    def branch(a: int, b: int) -> Column:
+        if b - a == 1:
+            return use(F.lit(regexes[a]))
+        middle = (a + b) // 2
+        return F.when(number < middle, branch(a, middle)).otherwise(branch(middle, b))
+    return F.when(number < 0, other).otherwise(branch(0, len(regexes))) if regexes else other
+
+
+def sql_text(value: str) -> str:
+    """A text as a literal of SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def bracketed(patterns: str, regexes: list[str]) -> Column:
+    """For each pattern of an array column, ``code`` with the matches bracketed; as ``by_regex``, for hundreds of regexes.
+
+    The branches are one SQL text, which is parsed in one go.
+    """
+    put = "concat(_marks.open, '$0', _marks.close)"
+
+    def branch(a: int, b: int) -> str:
+        if b - a == 1:
+            return f"regexp_replace(code, {sql_text(regexes[a])}, {put})"
+        middle = (a + b) // 2
+        return f"CASE WHEN p.regex_id < {middle} THEN {branch(a, middle)} ELSE {branch(middle, b)} END"
+    own = f"regexp_replace(code, CASE WHEN _ascii THEN p.jvm_ascii ELSE p.jvm END, {put})"
+    whole = f"CASE WHEN NOT _ascii OR p.regex_id < 0 THEN {own} ELSE {branch(0, len(regexes))} END" if regexes else own
+    return F.expr(f"transform({patterns}, p -> {whole})")
+
+
+def few_spans(marked: Column, marks: Column, count: Column) -> Column:
+    """``match_spans`` by reading the text up to each of its matches; for a small ``count`` of them."""
+    def line(mark: Column, k: Column) -> Column:
+        return (newlines(F.call_function("substring_index", marked, mark, k)) + 1).cast("int")
+    return F.transform(F.sequence(F.lit(1), count.cast("int")), lambda k: F.struct(
+        line(marks["open"], k).alias("first"), line(marks["close"], k).alias("last")))
+
+
 def match_spans(marked: Column, marks: Column) -> Column:
     """array<struct<first:int,last:int>>: line of each match's start and end.
 
@@ -101,18 +150,18 @@ def finditer(text: Column, regex: Column, marks: Column) -> Column:
 
 # --- checks -----------------------------------------------------------------
 
-def _searched(default: bool, text: Column, ascii_text: Column, p: Column, name: str) -> Column:
+def _searched(default: bool, text: Column, ascii_text: Column, p: Column, name: str, contexts: list[str]) -> Column:
     """Does the text match the named word set of ``p``?  Asks the literal gate before the regex."""
     gate = p[f"{name}_gate"]
-    regex = F.when(ascii_text, p[f"{name}_ascii"]).otherwise(p[name])
     gated = let(F.lower(text), lambda low: F.exists(gate, lambda g: F.contains(low, g)))
-    return F.when(p[name] == "", F.lit(default)).otherwise(
-        ((F.size(gate) == 0) | ~ascii_text | gated) & F.rlike(text, regex))
+    found = F.when(ascii_text, by_regex(p[f"{name}_id"], contexts, lambda r: F.rlike(text, r), F.rlike(text, p[f"{name}_ascii"]))
+                   ).otherwise(F.rlike(text, p[name]))
+    return F.when(p[name] == "", F.lit(default)).otherwise(((F.size(gate) == 0) | ~ascii_text | gated) & found)
 
 
-def _window_kept(context: Column, ascii_text: Column, p: Column) -> Column:
-    return (_searched(True, context, ascii_text, p, "require")
-            & ~_searched(False, context, ascii_text, p, "suppress"))
+def _window_kept(context: Column, ascii_text: Column, p: Column, contexts: list[str]) -> Column:
+    return (_searched(True, context, ascii_text, p, "require", contexts)
+            & ~_searched(False, context, ascii_text, p, "suppress", contexts))
 
 
 def glued_context(lines: Column, first: Column, before: Column, after: Column) -> Column:
@@ -233,8 +282,12 @@ def _fill(template: Column, detail: Column) -> Column:
 
 
 def pattern_hits(code: Column, lines: Column, language: Column, marks: Column, ascii_text: Column, p: Column,
-                 checks: set[str]) -> Column:
-    """Every kept hit of pattern ``p``; ``checks`` limits the expression to the checks in use."""
+                 marked: Column, checks: set[str], contexts: list[str]) -> Column:
+    """Every kept hit of pattern ``p``, whose matches ``marked`` has bracketed.
+
+    ``checks`` limits the expression to the checks in use; ``contexts`` are the
+    regexes that the numbers of require and suppress stand for.
+    """
     regex = F.when(ascii_text, p["jvm_ascii"]).otherwise(p["jvm"])
     empty = F.array().cast(VIOLATION_SCHEMA)
 
@@ -243,14 +296,18 @@ def pattern_hits(code: Column, lines: Column, language: Column, marks: Column, a
     def kept(j: Column, extra: Column) -> Column:
         span, i = j["span"], j["match_ord"]
         line = F.element_at(lines, span["first"])
+
+        def around() -> Column:
+            """One expression for both kinds of context, so that their regexes occur once."""
+            texts = {model.WINDOW: lambda: line_range(lines, span["first"] - p["before"], _last(span, p) + p["after"]),
+                     model.GLUED: lambda: glued_context(lines, span["first"], p["before"], p["after"])}
+            return let(_by_check(p, {c: f for c, f in texts.items() if c in checks}),
+                       lambda c: _window_kept(c, ascii_text, p, contexts))
+
         return _by_check(p, {c: f for c, f in {
             model.PLAIN: lambda: F.lit(True),
-            model.WINDOW: lambda: let(
-                line_range(lines, span["first"] - p["before"], _last(span, p) + p["after"]),
-                lambda c: _window_kept(c, ascii_text, p)),
-            model.GLUED: lambda: let(
-                glued_context(lines, span["first"], p["before"], p["after"]),
-                lambda c: _window_kept(c, ascii_text, p)),
+            model.WINDOW: around,
+            model.GLUED: around,
             model.COMMENT: lambda: ~commented_before(
                 F.element_at(extra, span["first"]), marks["open"], language),
             model.CAPTURE: lambda: ~F.rlike(F.element_at(extra, i + 1), p["drop_re"]),
@@ -301,15 +358,15 @@ def pattern_hits(code: Column, lines: Column, language: Column, marks: Column, a
                 out = F.when(p["check"] == check, expression()).otherwise(out)
         return out
 
-    def found(marked: Column) -> Column:
-        spans = match_spans(marked, marks)
+    def found(marked: Column, count: Column) -> Column:
+        spans = F.when(count <= FEW, few_spans(marked, marks, count)).otherwise(match_spans(marked, marks))
         numbered = F.transform(spans, lambda s, i: F.struct(s.alias("span"), i.cast("int").alias("match_ord")))
         return let(extras(marked), lambda extra: F.transform(
             F.filter(numbered, lambda j: kept(j, extra)),
             lambda j: let(detail_of(j, extra), lambda d: hit(j, d))))
 
-    return let(bracket(code, regex, marks), lambda marked: F.when(
-        F.contains(marked, marks["open"]), found(marked)).otherwise(empty))
+    return F.when(F.contains(marked, marks["open"]), let(
+        occurrences(marked, marks["open"]), lambda n: found(marked, n))).otherwise(empty)
 
 
 def _last(span: Column, p: Column) -> Column:
@@ -317,12 +374,15 @@ def _last(span: Column, p: Column) -> Column:
 
 
 def _by_check(p: Column, expressions: dict, default: Column | None = None) -> Column:
-    """The expression of the pattern's own check; the others are not evaluated."""
-    names = list(expressions)
+    """The expression of the pattern's own check; the others are not evaluated. Checks with one expression share it."""
+    groups: dict = {}
+    for name, expression in expressions.items():
+        groups.setdefault(expression, []).append(name)
+    order = list(groups.items())
     if default is None:
-        default = expressions[names.pop()]()
-    for name in names:
-        default = F.when(p["check"] == name, expressions[name]()).otherwise(default)
+        default = order.pop()[0]()
+    for expression, names in order:
+        default = F.when(p["check"].isin(names), expression()).otherwise(default)
     return default
 
 

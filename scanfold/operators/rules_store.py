@@ -66,7 +66,7 @@ def _as_pattern() -> Column:
         "rule_ord": F.lit(100_000), "pattern_ord": F.lit(0), "rule_id": F.col("id"), "severity": F.col("severity"),
         "category": F.col("category"), "label": F.col("name"), "title": F.col("name"),
         "message": F.coalesce("description", "name"), "owasp": F.col("owasp_mapping"), "cwe": F.col("cwe_id"),
-        "jvm": F.col("jvm"), "jvm_ascii": F.col("jvm_ascii"), "gate": F.col("gate"), "check": F.lit("plain"),
+        "regex_id": F.lit(-1), "require_id": F.lit(-1), "suppress_id": F.lit(-1), "jvm": F.col("jvm"), "jvm_ascii": F.col("jvm_ascii"), "gate": F.col("gate"), "check": F.lit("plain"),
         "multi_line": F.lit(True), "snippet_span": F.lit(True),
     }
     blanks = {"int": F.lit(0), "string": F.lit(""), "boolean": F.lit(False)}

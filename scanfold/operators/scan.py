@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanfold.catalog import ANY, Catalogue, Rule
-from scanfold.catalog.frames import language_patterns, pattern_records
+from scanfold.catalog.frames import distinct_regexes, language_patterns, pattern_records
 from scanfold.functions import kernel
 from scanfold.functions.text import lines_of
 
@@ -25,6 +25,13 @@ def _gate_open(p: Column, lowered: Column, odd: Column) -> Column:
     return (F.size(p["gate"]) == 0) | odd | F.exists(p["gate"], lambda g: F.contains(lowered, g))
 
 
+def _opened(patterns: Column, literals: Column, lowered: Column, odd: Column) -> Column:
+    """The patterns that the literals found in the text open, in their order: each literal is looked for once."""
+    found = F.filter(literals, lambda x: (x["literal"] == "") | F.contains(lowered, x["literal"]))
+    numbers = F.array_sort(F.array_distinct(F.flatten(F.transform(found, lambda x: x["opens"]))))
+    return F.when(odd, patterns).otherwise(F.transform(numbers, lambda i: F.get(patterns, i)))
+
+
 def find_violations(files: DataFrame, rules: list[Rule], *, languages: list[str] | None = None,
                     selected: str | None = None, extra_patterns: str | None = None,
                     dedupe: str = "rule", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -37,6 +44,7 @@ def find_violations(files: DataFrame, rules: list[Rule], *, languages: list[str]
     languages = languages or Catalogue.builtin().languages()
     records = pattern_records(rules, languages)
     checks = {r["check"] for r in records} or {"plain"}
+    regexes, contexts = distinct_regexes(records)
     skipping = any(r["skip_path"] for r in records)
 
     lang = F.lower(F.col("language"))
@@ -53,36 +61,39 @@ def find_violations(files: DataFrame, rules: list[Rule], *, languages: list[str]
     joined = prepared.join(language_patterns(spark, rules, languages), "scan_language", "left")
 
     columns = [c for c in FILE_COLUMNS if c in files.columns] + [c for c in keep if c not in FILE_COLUMNS]
-    shape = (spark.sparkContext.applicationId, frozenset(checks), skipping, selected, extra_patterns, dedupe)
+    opened = joined.withColumn("_open", _patterns_column(skipping, selected, extra_patterns)).drop("patterns", "literals")
+    if extra_patterns:
+        checks |= {"plain"}
+    shape = (spark.sparkContext.applicationId, frozenset(checks), dedupe, tuple(contexts))
     if shape not in _EXPRESSIONS:
-        _EXPRESSIONS[shape] = _violations_column(checks, skipping, selected, extra_patterns, dedupe)
-    return joined.select(*columns, _EXPRESSIONS[shape].alias("violations"))
+        _EXPRESSIONS[shape] = _violations_column(checks, dedupe, contexts)
+    marked = opened.withColumn("_marked", kernel.bracketed("_open", regexes))
+    return marked.select(*columns, _EXPRESSIONS[shape].alias("violations"))
 
 
-# The expression depends on the checks in use, not on the patterns: built once per session and shape.
+# The expression depends on the checks and contexts in use: built once per session and shape.
 _EXPRESSIONS: dict[tuple, Column] = {}
 
 
-def _violations_column(checks: set[str], skipping: bool, selected: str | None, extra_patterns: str | None,
-                       dedupe: str) -> Column:
-    patterns = F.coalesce(F.col("patterns"), F.array())
+def _patterns_column(skipping: bool, selected: str | None, extra_patterns: str | None) -> Column:
+    """The patterns to run on a row, in order."""
+    patterns = F.coalesce(_opened(F.col("patterns"), F.col("literals"), F.col("_lowered"), F.col("_odd")), F.array())
     if selected:
         patterns = F.transform(
             F.filter(patterns, lambda p: F.array_contains(F.col(selected), p["rule_id"])),
             lambda p: p.withField("rule_ord", F.array_position(F.col(selected), p["rule_id"]).cast("int")))
+    if skipping:
+        patterns = F.filter(patterns, lambda p: ~F.when(p["skip_path"] == "", F.lit(False)).otherwise(
+            F.rlike(F.col("file_path"), p["skip_path"])))
     if extra_patterns:
-        patterns = F.concat(patterns, F.coalesce(F.col(extra_patterns), F.array()))
-        checks = checks | {"plain"}
-
-    def runs(p: Column) -> Column:
-        gate = _gate_open(p, F.col("_lowered"), F.col("_odd"))
-        if skipping:
-            gate = gate & ~F.when(p["skip_path"] == "", F.lit(False)).otherwise(
-                F.rlike(F.col("file_path"), p["skip_path"]))
-        return gate
-
-    hits = F.flatten(F.transform(F.filter(patterns, runs), lambda p: kernel.pattern_hits(
-        F.col("code"), F.col("_lines"), F.col("_lang"), F.col("_marks"), F.col("_ascii"), p, checks)))
+        patterns = F.concat(patterns, F.filter(F.coalesce(F.col(extra_patterns), F.array()), lambda p: _gate_open(
+            p, F.col("_lowered"), F.col("_odd"))))
+    return patterns
+
+
+def _violations_column(checks: set[str], dedupe: str, contexts: list[str]) -> Column:
+    hits = F.flatten(F.zip_with("_open", "_marked", lambda p, marked: kernel.pattern_hits(
+        F.col("code"), F.col("_lines"), F.col("_lang"), F.col("_marks"), F.col("_ascii"), p, marked, checks, contexts)))
     ordered = kernel.sorted_hits(hits)
     if dedupe == "rule":
         return kernel.dedupe_rule(ordered)

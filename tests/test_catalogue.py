@@ -1,5 +1,7 @@
 import pytest
 
+from scanfold.catalog.frames import literal_index
+from scanfold.functions import kernel
 from scanfold.catalog import Catalogue, Rule, pats
 from scanfold.catalog import frames
 from scanfold.functions.dialect import pattern_error
@@ -50,3 +52,21 @@ def test_catalogue_size_is_checked_before_broadcast(spark, monkeypatch):
 def test_pattern_errors():
     assert pattern_error("(") and pattern_error("") and pattern_error(None)
     assert pattern_error("a+") is None
+
+
+def test_literal_index_opens_what_gates_open():
+    index = dict(literal_index([{"gate": ["a", "b", "a"]}, {"gate": []}, {"gate": ["b"]}]))
+    assert index == {"a": [0], "b": [0, 2], "": [1]}
+
+
+def test_short_form_of_spans_agrees(spark):
+    text = "x\n" + "".join(f"<a{i}\n{'y' * (i % 2)}>" + "\n" * (i % 3) for i in range(12))
+    marks = F.struct(F.lit("<").alias("open"), F.lit(">").alias("close"))
+    row = spark.createDataFrame([(text,)], "t string").select(
+        kernel.match_spans(F.col("t"), marks).alias("a"), kernel.few_spans(F.col("t"), marks, F.lit(12)).alias("b")).first()
+    assert row["a"] == row["b"] and len(row["a"]) == 12
+
+
+@pytest.mark.parametrize("regex", ["a'b", r"\d+\\x", '"q"', r"it\'s", "%_$"])
+def test_regex_as_sql_text(spark, regex):
+    assert spark.sql(f"SELECT {kernel.sql_text(regex)}").first()[0] == regex
