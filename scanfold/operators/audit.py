@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scanfold.sources.sinks import commit, committed
+
 # --- Fixed values: export columns and page size ------------------------------
 EXPORT_COLUMNS = ("id", "timestamp", "event_type", "org", "repo", "pr_number", "commit_sha", "author",
                   "action_taken", "violations_count", "resolution_state")
@@ -68,8 +70,22 @@ def write_json(logs: DataFrame, path: str, **filters) -> None:
     export_rows(logs, **filters).write.mode("overwrite").json(path)
 
 
-def append(entries: DataFrame, path: str) -> None:
-    entries.write.mode("append").parquet(path)
+def append(entries: DataFrame, path: str, run: str) -> bool:
+    """Append entries as one run, seen by readers as a whole or not at all; False if the run is there already."""
+    return commit({"audit_logs": entries}, path, run)
+
+
+def entry_rows(entries: DataFrame, run: str, now: Column) -> DataFrame:
+    """Manual entries as stored rows: an id from the run and the entry's ``number``, the time, and defaults."""
+    unset = {"scan_id": F.lit(None).cast("string"), "violations_count": F.lit(0), "resolution_state": F.lit("pending")}
+    given = [F.coalesce(c, d).alias(c) if c in entries.columns else d.alias(c) for c, d in unset.items()]
+    return entries.select(F.sha2(F.concat_ws("|", F.lit(run), F.col("number").cast("string")), 256).alias("id"), now.alias("timestamp"),
+                          "event_type", "org", "repo", "action_taken", *given)
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """All entries of committed runs."""
+    return committed(spark, path, "audit_logs")
 
 
 def from_scan(summarized: DataFrame, now: Column) -> DataFrame:

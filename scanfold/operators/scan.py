@@ -105,13 +105,13 @@ def _violations_column(checks: set[str], dedupe: str, contexts: list[str]) -> Co
 
 
 def explode_violations(scanned: DataFrame) -> DataFrame:
-    """One row per violation; ``violation_id`` is a function of its content, so reruns agree."""
+    """One row per violation; ``violation_id`` is a function of its scan (of its file, where scans have no id) and its place."""
     columns = [c for c in scanned.columns if c != "violations"]
     # Outer plus a filter: for the inner form the optimizer adds a size check on the
     # array, pushes it below, and the whole scan expression is evaluated twice.
     rows = scanned.select(*columns, F.inline_outer("violations")).filter(F.col("rule_id").isNotNull())
     return rows.withColumn("violation_id", F.sha2(F.concat_ws(
-        "|", F.col("file_id").cast("string"), "rule_id", F.col("line_start").cast("string"),
+        "|", F.col("scan_id" if "scan_id" in columns else "file_id").cast("string"), "rule_id", F.col("line_start").cast("string"),
         F.col("line_end").cast("string")), 256))
 
 

@@ -620,10 +620,20 @@ def build() -> dict[str, str]:
           FROM ai_rows)
       QUALIFY row_number() OVER (PARTITION BY file_path, line_start, line_end ORDER BY source_ord, ord) = 1""",
         AI, AI_ROWS, rules=CATALOGUE.list_rules())
-    out["sink_scan_results"] = core("""SELECT category, severity, count(*) AS violations, count(DISTINCT file_id) AS files
-        FROM uniq GROUP BY ALL
-      UNION ALL SELECT 'scan_results', CASE WHEN total_issues = 0 THEN 'clean' ELSE 'violations_found' END, 0, count(*)
-        FROM summ GROUP BY ALL""")
+    out["sink_scan_results"] = core(f"""SELECT sha256('first|' || e.file_id || '|' || commit_sha) AS scan_id, e.org, e.repo, e.pr_number,
+        commit_sha, e.file_path, 'full' AS scan_type, {", ".join(f"CAST(e.{c} AS INT) AS {c}" for c in ("total_issues", "critical", "high", "medium", "low", "info"))},
+        CASE WHEN e.total_issues = 0 THEN 'clean' ELSE 'violations_found' END AS status, detected_ai_code, enforcement_action,
+        CASE WHEN rule_id IS NOT NULL THEN sha256(sha256('first|' || e.file_id || '|' || commit_sha) || '|' || rule_id || '|' || line_start
+          || '|' || line_end) END AS violation_id,
+        CASE WHEN rule_id IS NOT NULL THEN {NOW} END AS timestamp, rule_id, severity, category, title, line_start, line_end, owasp_mapping,
+        cwe_id, CASE WHEN rule_id IS NOT NULL THEN FALSE END AS is_ai_generated,
+        CASE WHEN rule_id IS NOT NULL THEN 'open' END AS resolution_state
+      FROM enforced e JOIN flags ON flag_id = e.file_id JOIN (SELECT file_id, commit_sha FROM files) f ON f.file_id = e.file_id
+        LEFT JOIN uniq u ON u.file_id = e.file_id""", resolved(), ENFORCED, FLAGS)
+    out["audit_append"] = f"""WITH {AUDIT} SELECT CASE event_type WHEN 'scan' THEN id ELSE sha256('manual|' || id) END AS id,
+        CASE event_type WHEN 'scan' THEN timestamp ELSE {NOW} END AS timestamp, event_type, org, repo, action_taken,
+        CASE event_type WHEN 'scan' THEN scan_id END AS scan_id, CASE event_type WHEN 'scan' THEN violations_count ELSE 0 END AS violations_count,
+        CASE event_type WHEN 'scan' THEN resolution_state ELSE 'pending' END AS resolution_state FROM logs"""
     out["stream_scan"] = scan_sql(CATALOGUE.list_rules(), f"SELECT {cols(SHORT)} FROM hits")
     out["stream_latest_report"] = scan_sql(CATALOGUE.list_rules(), """,
       dated AS (SELECT f.file_id, f.org, f.repo, f.pr_number, o_orderdate AS scanned_at, count(h.rule_id) AS total_issues,

@@ -565,13 +565,25 @@ def combine_hits(spark, sf):
 # --- sinks and streams -----------------------------------------------------------------
 
 def sink_scan_results(spark, sf):
-    results, flat = sinks.write_scan(_core_scan(spark, sf), shared_folder(spark))
-    per_file = spark.read.parquet(flat).groupBy("category", "severity").agg(
-        F.count(F.lit(1)).alias("violations"), F.count_distinct("file_id").alias("files"))
-    scans = spark.read.parquet(results).groupBy("status").agg(F.count(F.lit(1)).alias("files"))
-    return per_file.select("category", "severity", "violations", "files").unionByName(scans.select(
-        F.lit("scan_results").alias("category"), F.col("status").alias("severity"),
-        F.lit(0).cast("bigint").alias("violations"), "files"))
+    """Scans and violations committed, committed again by a retry, and read back: each violation with its scan, and clean scans."""
+    path = shared_folder(spark)
+    acted = staged(_with_action(_flagged(_core_scan(spark, sf), spark, sf), spark, sf))
+    for _ in range(2):
+        sinks.store_scans(acted, path, "first", F.expr(NOW))
+    results = sinks.committed(spark, path, "scan_results").drop("timestamp").withColumnRenamed("id", "scan_id")
+    hits = sinks.committed(spark, path, "violations").drop("file_path").withColumnRenamed("id", "violation_id")
+    return results.join(hits, "scan_id", "left").drop("language")
+
+
+def audit_append(spark, sf):
+    """Scan entries appended, appended again by a retry, then manual ones; read back, each once."""
+    path, logs = shared_folder(spark), _audit(spark, sf)
+    columns = ("id", "timestamp", "event_type", "org", "repo", "action_taken", "scan_id", "violations_count", "resolution_state")
+    manual = audit.entry_rows(logs.where("event_type <> 'scan'").select(
+        F.col("id").alias("number"), "event_type", "org", "repo", "action_taken"), "manual", F.expr(NOW))
+    for rows, run in ((logs.where("event_type = 'scan'").select(*columns), "scans"), (manual, "manual")) * 2:
+        audit.append(rows, path, run)
+    return audit.stored(spark, path).select(*columns)
 
 
 def _order_stream(spark, sf, source, **options):
@@ -633,7 +645,7 @@ QUERIES = {
         export_audit_json, dedup_rule, dedup_location, severity_summary, enforcement, owasp_coverage,
         standards_compliance, pr_rollup, commit_status, report_totals, quality_score, report_tiers,
         severity_sorted, report_markdown, ai_parse, ai_violations, ai_recommendations,
-        ai_authorship, combine_hits, sink_scan_results, stream_scan,
+        ai_authorship, combine_hits, sink_scan_results, audit_append, stream_scan,
         stream_latest_report, stream_dedup)},
     "detect_language": detect_languages,
 }
