@@ -11,6 +11,7 @@ from scanfold.catalog import ANY, Catalogue
 from scanfold.catalog.frames import PATTERN_FIELDS, _colon
 from scanfold.functions.dialect import literal_gate, pattern_error, to_jvm
 from scanfold.operators.scan import explode_violations, find_violations
+from scanfold.operators.scope import parts_of, together
 from scanfold.ship import ship
 
 UPDATABLE = ("name", "description", "severity", "enabled", "pattern", "ai_prompt", "fix_suggestion")
@@ -77,21 +78,27 @@ def _as_pattern() -> Column:
     return F.struct(*out)
 
 
-def scan_custom(files: DataFrame, rules: DataFrame) -> DataFrame:
+def scan_custom(files: DataFrame, rules: DataFrame, most: int | None = None) -> DataFrame:
     """Run stored regex rules in their scope: everywhere, one organisation or one repository.
 
-    Rules are grouped per scope first, so a file meets three small arrays.  The
-    scope joins are left to the planner, which broadcasts while the rule table is
-    small and otherwise shuffles by scope, splitting hot organisations.
+    The rules are compiled once and cut into parts of bounded size, whatever
+    scopes own them; each part is broadcast to a pass over the files of its
+    scopes. Every rule is a rule of its own, so the passes' hits add up, and the
+    files' texts take part in no shuffle.
     """
     ready = compiled_rules(rules).filter(F.col("error").isNull())
+    weight = F.octet_length("pattern") * 4 + F.octet_length(F.concat_ws("", "name", "description", "fix_suggestion")) + 400
+    return together([_scan_part(files, part) for part in parts_of(ready, weight, most)])
+
+
+def _scan_part(files: DataFrame, ready: DataFrame) -> DataFrame:
     entry = F.struct(F.col("id"), _as_pattern().alias("p"), F.coalesce(
         F.transform("languages", F.lower), F.array().cast("array<string>")).alias("languages"))
     ready = ready.select("org", "repo", entry.alias("e"))
 
     def grouped(df: DataFrame, name: str, *keys: str) -> DataFrame:
         """The rules of a scope as one array, which every file of the scope meets."""
-        return df.groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias(name))
+        return F.broadcast(df.groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias(name)))
 
     # Rules of all organisations are keyed by the language they can meet, as the built-in catalogue is.
     known = Catalogue.builtin().languages()

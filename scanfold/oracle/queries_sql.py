@@ -455,6 +455,8 @@ def build() -> dict[str, str]:
       WHEN element IN ('class', 'interface', 'type') THEN {_PASCAL}
       WHEN element = 'constant' THEN ltrim(upper({_UNDER}), '_') ELSE {_CAMEL} END AS suggestion FROM names"""
     out["custom_regex_rules"] = custom_sql()
+    out["custom_rule_errors"] = f"""WITH {cte('rules', derived.CUSTOM_RULES)} SELECT id, org, repo, name, pattern, TRUE AS rejected
+      FROM rules WHERE enabled AND rule_type = 'regex' AND pattern = '(unclosed'"""
 
     out["license_detect"] = f"""WITH {license_ctes()} SELECT file_path, license_id, confidence, license_source
       FROM detected WHERE license_id IS NOT NULL"""

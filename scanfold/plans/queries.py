@@ -10,7 +10,7 @@ from scanfold.functions import kernel, naming
 from scanfold.functions.dialect import to_jvm
 from scanfold.functions.paths import detect_language, is_supported
 from scanfold.functions.text import let, line_range, lines_of, strip
-from scanfold.operators import ai, audit, config, dedup, events, license, pushes, report, rollup, rules_store, select
+from scanfold.operators import ai, audit, config, dedup, events, license, pushes, report, rollup, rules_store, scope, select
 from scanfold.operators.scan import explode_violations, find_violations, scan
 from scanfold.operators.similarity import similar_sources
 from scanfold.sources import derived, sinks
@@ -135,9 +135,11 @@ def rules_selected(spark, sf):
 def scan_pack(spark, sf):
     """Each file scanned with the packs of its repository's configuration."""
     chosen = select.selected_rule_ids(CATALOGUE, F.col("enabled_rule_packs"), F.col("custom_rules"))
-    files = config.resolve(code_files(spark, sf), derived.configurations(spark, sf)).withColumn("rule_ids", chosen)
-    return explode_violations(find_violations(
+    settings = _resolved(spark, sf).select("org", "repo", chosen.alias("rule_ids")).where(F.size("rule_ids") > 0)
+    size = F.octet_length(F.concat_ws("", "org", "repo")) + F.octet_length(F.array_join("rule_ids", ",")) + 64
+    return scope.together([explode_violations(find_violations(
         files, CATALOGUE.list_rules(), languages=CATALOGUE.languages(), selected="rule_ids")).select(*SHORT)
+        for files in scope.with_settings(code_files(spark, sf), settings, ["org", "repo"], size)])
 
 
 def path_scope_filter(spark, sf):
@@ -261,6 +263,12 @@ def custom_regex_rules(spark, sf):
         "file_id", "rule_id", "line_start", "line_end", "severity", "category", "title", "description")
 
 
+def custom_rule_errors(spark, sf):
+    """Stored rules that can't run; the others are those that custom_regex_rules runs."""
+    return rules_store.rule_errors(derived.custom_rules(spark, sf)).select(
+        "id", "org", "repo", "name", "pattern", F.col("error").isNotNull().alias("rejected"))
+
+
 # --- licences and similarity ------------------------------------------------------
 
 def _license_files(spark, sf):
@@ -638,7 +646,7 @@ QUERIES = {
         src_code_files, src_pr_events, src_push_events, changed_files, pushed_versions, push_rollup, supported_files, rules_applicable,
         config_resolve, rules_selected, scan_pack, path_scope_filter, diff_only_hits, config_overlay, list_rules,
         pack_listing, regex_finditer, line_numbers, snippets, context_window, comment_skip, brace_body,
-        std_003_async, secrets_in_documents, naming_fix, scan_security, scan_standards, custom_regex_rules,
+        std_003_async, secrets_in_documents, naming_fix, scan_security, scan_standards, custom_regex_rules, custom_rule_errors,
         license_detect, license_name, license_status, license_report, license_recommendations, ip_markers,
         code_similarity, code_similarity_jaccard, violations_by_repo, cascade_delete, override_events,
         config_upsert, rule_upsert, audit_query, audit_resolve, audit_from_scan, export_audit_csv,
