@@ -56,23 +56,22 @@ def violations(parsed: DataFrame) -> DataFrame:
 
 
 AUTHORSHIP_SCHEMA = "is_ai_generated boolean, confidence double, ai_code_lines array<int>"
-SHOWN_LINES, SHOWN_RECOMMENDATIONS = 20, 5      # fixed values
 
 
-def recommendations(parsed: DataFrame) -> DataFrame:
-    """The first findings of a response that come with a fix, as one line each."""
+def recommendations(parsed: DataFrame, shown: int | None = None) -> DataFrame:
+    """The findings of a response that come with a fix, as one line each; ``shown`` cuts to the first for display."""
     with_fix = F.filter("findings", lambda v: F.coalesce(v["suggested_fix"], F.lit("")) != "")
     lines = F.transform(with_fix, lambda v: F.concat(F.lit("Fix: "), F.coalesce(v["title"], F.lit("Issue"))))
-    return parsed.withColumn("recommendations", F.slice(lines, 1, SHOWN_RECOMMENDATIONS))
+    return parsed.withColumn("recommendations", lines if shown is None else F.slice(lines, 1, shown))
 
 
-def authorship(responses: DataFrame) -> DataFrame:
-    """Whether a file was judged machine-written: flag, share, and the line numbers shown."""
+def authorship(responses: DataFrame, shown: int | None = None) -> DataFrame:
+    """Whether a file was judged machine-written: flag, share, and the line numbers; ``shown`` cuts these for display."""
     text = unfence(F.col("raw"))
     doc = F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, AUTHORSHIP_SCHEMA))
     lines = F.coalesce(doc["ai_code_lines"], F.array().cast("array<int>"))
-    shown = F.concat(F.array_join(F.slice(lines, 1, SHOWN_LINES), ", "),
-                     F.when(F.size(lines) > SHOWN_LINES, F.lit("...")).otherwise(""))
+    text = F.array_join(lines, ", ") if shown is None else F.concat(
+        F.array_join(F.slice(lines, 1, shown), ", "), F.when(F.size(lines) > shown, F.lit("...")).otherwise(""))
     return (responses.withColumn("detected_ai_code", F.coalesce(doc["is_ai_generated"], F.lit(False)))
             .withColumn("ai_code_percentage", F.coalesce(doc["confidence"], F.lit(0.0)) / 100)
-            .withColumn("ai_lines_shown", shown))
+            .withColumn("ai_lines", text))

@@ -33,6 +33,42 @@ def page(logs: DataFrame, limit: int = DEFAULT_PAGE, offset: int = 0) -> DataFra
     return logs.orderBy(F.desc("timestamp"), "id").offset(offset).limit(limit)
 
 
+def write_by_day(logs: DataFrame, path: str) -> None:
+    """Store entries in a partition for each day, for ``page_after``."""
+    (logs.withColumn("day", F.col("timestamp").cast("date")).repartition("day", F.pmod(F.xxhash64("id"), F.lit(8)))
+     .write.mode("append").partitionBy("day").parquet(path))
+
+
+def page_after(logs: DataFrame, cursor: tuple[str, str] | None, limit: int = DEFAULT_PAGE, **filters) -> DataFrame:
+    """The page that follows a cursor, the (timestamp, id) of the row last seen; newest first, the id breaks ties.
+
+    ``logs`` has a partition column ``day``. Days are taken from the cursor's
+    backwards until they hold a page: first as many as have ``limit`` rows, by the
+    days' sizes, which stand in the files' footers, then four times as many as long
+    as the filters leave too few. Other partitions are not read, so the millionth
+    page costs what the first one does.
+    """
+    if limit < 1:
+        raise ValueError("limit must be positive")
+    sizes = logs.groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n")).collect()
+    days = sorted(((r["day"], r["n"]) for r in sizes if cursor is None or r["day"] <= cursor[0][:10]), reverse=True)
+    rows = filtered(logs, **filters)
+    if cursor is not None:
+        at, last = F.lit(cursor[0]).cast("timestamp_ntz"), F.lit(cursor[1])
+        rows = rows.where((F.col("timestamp") < at) | ((F.col("timestamp") == at) & (F.col("id") > last)))
+    wanted = limit
+    while True:
+        taken, held = 0, 0
+        while taken < len(days) and held < wanted:
+            held += days[taken][1]
+            taken += 1
+        newest, oldest = (days[0][0], days[taken - 1][0]) if taken else ("0001-01-01", "0001-01-01")
+        part = rows.where(F.col("day").between(F.lit(oldest).cast("date"), F.lit(newest).cast("date")))
+        if taken == len(days) or part.limit(limit).count() == limit:
+            return part.orderBy(F.desc("timestamp"), "id").limit(limit)
+        wanted *= 4
+
+
 def query(logs: DataFrame, limit: int = DEFAULT_PAGE, offset: int = 0, **filters) -> DataFrame:
     return page(filtered(logs, **filters), limit, offset)
 

@@ -93,6 +93,24 @@ def enable_pack(configs: DataFrame, catalogue: Catalogue, pack: str, org: str, r
         here, F.array_union(packs, strings([pack]))).otherwise(F.col("enabled_rule_packs")))
 
 
+def enable_packs(configs: DataFrame, requests: DataFrame, catalogue: Catalogue) -> tuple[DataFrame, DataFrame]:
+    """Configurations after many requests (org, repo, pack), and the requests for packs that aren't known.
+
+    A pack is appended once, after those that are enabled; a scope without a row
+    gets one with the default packs and its own, other fields unset. The requests
+    of a scope are combined before they meet the configurations.
+    """
+    known = F.col("pack").isin(list(catalogue.packs))
+    wanted = requests.where(known).groupBy(F.col("org").alias("_org"), F.col("repo").alias("_repo")).agg(
+        F.array_sort(F.collect_set("pack")).alias("_more"))
+    joined = configs.withColumn("_had", F.lit(True)).join(
+        wanted, (F.col("org") == F.col("_org")) & F.col("repo").eqNullSafe(F.col("_repo")), "full_outer")
+    packs = F.coalesce("enabled_rule_packs", strings(DEFAULT_PACKS))
+    new = {"org": F.coalesce("org", "_org"), "repo": F.when(F.col("_had"), F.col("repo")).otherwise(F.col("_repo")),
+           "enabled_rule_packs": F.when(F.col("_more").isNotNull(), F.array_union(packs, "_more")).otherwise(F.col("enabled_rule_packs"))}
+    return joined.select(*[new.get(c, F.col(c)).alias(c) for c in configs.columns]), requests.where(~known | F.col("pack").isNull())
+
+
 def overlay(parsed: DataFrame) -> DataFrame:
     """Parsed repository files over the defaults, section by section.
 

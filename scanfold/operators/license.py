@@ -42,7 +42,6 @@ ORIGIN_MARKERS = (
     (r"@author\s+[^your-team]", "External author attribution"),
 )
 ORIGIN_SCORE = 0.7
-SHOWN_FILES = 3
 
 
 def detect(files: DataFrame, header_lines: int | None = None) -> DataFrame:
@@ -93,28 +92,29 @@ def report(judged: DataFrame, *keys: str) -> DataFrame:
                           .when(F.col("review_count") > 0, "review_required").otherwise("compliant"))
 
 
-def recommendations(judged: DataFrame, *keys: str) -> DataFrame:
-    """One row per recommendation line, in order (``line_no``).
+def recommendations(judged: DataFrame, *keys: str, shown: int | None = None) -> DataFrame:
+    """One row per line of advice; ``section`` and ``position`` give their order.
 
-    The first files per group come from a row number with an upper bound, which
-    Spark cuts to a few rows per task before the shuffle.
+    Every blocked file has a line. ``shown`` cuts to the first files per group for
+    display; their row number has an upper bound, so Spark keeps a few rows per
+    task before the shuffle.
     """
     counts = report(judged, *keys)
-    def count_line(no, column, before, after):
+
+    def count_line(section, column, before, after):
         return counts.filter(F.col(column) > 0).select(
-            *keys, F.lit(no).alias("line_no"),
+            *keys, F.lit(section).alias("section"), F.lit(0).cast("bigint").alias("position"),
             F.concat(F.lit(before), F.col(column).cast("string"), F.lit(after)).alias("recommendation"))
 
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("file_id"))
-    shown = (judged.filter(F.col("license_status") == "blocked")
-             .select(*keys, "file_id", "file_path", "license_id", rank.alias("_n"))
-             .filter(F.col("_n") <= SHOWN_FILES)
-             .select(*keys, (F.col("_n") + 1).alias("line_no"),
-                     F.concat(F.lit("  - "), "file_path", F.lit(": "), "license_id").alias("recommendation")))
+    blocked = judged.filter(F.col("license_status") == "blocked")
+    if shown is not None:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("file_id"))
+        blocked = blocked.select(*keys, "file_id", "file_path", "license_id", rank.alias("_n")).filter(F.col("_n") <= shown)
+    files = blocked.select(*keys, F.lit(2).alias("section"), F.col("file_id").cast("bigint").alias("position"),
+                           F.concat(F.lit("  - "), "file_path", F.lit(": "), "license_id").alias("recommendation"))
     return (count_line(1, "non_compliant_count", "Remove or replace ", " file(s) with blocked licenses")
-            .unionByName(shown)
-            .unionByName(count_line(SHOWN_FILES + 2, "review_count", "Review ",
-                                    " file(s) with unclassified licenses")))
+            .unionByName(files)
+            .unionByName(count_line(3, "review_count", "Review ", " file(s) with unclassified licenses")))
 
 
 def origin_markers(files: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from scanfold.operators.license import LICENSE_NAMES, LICENSE_PATTERNS
 from scanfold.operators.report import ACTION_TEXT, MARKS
 from scanfold.oracle.rules_sql import documents_cte, files_cte, hits_cte, language_sql, lit, scan_sql, values
 from scanfold.plans.queries import (
-    BLOCK_RE, CALL_RE, CORE_PACKS, HIT_COLUMNS, OPEN_RE, PACK_KEYS, RETURN_RE, RULE_KEYS, SHORT, WORD_CALL_RE)
+    BLOCK_RE, CALL_RE, CORE_PACKS, CURSOR, HIT_COLUMNS, OPEN_RE, PACK_KEYS, RETURN_RE, RULE_KEYS, SHORT, WORD_CALL_RE)
 from scanfold.sources import corpus, derived
 
 CATALOGUE = Catalogue.builtin()
@@ -468,13 +468,12 @@ def build() -> dict[str, str]:
       SELECT *, CASE WHEN non_compliant_count > 0 THEN 'non_compliant' WHEN review_count > 0 THEN 'review_required'
         ELSE 'compliant' END AS status FROM counts"""
     out["license_recommendations"] = f"""WITH {judged_ctes()},
-      counts AS (SELECT org, {LICENSE_COUNTS} FROM judged GROUP BY ALL),
-      shown AS (SELECT *, row_number() OVER (PARTITION BY org ORDER BY file_id) AS n FROM judged
-        WHERE license_status = 'blocked' QUALIFY n <= 3)
-      SELECT org, 1 AS line_no, 'Remove or replace ' || non_compliant_count || ' file(s) with blocked licenses' AS recommendation
+      counts AS (SELECT org, {LICENSE_COUNTS} FROM judged GROUP BY ALL)
+      SELECT org, 1 AS section, CAST(0 AS BIGINT) AS position,
+        'Remove or replace ' || non_compliant_count || ' file(s) with blocked licenses' AS recommendation
         FROM counts WHERE non_compliant_count > 0
-      UNION ALL SELECT org, CAST(n + 1 AS INT), '  - ' || file_path || ': ' || license_id FROM shown
-      UNION ALL SELECT org, 5, 'Review ' || review_count || ' file(s) with unclassified licenses'
+      UNION ALL SELECT org, 2, file_id, '  - ' || file_path || ': ' || license_id FROM judged WHERE license_status = 'blocked'
+      UNION ALL SELECT org, 3, 0, 'Review ' || review_count || ' file(s) with unclassified licenses'
         FROM counts WHERE review_count > 0"""
     # The look-ahead of the copyright pattern is vacuous, so it is left out here.
     out["ip_markers"] = f"""WITH {license_ctes()},
@@ -521,6 +520,28 @@ def build() -> dict[str, str]:
       WHERE event_type = 'scan' AND timestamp >= TIMESTAMP '2024-01-02 00:00:00'
         AND timestamp <= TIMESTAMP '2024-01-20 00:00:00'
       ORDER BY timestamp DESC, id LIMIT 100 OFFSET 20"""
+    out["audit_page"] = f"""WITH {AUDIT} SELECT id, timestamp, org, repo, action_taken, violations_count FROM logs
+      WHERE event_type = 'scan' AND (timestamp < TIMESTAMP {lit(CURSOR[0])} OR timestamp = TIMESTAMP {lit(CURSOR[0])} AND id > {lit(CURSOR[1])})
+      ORDER BY timestamp DESC, id LIMIT 100"""
+    changes = f"""{cte('stored', derived.CUSTOM_RULES)},
+      keyed AS (SELECT id, name, severity, pattern, CAST(substr(id, 2) AS BIGINT) AS k FROM stored),
+      versions AS (SELECT id, name, severity, pattern, TIMESTAMP '2024-01-01 00:00:00' AS valid_from,
+          CASE WHEN k % 3 = 1 THEN TIMESTAMP '2024-02-01 00:00:00' WHEN k % 13 = 2 THEN TIMESTAMP '2024-03-01 00:00:00' END AS valid_to FROM keyed
+        UNION ALL SELECT id, name, 'low', 'changed', TIMESTAMP '2024-02-01 00:00:00',
+          CASE WHEN k % 13 = 2 THEN TIMESTAMP '2024-03-01 00:00:00' END FROM keyed WHERE k % 3 = 1
+        UNION ALL SELECT id, name, severity, pattern, TIMESTAMP '2024-04-01 00:00:00', NULL FROM keyed WHERE k % 26 = 2)"""
+    out["register_rules"] = f"WITH {changes} SELECT * FROM versions"
+    out["catalogue_as_of"] = f"""WITH {changes} SELECT id, severity, pattern FROM versions
+      WHERE valid_from <= TIMESTAMP '2024-03-15 00:00:00' AND (valid_to IS NULL OR valid_to > TIMESTAMP '2024-03-15 00:00:00')"""
+    defaults = lit(list(config.DEFAULT_PACKS))
+    out["pack_enable"] = f"""WITH {cte('repo_configs', derived.REPO_CONFIGS)}, {cte('org_configs', derived.ORG_CONFIGS)},
+      old AS (SELECT * FROM repo_configs UNION ALL SELECT * FROM org_configs), {cte('requests', derived.PACK_REQUESTS)},
+      wanted AS (SELECT org, repo, list_sort(list(DISTINCT pack)) AS more FROM requests WHERE pack IN ({cols(lit(x) for x in CATALOGUE.packs)}) GROUP BY ALL),
+      met AS (SELECT coalesce(o.org, w.org) AS org, coalesce(o.repo, w.repo) AS repo, o.enforcement_mode, o.packs_csv, more,
+          CASE WHEN o.packs_csv = '' THEN [] ELSE coalesce(string_split(o.packs_csv, ','), {defaults}) END AS held
+        FROM old o FULL JOIN wanted w ON o.org = w.org AND o.repo IS NOT DISTINCT FROM w.repo)
+      SELECT org, repo, enforcement_mode, CASE WHEN more IS NULL THEN packs_csv
+        ELSE array_to_string(list_concat(held, list_filter(more, lambda p: NOT list_contains(held, p))), ',') END AS enabled_rule_packs FROM met"""
     out["audit_resolve"] = f"""WITH {AUDIT}, changes AS (SELECT 'a' || event_id AS id, 'user' || user_id AS who
         FROM events WHERE event_id % 7 = 3)
       SELECT l.id, CASE WHEN c.id IS NOT NULL THEN 'resolved' ELSE resolution_state END AS resolution_state,
@@ -605,14 +626,14 @@ def build() -> dict[str, str]:
     out["ai_violations"] = f"WITH {AI}, {AI_ROWS} SELECT * EXCLUDE (pos, file_path) FROM ai_rows"
     out["ai_recommendations"] = f"""WITH {AI} SELECT file_id, array_to_string(list_transform(list_filter(found,
         lambda v: coalesce({_js('suggested_fix')}, '') <> ''),
-        lambda v: 'Fix: ' || coalesce({_js('title')}, 'Issue'))[1:5], '; ') AS recommendations FROM parsed"""
+        lambda v: 'Fix: ' || coalesce({_js('title')}, 'Issue')), '; ') AS recommendations FROM parsed"""
     doc = stripped("regexp_replace(regexp_replace(" + stripped('raw') + ", '^```(json)?', ''), '```$', '')")
     out["ai_authorship"] = f"""WITH {cte('responses', derived.AUTHORSHIP)},
       docs AS (SELECT file_id, CASE WHEN json_valid({doc}) THEN {doc} END AS doc FROM responses),
       read AS (SELECT *, coalesce(json_extract_string(doc, '$.ai_code_lines[*]'), []) AS lines FROM docs)
       SELECT file_id, coalesce(json_extract_string(doc, '$.is_ai_generated') = 'true', FALSE) AS detected_ai_code,
         coalesce(CAST(json_extract_string(doc, '$.confidence') AS DOUBLE), 0) / 100 AS ai_code_percentage,
-        array_to_string(lines[1:20], ', ') || CASE WHEN len(lines) > 20 THEN '...' ELSE '' END AS ai_lines_shown FROM read"""
+        array_to_string(lines, ', ') AS ai_lines FROM read"""
     out["report_markdown"] = markdown_sql()
     out["combine_hits"] = core("""SELECT file_path, line_start, line_end, rule_id, source_ord FROM (
         SELECT file_path, line_start, line_end, rule_id, 0 AS source_ord,

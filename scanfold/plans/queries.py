@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanfold.catalog import Catalogue
+from scanfold.catalog import Catalogue, versions
 from scanfold.functions import kernel, naming
 from scanfold.functions.dialect import to_jvm
 from scanfold.functions.paths import detect_language, is_supported
@@ -83,8 +83,8 @@ def _push_log(spark, sf):
 
 def pushed_versions(spark, sf):
     """For each file a push changed, the version that its commit sees."""
-    versions = derived.frame(spark, sf, derived.FILE_VERSIONS).select("org", "repo", "file_path", "position", "version_id")
-    return pushes.pushed_versions(_push_log(spark, sf), versions).select(
+    known = derived.frame(spark, sf, derived.FILE_VERSIONS).select("org", "repo", "file_path", "position", "version_id")
+    return pushes.pushed_versions(_push_log(spark, sf), known).select(
         "event_id", "org", "repo", "commit_sha", "file_path", F.col("version.version_id").alias("version_id"))
 
 
@@ -414,6 +414,47 @@ def audit_query(spark, sf):
         "id", "timestamp", "org", "repo", "action_taken", "violations_count")
 
 
+CURSOR = ("2024-01-15 06:00:00", "a5")
+
+
+def audit_page(spark, sf):
+    """The page after a cursor, from a log stored by days."""
+    path = shared_folder(spark)
+    audit.write_by_day(_audit(spark, sf), path)
+    return audit.page_after(spark.read.parquet(path), CURSOR, limit=100, event_type="scan").select(
+        "id", "timestamp", "org", "repo", "action_taken", "violations_count")
+
+
+def _catalogue_versions(spark, sf) -> DataFrame:
+    """Stored rules registered, some changed (in a batch that comes twice), some removed, some of these back again."""
+    base = table(spark, sf, "part").select(F.concat(F.lit("R"), "p_partkey").alias("id"), "p_partkey")
+    first = derived.custom_rules(spark, sf).select("id", "name", "severity", "pattern")
+    changed = first.join(base.where("p_partkey % 3 = 1"), "id").select(
+        "id", "name", F.lit("low").alias("severity"), F.lit("changed").alias("pattern"))
+    same = first.join(base.where("p_partkey % 3 = 2"), "id", "left_semi")
+    at = lambda day: F.expr(f"TIMESTAMP_NTZ '{day} 00:00:00'")
+    second = versions.changes_of(changed.unionByName(same), at("2024-02-01"))
+    out = staged(versions.register(None, versions.changes_of(first, at("2024-01-01"))))
+    for batch in (second, second, versions.removals_of(base.where("p_partkey % 13 = 2"), at("2024-03-01")),
+                  versions.changes_of(first.join(base.where("p_partkey % 26 = 2"), "id", "left_semi"), at("2024-04-01"))):
+        out = versions.register(out, batch)
+    return out
+
+
+def register_rules(spark, sf):
+    return _catalogue_versions(spark, sf)
+
+
+def catalogue_as_of(spark, sf):
+    """The rules in force at a time, as a scan of that time names them."""
+    return versions.as_of(_catalogue_versions(spark, sf), F.expr("TIMESTAMP_NTZ '2024-03-15 00:00:00'")).select("id", "severity", "pattern")
+
+
+def pack_enable(spark, sf):
+    enabled, _ = config.enable_packs(derived.configurations(spark, sf), derived.frame(spark, sf, derived.PACK_REQUESTS), CATALOGUE)
+    return enabled.select("org", "repo", "enforcement_mode", _csv("enabled_rule_packs"))
+
+
 def audit_resolve(spark, sf):
     logs = _audit(spark, sf)
     changes = table(spark, sf, "events").filter("event_id % 7 = 3").select(
@@ -482,11 +523,11 @@ def pr_rollup(spark, sf):
 
 
 def _pushes_rolled(spark, sf):
-    versions = derived.file_versions(spark, sf).join(_ai_flags(spark, sf, "version_id"), "version_id", "left").withColumn(
+    files = derived.file_versions(spark, sf).join(_ai_flags(spark, sf, "version_id"), "version_id", "left").withColumn(
         "detected_ai_code", F.coalesce("detected_ai_code", F.lit(False)))
     configs = derived.configurations(spark, sf)
     log = _push_log(spark, sf)
-    return pushes.push_roll_up(log, staged(pushes.scan_pushes(log, versions, configs, CATALOGUE)), configs)
+    return pushes.push_roll_up(log, staged(pushes.scan_pushes(log, files, configs, CATALOGUE)), configs)
 
 
 def push_rollup(spark, sf):
@@ -649,7 +690,7 @@ QUERIES = {
         std_003_async, secrets_in_documents, naming_fix, scan_security, scan_standards, custom_regex_rules, custom_rule_errors,
         license_detect, license_name, license_status, license_report, license_recommendations, ip_markers,
         code_similarity, code_similarity_jaccard, violations_by_repo, cascade_delete, override_events,
-        config_upsert, rule_upsert, audit_query, audit_resolve, audit_from_scan, export_audit_csv,
+        config_upsert, rule_upsert, register_rules, catalogue_as_of, pack_enable, audit_query, audit_page, audit_resolve, audit_from_scan, export_audit_csv,
         export_audit_json, dedup_rule, dedup_location, severity_summary, enforcement, owasp_coverage,
         standards_compliance, pr_rollup, commit_status, report_totals, quality_score, report_tiers,
         severity_sorted, report_markdown, ai_parse, ai_violations, ai_recommendations,

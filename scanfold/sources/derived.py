@@ -116,6 +116,13 @@ RULE_UPDATES = ("part", {
     "pattern": "CASE WHEN p_partkey % 5 = 0 THEN 'changed' END",
 }, "p_partkey % 3 <> 1")
 
+PACK_REQUESTS = ("customer", {
+    "org": f"'org' || {_s('c_custkey % 25')}",
+    "repo": f"CASE WHEN c_custkey % 50 = 7 THEN NULL ELSE 'repo' || {_s('c_custkey')} END",
+    "pack": "CASE c_custkey % 5 WHEN 0 THEN 'healthcare' WHEN 1 THEN 'telecom' WHEN 2 THEN 'unheard-of' WHEN 3 THEN NULL "
+            "ELSE 'default-security' END",
+}, "c_custkey % 2 = 1")
+
 PR_PAYLOADS = ("events", {
     "event_id": "event_id",
     "delivery_id": "'d' || " + _s("CAST(floor(event_id / 2.0) AS BIGINT)"),

@@ -5,7 +5,7 @@ from contextlib import redirect_stdout
 
 from scanfold.catalog import Catalogue
 from scanfold.catalog.frames import distinct_regexes, pattern_records
-from scanfold.operators import audit, config, rollup
+from scanfold.operators import audit, config, license, rollup
 from scanfold.operators.scan import explode_violations, find_violations
 from scanfold.sources import derived
 from scanfold.sources.corpus import build_files
@@ -68,5 +68,6 @@ def test_audit_predicates_reach_the_scan_and_top_k_is_used(spark, sf_dir):
 
 
 def test_bounded_ranks_are_cut_before_the_shuffle(spark, sf_dir):
-    from scanfold.plans.queries import license_recommendations
-    assert "WindowGroupLimit" in plan(license_recommendations(spark, sf_dir))
+    judged = spark.createDataFrame([], "org string, file_id long, file_path string, license_id string, license_status string")
+    assert "WindowGroupLimit" in plan(license.recommendations(judged, "org", shown=3))
+    assert "Window" not in plan(license.recommendations(judged, "org"))
