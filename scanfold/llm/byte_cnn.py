@@ -18,7 +18,6 @@ text is an input of a prediction; other columns play no part.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,7 +31,6 @@ LENGTH, LETTERS = 256, 64
 WIDTHS, FILTERS = (2, 3, 4), 8
 CELLS, PER_CELL, WINDOWS = 64, 8, 4
 EPOCHS, BATCH, RATE = 14, 64, 0.01
-LETTER = re.compile(r"[^\W\d_]")
 
 
 class ByteCnn:
@@ -130,6 +128,11 @@ def byte_classes(texts: list[bytes]) -> np.ndarray:
     return out
 
 
+def has_letter(text: str) -> bool:
+    """A character of the letter classes, as \\p{L} has them; digits and numerals of any kind aren't letters."""
+    return any(map(str.isalpha, text))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
@@ -164,7 +167,7 @@ def predictor(model: ByteCnn | None, block: int = 128) -> Callable[[list[str | N
     """Texts to languages and scores, window batch by window batch."""
     def run(texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-        rows = [i for i, t in enumerate(texts) if model and t and LETTER.search(t)]
+        rows = [i for i, t in enumerate(texts) if model and t and has_letter(t)]
         for at in range(0, len(rows), 100):
             part = rows[at:at + 100]
             data = [texts[i].encode() for i in part]

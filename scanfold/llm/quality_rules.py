@@ -4,8 +4,9 @@ Each document is measured in place, in one narrow stage. Rule failures are
 summed by host; a host's failure rate is shrunk towards the rate of all hosts
 by a beta prior whose two parameters are fitted to the hosts by moments, so a
 host with few documents needs more evidence. A host whose shrunk rate passes
-the limit is strict for that rule: there, documents failing the rule go. A
-document that fails no rule always stays.
+the limit, one document in twenty, is strict for that rule: there, documents
+failing the rule go. Elsewhere a failure now and then is let pass. A document
+that fails no rule always stays.
 
 A null or empty text has no words and fails the base rule; a null host counts
 as the host with the empty name; repeated rows are measured each for
@@ -22,7 +23,8 @@ from scanfold.sources.tables import staged, table
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
-HOST_LIMIT = 0.5
+#: Shrunk failure rate from which a host is strict for a rule.
+HOST_LIMIT = 0.05
 SYMBOLS = "[#*$%&|<>]"
 #: Soft rules, judged host by host. Each names when a document fails.
 RULES = {
@@ -136,15 +138,22 @@ def judge(docs: DataFrame, host_col: str = "source", limit: float = HOST_LIMIT)
 
 
 def keep_good(docs: DataFrame, host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """The rows of docs that the rules keep, with docs' columns."""
-    hosts = host_rates(measured(docs, host_col), limit)
-    host, m, strict = (fresh(docs, x) for x in ("host_key", "measures", "strict"))
-    marked = docs.withColumn(host, F.coalesce(F.col(host_col).cast("string"), F.lit(""))).withColumn(
-        m, measures(F.col("text")))
-    joined = marked.join(hosts.select(F.col("host").alias(host), F.col("strict").alias(strict)), host, "left")
-    c = F.col(m)
-    fails = F.struct(*[f(c).alias(name) for name, f in RULES.items()])
-    return joined.where(~(base_failed(c) | rejected(fails, F.col(strict)))).select(*docs.columns)
+    """The rows of docs that the rules keep, with docs' columns.
+
+    The texts are measured once: rows that pass the base rule are written with
+    what they fail, and the host verdicts are joined to these.
+    """
+    host, base, fails, strict = (fresh(docs, x) for x in ("host_key", "base_key", "fails_key", "strict_key"))
+    of = let(measures(F.col("text")), lambda m: F.struct(
+        base_failed(m).alias("base"), F.struct(*[f(m).alias(name) for name, f in RULES.items()]).alias("fails")))
+    marked = docs.withColumn(host, F.coalesce(F.col(host_col).cast("string"), F.lit(""))).withColumn(fails, of)
+    # a text that the base rule rejects counts for its host, but needs not be written
+    kept_text = {"text": F.when(~F.col(fails)["base"], F.col("text"))}
+    rows = staged(marked.select(*[kept_text.get(c.lower(), F.col(c)).alias(c) for c in docs.columns], host, F.col(fails)["base"].alias(base),
+                                F.col(fails)["fails"].alias(fails)))
+    hosts = host_rates(rows.select(F.col(host).alias("host"), F.col(fails).alias("fails")), limit)
+    joined = rows.where(~F.col(base)).join(hosts.select(F.col("host").alias(host), F.col("strict").alias(strict)), host, "left")
+    return joined.where(~rejected(F.col(fails), F.col(strict))).select(*docs.columns)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +184,7 @@ s AS (SELECT r, count(*) AS hosts, sum(n) AS n, sum(k) AS k, sum(k * k / n) AS q
 b AS (SELECT r, hosts, n, k / n AS mean, q / n - (k / n) * (k / n) - (k / n) * (1 - k / n) * hosts / n AS between_hosts FROM s),
 p AS (SELECT r, mean, least(greatest(CASE WHEN between_hosts > 0 THEN mean * (1 - mean) / between_hosts - 1
                                           ELSE 10000.0 END, 2.0), 10000.0) AS strength FROM b),
-strict AS (SELECT host, list((k + mean * strength) / (n + strength) > 0.5 ORDER BY r) AS strict
+strict AS (SELECT host, list((k + mean * strength) / (n + strength) > 0.05 ORDER BY r) AS strict
            FROM k JOIN p USING (r) GROUP BY host)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR (fails[1] AND strict[1]) OR (fails[2] AND strict[2]) OR (fails[3] AND strict[3])
