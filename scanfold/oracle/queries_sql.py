@@ -5,7 +5,7 @@ from __future__ import annotations
 from scanfold.catalog import PACK_INFO, Catalogue
 from scanfold.catalog.remedies import REMEDIES
 from scanfold.functions.paths import SUPPORTED_EXTENSIONS
-from scanfold.operators import config
+from scanfold.operators import config, settings
 from scanfold.operators.license import LICENSE_NAMES, LICENSE_PATTERNS
 from scanfold.operators.report import ACTION_TEXT, MARKS
 from scanfold.oracle.rules_sql import documents_cte, files_cte, hits_cte, language_sql, lit, scan_sql, values
@@ -342,6 +342,35 @@ def markdown_sql() -> str:
           LEFT JOIN general d ON d.rule = h.rule_id)""")
 
 
+def settings_columns(*documents: str) -> str:
+    """Each field of the settings from JSON documents, the most general first; null documents say nothing."""
+    out = []
+    for section, fields in settings.SECTIONS.items():
+        for name, default in fields.items():
+            kind = {bool: "BOOLEAN", str: "VARCHAR", float: "DOUBLE", dict: "VARCHAR"}.get(type(default))
+            default = "'{}'" if default == {} else lit(",".join(default)) if kind is None else f"CAST({lit(default)} AS {kind})"
+            value = default
+            for d in documents:
+                path = f"'$.{section}.{name}'"
+                given = (f"CAST(json_extract_string({d}, {path}) AS {kind})" if kind else
+                         f"array_to_string(json_extract_string({d}, '$.{section}.{name}[*]'), ',')")
+                value = (f"CASE json_type({d}, '$.{section}') WHEN 'NULL' THEN {default} WHEN 'OBJECT' THEN CASE "
+                         f"WHEN json_type({d}, {path}) = 'NULL' THEN {default} WHEN json_type({d}, {path}) IS NULL THEN {value} "
+                         f"ELSE {given} END ELSE {value} END")
+            out.append(f"{value} AS {section}_{name}")
+    return ", ".join(out)
+
+
+def valid(document: str) -> str:
+    return f"CASE WHEN json_valid({document}) THEN {document} END"
+
+
+SETTINGS = f"""{cte('repo_settings', derived.REPO_SETTINGS)}, {cte('org_settings', derived.ORG_SETTINGS)},
+settled AS (SELECT q.org, q.repo, {settings_columns('od', 'rd')} FROM (SELECT f.org, f.repo, {valid('o.document')} AS od, {valid('r.document')} AS rd
+  FROM (SELECT DISTINCT org, repo FROM files) f LEFT JOIN org_settings o ON o.org = f.org
+  LEFT JOIN repo_settings r ON r.org = f.org AND r.repo = f.repo) q)"""
+
+
 def body_files() -> str:
     """The contents of file versions as files, each with the path of its versions."""
     own = files_cte().replace("FROM orders)", "FROM body_keys)").replace(corpus.FILE_FIELDS["file_path"], derived.version_path("o_orderkey"))
@@ -428,6 +457,19 @@ def build() -> dict[str, str]:
       CASE WHEN has_file AND allowed_csv IS NOT NULL THEN allowed_csv ELSE 'MIT,Apache-2.0,BSD-3-Clause' END AS allowed,
       CASE WHEN has_file AND allowed_csv IS NOT NULL THEN blocked_csv ELSE 'GPL-3.0,AGPL-3.0' END AS blocked,
       CASE WHEN has_file THEN strict_mode ELSE TRUE END AS strict_mode FROM parsed"""
+    out["settings_resolve"] = f"WITH {files_cte()}, {SETTINGS} SELECT * FROM settled"
+    out["settings_update"] = f"""WITH {cte('stored', derived.REPO_SETTINGS)}, {cte('patches', derived.SETTINGS_PATCHES)},
+      met AS (SELECT coalesce(s.org, p.org) AS org, coalesce(s.repo, p.repo) AS repo, {valid('s.document')} AS sd, {valid('p.document')} AS pd
+        FROM stored s FULL JOIN patches p ON s.org = p.org AND s.repo = p.repo)
+      SELECT org, repo, {settings_columns('sd', 'pd')} FROM met"""
+    switched = " AND ".join(f"(rule_id <> {lit(rule)} OR {s}_{n})" for (s, n), rule in settings.SWITCHES.items())
+    rank = "CASE {} WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 WHEN 'low' THEN 4 ELSE 5 END"
+    out["scan_with_settings"] = f"""WITH {files_cte()}, {hits_cte(CATALOGUE.list_rules())}, {SETTINGS},
+      on_hits AS (SELECT h.file_id, h.severity, security_block_threshold AS threshold FROM hits h JOIN settled USING (org, repo) WHERE {switched})
+      SELECT f.file_id, CAST(count(h.file_id) AS INT) AS total_issues,
+        CASE WHEN bool_or(h.file_id IS NOT NULL AND {rank.format('h.severity')} <= {rank.format('threshold')}) THEN 'block' WHEN count(h.file_id) > 0 THEN 'annotate'
+          ELSE 'none' END AS enforcement_action
+      FROM files f LEFT JOIN on_hits h ON h.file_id = f.file_id GROUP BY f.file_id"""
     out["list_rules"] = f"""WITH {cte('rules', derived.CUSTOM_RULES)}
       SELECT id, name, severity, rule_type, org, repo FROM rules WHERE category = 'security' AND enabled"""
     packs = [(n, d, c, len(CATALOGUE.packs[n]), ",".join(CATALOGUE.packs[n])) for n, d, _, c in PACK_INFO]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanfold.catalog import Catalogue, versions
@@ -10,7 +10,7 @@ from scanfold.functions import kernel, naming
 from scanfold.functions.dialect import to_jvm
 from scanfold.functions.paths import detect_language, is_supported
 from scanfold.functions.text import let, line_range, lines_of, strip
-from scanfold.operators import ai, audit, config, dedup, events, license, pushes, report, rollup, rules_store, scope, select
+from scanfold.operators import ai, audit, config, dedup, events, license, pushes, report, rollup, rules_store, scope, select, settings
 from scanfold.operators.scan import explode_violations, find_violations, scan
 from scanfold.operators.similarity import similar_sources
 from scanfold.sources import derived, sinks
@@ -169,6 +169,40 @@ def config_overlay(spark, sf):
                       "naming_enabled", _csv("allowed"), _csv("blocked"), "strict_mode")
 
 
+def _settings_columns(of: Column) -> list:
+    shown = {list: lambda c: F.array_join(c, ","), dict: F.to_json}
+    return [shown.get(type(d), lambda c: c)(of[s][n]).alias(f"{s}_{n}")
+            for s, fields in settings.SECTIONS.items() for n, d in fields.items()]
+
+
+def _settings(spark, sf) -> DataFrame:
+    documents = derived.frame(spark, sf, derived.REPO_SETTINGS).unionByName(derived.frame(spark, sf, derived.ORG_SETTINGS))
+    return settings.resolve(_repos(spark, sf), documents)
+
+
+def settings_resolve(spark, sf):
+    """All seven sections of each repository's settings."""
+    return _settings(spark, sf).select("org", "repo", *_settings_columns(F.col("settings")))
+
+
+def settings_update(spark, sf):
+    """Stored documents with patches: by path, also on rows that exist."""
+    met = settings.update(derived.frame(spark, sf, derived.REPO_SETTINGS), derived.frame(spark, sf, derived.SETTINGS_PATCHES))
+    return met.select("org", "repo", *_settings_columns(settings.merged(F.try_parse_json("document"), F.try_parse_json("patch"))))
+
+
+def scan_with_settings(spark, sf):
+    """Files scanned with the rules that their repository's settings leave on; the threshold decides what blocks."""
+    every = F.array(*[F.lit(r.rule_id) for r in CATALOGUE.list_rules()])
+    known = _settings(spark, sf).select("org", "repo", "settings", settings.switched(every, F.col("settings")).alias("rule_ids"))
+    size = F.octet_length(F.concat_ws("", "org", "repo", F.to_json("settings"))) + 200
+    parts = scope.with_settings(code_files(spark, sf), known, ["org", "repo"], size)
+    found = scope.together([find_violations(
+        files, CATALOGUE.list_rules(), languages=CATALOGUE.languages(), selected="rule_ids", keep=("settings",)) for files in parts])
+    action = settings.enforcement(F.lit("blocking"), F.col("violations"), F.col("settings"))
+    return staged(found.withColumn("enforcement_action", action).select("file_id", F.size("violations").alias("total_issues"), "enforcement_action"))
+
+
 def list_rules(spark, sf):
     return select.list_rules(derived.custom_rules(spark, sf), "security", True).select(
         "id", "name", "severity", "rule_type", "org", "repo")
@@ -685,7 +719,8 @@ QUERIES = {
     **{key: _pack(name) for key, name in PACK_KEYS.items()},
     **{f.__name__: f for f in (
         src_code_files, src_pr_events, src_push_events, changed_files, pushed_versions, push_rollup, supported_files, rules_applicable,
-        config_resolve, rules_selected, scan_pack, path_scope_filter, diff_only_hits, config_overlay, list_rules,
+        config_resolve, rules_selected, scan_pack, path_scope_filter, diff_only_hits, config_overlay, settings_resolve, settings_update,
+        scan_with_settings, list_rules,
         pack_listing, regex_finditer, line_numbers, snippets, context_window, comment_skip, brace_body,
         std_003_async, secrets_in_documents, naming_fix, scan_security, scan_standards, custom_regex_rules, custom_rule_errors,
         license_detect, license_name, license_status, license_report, license_recommendations, ip_markers,

@@ -116,6 +116,20 @@ RULE_UPDATES = ("part", {
     "pattern": "CASE WHEN p_partkey % 5 = 0 THEN 'changed' END",
 }, "p_partkey % 3 <> 1")
 
+# Settings documents of repositories and organisations, and patches of them: sections, fields and nulls at several depths.
+_DOCUMENT = ("CASE {k} % 7 WHEN 0 THEN '{{\"security\":{{\"block_threshold\":\"critical\",\"secrets_enabled\":false}}}}' "
+             "WHEN 1 THEN '{{\"security\":{{\"block_threshold\":null,\"sql_injection_enabled\":false}},\"naming\":{{\"enabled\":false}}}}' "
+             "WHEN 2 THEN '{{\"license\":{{\"allowed\":[\"MIT\",\"ISC\"],\"similarity_threshold\":0.5}},\"copilot\":{{\"strict_mode\":null}},\"other\":1}}' "
+             "WHEN 3 THEN '{{\"logging\":null,\"error_handling\":{{\"enabled\":false}},\"override\":{{\"approvers\":[\"user1\",\"user2\"]}}}}' "
+             "WHEN 4 THEN '{{\"security\":{{\"block_threshold\":\"medium\",\"command_execution_enabled\":false}},\"copilot\":{{\"additional_checks\":[]}}}}' "
+             "WHEN 5 THEN 'not a document' ELSE '{{\"logging\":{{\"enabled\":false,\"forbid_console_log\":false}},\"override\":{{\"enabled\":false}}}}' END")
+REPO_SETTINGS = ("customer", {"org": f"'org' || {_s('c_custkey % 25')}", "repo": f"'repo' || {_s('c_custkey')}",
+                              "document": _DOCUMENT.format(k="c_custkey")}, "c_custkey % 3 <> 0")
+ORG_SETTINGS = ("nation", {"org": f"'org' || {_s('n_nationkey')}", "repo": "CAST(NULL AS VARCHAR(40))",
+                           "document": _DOCUMENT.format(k="(n_nationkey + 4)")}, "n_nationkey % 3 <> 1")
+SETTINGS_PATCHES = ("customer", {"org": f"'org' || {_s('c_custkey % 25')}", "repo": f"'repo' || {_s('c_custkey')}",
+                                 "document": _DOCUMENT.format(k="(c_custkey * 3 + 1)")}, "c_custkey % 4 < 2")
+
 PACK_REQUESTS = ("customer", {
     "org": f"'org' || {_s('c_custkey % 25')}",
     "repo": f"CASE WHEN c_custkey % 50 = 7 THEN NULL ELSE 'repo' || {_s('c_custkey')} END",
