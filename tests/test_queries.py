@@ -15,7 +15,9 @@ SAMPLE = ("dedup_location", "scan_pack", "std_003_async", "fed_003", "src_code_f
           "custom_regex_rules", "license_status", "license_recommendations", "ip_markers", "code_similarity",
           "violations_by_repo", "override_events", "config_upsert", "rule_upsert", "audit_query", "export_audit_csv",
           "export_audit_json", "dedup_rule", "commit_status", "report_totals", "quality_score", "report_tiers",
-          "ai_violations", "ai_authorship", "report_markdown", "combine_hits", "sink_scan_results", "stream_scan", "stream_latest_report", "stream_dedup")
+          "ai_violations", "ai_authorship", "report_markdown", "combine_hits", "sink_scan_results", "stream_scan", "stream_latest_report", "stream_dedup",
+          "pushed_versions", "push_rollup", "custom_rule_errors", "settings_resolve", "settings_update", "scan_with_settings",
+          "register_rules", "catalogue_as_of", "pack_enable", "audit_append", "audit_page")
 KEYS = list(QUERIES) if os.environ.get("SCANFOLD_ALL") else list(SAMPLE)
 
 
