@@ -45,3 +45,12 @@ def staged(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``staged`` wrote, once what was made of it is written too."""
+    spark = df.sparkSession
+    for folder in {os.path.dirname(name) for name in df.inputFiles()}:
+        if os.path.basename(folder).startswith("run-"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
