@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanfold.sources.tables import staged
+from scanfold.sources.tables import discard, staged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = staged(edges.where("a <> b").select("a", "b").distinct())
     mark = None
     while True:
-        edges = staged(_small_star(_large_star(edges)))
+        before, edges = edges, staged(_small_star(_large_star(edges)))
+        discard(before)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("bigint"))).first())
         if now == mark:
             break

@@ -16,15 +16,18 @@ extended by k - 1 tokens, so that a pair must share k of them:
    proportion to their size. Rounds go on, with other leaders, while they link
    nodes in numbers.
 3. What is left: tokens whose nodes lie in several components, and nodes that
-   have k such tokens; no other node can have a link that is missing. Rare
-   tokens pair the nodes of different components directly, if they can have
-   as many tokens in common as their sizes ask for. Nodes that may only
-   meet in frequent tokens are indexed by combinations of two of these, taken
-   from the first f - k + 2 of their f frequent tokens; nodes with long
-   prefixes by single ones. The pairs are verified on whole sets.
+   have k such tokens; no other node can have a link that is missing. They are
+   put in order by their number of nodes. The first of k tokens that a pair
+   shares is among the first l - k + 1 of each node's l, the second among
+   l - k + 2, and so on. A rare token pairs its nodes; a frequent one is joined
+   with each later token to combinations of two, of which the frequent ones
+   take a third, and on up to the k that any two like sets share. A key pairs
+   nodes of different components whose sizes and positions leave room for the
+   common tokens they need. The pairs are verified on whole sets.
 
 So no link is lost, while pairs within a group are never listed. Nothing is
-capped: FREQUENT and LONG only choose how tokens are indexed.
+capped: FREQUENT, LONG and GAIN only choose how tokens are indexed. Tables
+that a step has made use of are deleted once their successor is written.
 
 Null and empty texts and texts without words have the empty set and link with
 nothing; a text of fewer words than a shingle is one token. Rows with equal
@@ -35,18 +38,19 @@ but doesn't name a component. Other columns play no part.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanfold.llm.common import count_up, let
 from scanfold.llm.components import components
-from scanfold.sources.tables import staged, table
+from scanfold.sources.tables import discard, staged, table
 
-#: Tokens of more nodes than this are frequent; sets of more tokens than LONG are indexed by single frequent tokens.
-FREQUENT, LONG = 30, 1_000
+#: Keys of more nodes than this are frequent and take one more token, if all their sets have at most LONG tokens
+#: or the pairs they would make are more than GAIN times the longer keys.
+FREQUENT, LONG, GAIN = 30, 20, 16
 #: Star rounds at most; what they leave is found in step 3 whatever their number.
 STAR_ROUNDS = 8
 #: So many ids, 24 bytes each, are broadcast at most to fetch texts; more are joined by shuffle.
@@ -132,7 +136,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets reach the threshold."""
+    """The pairs (a, b), a written table, of nodes whose whole sets reach the threshold; ``pairs`` is discarded."""
     wanted = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select(
         F.col("label").alias("id"), F.col("th").alias("hash")))
     known = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
@@ -143,7 +147,10 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, pe
     side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("t_a", "t_b"))
-    return both.where(common * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    like = staged(both.where(common * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
+    for done in (pairs, wanted, sets):
+        discard(done)
+    return like
 
 
 def _live(hits: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -169,41 +176,60 @@ def _star_pairs(live: DataFrame, turn: int) -> DataFrame:
         F.count(F.lit(1)).alias("c"), F.first("e").alias("e")).where("2 * c >= e").select("a", "b")
 
 
+def always_shared(percent: int) -> int:
+    """Tokens that the extended prefixes of any two sets that are like each other share."""
+    first = smallest(percent)
+    return min(shared_least(n, percent) for n in range(first, first + 200)) if percent < 100 else 1
+
+
 def _rest_pairs(live: DataFrame, percent: int) -> DataFrame:
     """(a, b): all pairs of nodes of different components that can share k tokens."""
-    counts = live.groupBy("token").agg((F.count(F.lit(1)) > FREQUENT).alias("often"))
-    rows = live.join(counts, "token")
-    rows = staged(rows.join(rows.groupBy("node").agg(F.sum(F.col("often").cast("int")).alias("f")), "node"))
-    fits = (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & (
-        F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent)
-    side = lambda df, x: df.select("key", F.col("node").alias(x), *[F.col(c).alias(x + c[0]) for c in ("comp", "n", "e", "f")])
-    rare = rows.where(~F.col("often")).withColumn("key", F.col("token"))
-    met = side(rare, "a").join(side(rare, "b"), "key").where(fits).groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("c"), *[F.first(c).alias(c) for c in ("an", "bn", "ae", "be", "af", "bf")])
-    # with so many common tokens at least, each prefix has so few that aren't
-    common = F.ceil((F.col("an") + F.col("bn")) * percent / (100 + percent))
-    least = F.least(F.col("ae") - F.col("an"), F.col("be") - F.col("bn")) + common
-    met = met.where(F.col("c") + F.least("af", "bf") >= least).select("a", "b")
-    # nodes that may meet in frequent tokens only
-    frequent = rows.where(F.col("often") & (F.col("f") >= F.col("k")))
-    order = frequent.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = frequent.join(order, "token").groupBy("node", "comp", "n", "k", "e", "f", "mixed").agg(
-        F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))
-    tokens = F.transform("ts", lambda t: t["token"])
-    combined = (F.col("k") > 1) & (F.col("n") <= LONG)
-    alone = F.col("mixed") | (F.col("k") == 1) | (F.ceil(F.col("n") * 100 / percent) > LONG)
-
-    def pairs(ts: Column) -> Column:
-        return F.flatten(F.transform(count_up(F.size(ts)), lambda i: F.transform(
-            F.slice(ts, i + 2, F.size(ts)), lambda t: F.xxhash64(F.get(ts, i), t))))
-
-    none = F.array().cast("array<bigint>")
-    first = lambda extra: F.slice(tokens, F.lit(1), (F.size("ts") - F.col("k") + extra).cast("int"))
-    keys = F.concat(
-        F.when(combined, let(first(2), pairs)).otherwise(none),
-        F.when(alone, F.transform(F.when(F.col("mixed"), tokens).otherwise(first(1)), lambda t: F.xxhash64(t))).otherwise(none))
-    index = ranked.withColumn("key", F.explode(keys))
-    return met.union(side(index, "a").join(side(index, "b"), "key").where(fits).select("a", "b")).distinct()
+    counts = live.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    ranked = staged(live.join(counts, "token").groupBy("node").agg(
+        *[F.first(c).alias(c) for c in ("comp", "n", "k", "e")],
+        F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts")).select(
+        "node", "comp", "n", "e", F.transform("ts", lambda t: t["token"]).alias("tokens"),
+        F.size("ts").alias("all"), (F.size("ts") - F.col("k")).cast("int").alias("room")))
+    kept = ["node", "comp", "n", "e", "all", "room"]
+    # the first shared token of a pair is among the first room + 1 of each, the next among room + 2, ...
+    entries = ranked.select(*kept, F.posexplode(F.slice("tokens", F.lit(1), F.col("room") + 1)).alias("at", "key"))
+    found, spent = [], [ranked]
+    for size in range(1, always_shared(percent) + 1):
+        keys = entries.groupBy("key", "comp").agg(
+            F.count(F.lit(1)).alias("c"), F.sum(F.col("room") + size - F.col("at")).alias("more"), F.max("n").alias("n"))
+        keys = keys.groupBy("key").agg(
+            F.sum("c").alias("g"), F.sum(F.col("c") * F.col("c")).alias("q"), F.max_by("comp", "c").alias("main"),
+            F.sum("more").alias("more"), F.max("n").alias("n")).where(F.col("g") * F.col("g") > F.col("q"))
+        grows = (F.col("g") > FREQUENT) & (
+            (F.col("n") <= LONG) | (F.col("g") * F.col("g") - F.col("q") > 2 * GAIN * F.col("more")))
+        last = size == always_shared(percent)
+        keys = staged(keys.select("key", "main", (F.lit(False) if last else grows).alias("grows")))
+        spent.append(keys)
+        met = entries.join(keys.where("not grows"), "key")
+        a = met.where("comp <> main").select("key", "main", *[F.col(c).alias(f"a_{c}") for c in (*kept, "at")])
+        b = met.select("key", *[F.col(c).alias(f"b_{c}") for c in (*kept, "at")])
+        common = F.ceil((F.col("a_n") + F.col("b_n")) * percent / (100 + percent))
+        least = common - F.greatest(F.col("a_n") - F.col("a_e"), F.col("b_n") - F.col("b_e"))
+        fits = ((F.col("a_comp") != F.col("b_comp")) & ((F.col("b_comp") == F.col("main")) | (F.col("a_node") < F.col("b_node")))
+                & (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
+                & (size + F.least(F.col("a_all") - F.col("a_at"), F.col("b_all") - F.col("b_at")) - 1 >= least))
+        pairs = staged(a.join(b, "key").where(fits).select(
+            F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct())
+        found.append(pairs)
+        open_ = keys.where("grows")
+        if last or open_.isEmpty():
+            break
+        # groups that are still large: their keys take one more of each set's later tokens
+        more = entries.join(open_.select("key"), "key").select("node", "key", "at").join(ranked, "node")
+        grown = more.select(*kept, "key", "at", F.posexplode(F.slice(
+            "tokens", F.col("at") + 2, F.col("room") + size - F.col("at"))).alias("step", "token"))
+        entries = staged(grown.select(*kept, (F.col("at") + F.col("step") + 1).alias("at"),
+                                      F.xxhash64("key", "token").alias("key")))
+        spent.append(entries)
+    pairs = staged(reduce(DataFrame.union, found).distinct())
+    for done in (*spent, *found):
+        discard(done)
+    return pairs
 
 
 def link(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
@@ -219,17 +245,19 @@ def link(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     hits = staged(index.join(shared, "token").withColumn("comp", F.col("node")))
     enough = hits.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.first("k").alias("k")).where("c >= k").select("node")
     live = staged(hits.join(enough, "node"))
+    discard(hits)
     edges = comps = None
     for turn in range(STAR_ROUNDS):
-        found = staged(_verified(staged(_star_pairs(live, turn)), nodes, docs, size, percent))
+        found = _verified(staged(_star_pairs(live, turn)), nodes, docs, size, percent)
         links = found.count()
         if links:
             edges = found if edges is None else edges.union(found)
-            comps = staged(components(edges))
-            live = _live(live, comps)
-        if links * 50 < live.select("node").distinct().count():
+            comps, left = staged(components(edges)), live
+            live = _live(left, comps)
+            discard(left)
+        if links * 50 <= live.select("node").distinct().count():
             break
-    rest = staged(_verified(staged(_rest_pairs(live, percent)), nodes, docs, size, percent))
+    rest = _verified(_rest_pairs(live, percent), nodes, docs, size, percent)
     if not rest.isEmpty():
         edges = rest if edges is None else edges.union(rest)
         comps = staged(components(edges))
