@@ -8,7 +8,7 @@ extended by k - 1 tokens, so that a pair must share k of them:
 
 1. The extended prefixes are indexed; tokens of one node only are left out, and
    sets too small to be like any other set (under 9 tokens for 0.9).
-2. Star rounds: a node is compared with the node that leads half of its prefix,
+2. Star rounds: a node is compared with the node that leads most of its prefix,
    each token being led by one of its nodes: in turn the most central one (whose
    tokens the most nodes have, such as the text that copies were made from) and
    any. Verified pairs are links, and their
@@ -16,17 +16,21 @@ extended by k - 1 tokens, so that a pair must share k of them:
    proportion to their size. Rounds go on, with other leaders, while they link
    nodes in numbers.
 3. What is left: tokens whose nodes lie in several components, and nodes that
-   have k such tokens; no other node can have a link that is missing. They are
-   put in order by their number of nodes. The first of k tokens that a pair
-   shares is among the first l - k + 1 of each node's l, the second among
-   l - k + 2, and so on. A rare token pairs its nodes; a frequent one is joined
-   with each later token to combinations of two, of which the frequent ones
-   take a third, and on up to the k that any two like sets share. A key pairs
-   nodes of different components whose sizes and positions leave room for the
-   common tokens they need. The pairs are verified on whole sets.
+   have k such tokens; no other node can have a link that is missing. The first
+   of k tokens that a pair shares, in order of their number of nodes, is among
+   the first l - k + 1 of each node's l. A rare token pairs its nodes at once.
+4. Nodes that meet at a frequent token are taken with their whole sets, in
+   order of the tokens' number of nodes, so that what copies of one text have
+   in common comes last. The larger set of a pair shows its prefix under the
+   size classes that partners may have, the smaller one under its own: a set
+   with too many tokens of its own has no common token in its prefix. Tokens
+   that still are frequent are joined with each later one to combinations of two,
+   of which the frequent ones take a third, and on up to k. A key pairs nodes of
+   different components whose sizes and positions leave room for the common
+   tokens they need. All pairs are verified on whole sets.
 
 So no link is lost, while pairs within a group are never listed. Nothing is
-capped: FREQUENT, LONG and GAIN only choose how tokens are indexed. Tables
+capped: FREQUENT, CLASSES and GAIN only choose how tokens are indexed. Tables
 that a step has made use of are deleted once their successor is written.
 
 Null and empty texts and texts without words have the empty set and link with
@@ -42,15 +46,17 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanfold.llm.components import components
 from scanfold.sources.tables import discard, staged, table
 
-#: Keys of more nodes than this are frequent and take one more token, if all their sets have at most LONG tokens
-#: or the pairs they would make are more than GAIN times the longer keys.
-FREQUENT, LONG, GAIN = 30, 20, 16
+#: Prefix tokens of more nodes than this are frequent. A key of whole sets is, if it makes more than the square of
+#: this in pairs and more than GAIN times the longer keys that it would become.
+FREQUENT, GAIN = 30, 16
+#: Size classes for each factor e of the size.
+CLASSES = 50
 #: Star rounds at most; what they leave is found in step 3 whatever their number.
 STAR_ROUNDS = 8
 #: So many ids, 24 bytes each, are broadcast at most to fetch texts; more are joined by shuffle.
@@ -135,20 +141,33 @@ def _keyed(docs: DataFrame) -> DataFrame:
                        F.col("text").cast("binary").alias("text"))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b), a written table, of nodes whose whole sets reach the threshold; ``pairs`` is discarded."""
-    wanted = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select(
+def _whole_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, n, tokens): the whole sets of ``wanted`` nodes, from one text each."""
+    ids = staged(wanted.select("node").distinct().join(nodes, "node").select(
         F.col("label").alias("id"), F.col("th").alias("hash")))
-    known = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    known = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     rows = _keyed(docs)
     texts = rows.join(known, (rows["th"] == known["hash"]) & rows["doc_id"].eqNullSafe(known["id"])).select(
         "doc_id", "th", "text")
-    sets = staged(texts.mapInArrow(_sets(size, percent, True), SET_SCHEMA).select("node", "n", "tokens"))
+    sets = staged(texts.mapInArrow(_sets(size, percent, True), SET_SCHEMA).select("node", "n", "tokens").dropDuplicates(["node"]))
+    discard(ids)
+    return sets
+
+
+def _like(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the threshold."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("t_a", "t_b"))
-    like = staged(both.where(common * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
-    for done in (pairs, wanted, sets):
+    return staged(both.where(common * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b), a written table, of nodes whose whole sets reach the threshold; ``pairs`` is discarded."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+    sets = _whole_sets(ends, nodes, docs, size, percent)
+    like = _like(pairs, sets, percent)
+    for done in (pairs, sets):
         discard(done)
     return like
 
@@ -166,14 +185,14 @@ def _live(hits: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 
 def _star_pairs(live: DataFrame, turn: int) -> DataFrame:
-    """(a, b): nodes and their tokens' leaders of another component, where one leads half of a node's prefix."""
+    """(a, b): nodes and their tokens' leaders of another component, where one leads most of a node's prefix."""
     counts = live.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     central = live.join(counts, "token").groupBy("node").agg((F.sum("df") / F.first("e")).alias("score"))
     order = F.col("score") if turn % 2 == 0 else F.xxhash64(F.lit(turn), "node")
     lead = F.max(F.struct(order.alias("o"), F.col("node").alias("b"), F.col("comp").alias("bc")))
     leaders = live.join(central, "node").groupBy("token").agg(lead.alias("lead")).select("token", "lead.b", "lead.bc")
     return live.join(leaders, "token").where("comp <> bc").groupBy(F.col("node").alias("a"), "b").agg(
-        F.count(F.lit(1)).alias("c"), F.first("e").alias("e")).where("2 * c >= e").select("a", "b")
+        F.count(F.lit(1)).alias("c"), F.first("e").alias("e")).where("4 * c >= 3 * e").select("a", "b")
 
 
 def always_shared(percent: int) -> int:
@@ -182,48 +201,97 @@ def always_shared(percent: int) -> int:
     return min(shared_least(n, percent) for n in range(first, first + 200)) if percent < 100 else 1
 
 
-def _rest_pairs(live: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs of nodes of different components that can share k tokens."""
+def _rare_pairs(live: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b): pairs by the rare tokens of the extended prefixes; (node, comp): the nodes that meet at frequent ones.
+
+    The first of k tokens that a pair shares is among the first l - k + 1 of each node's l.
+    """
     counts = live.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = staged(live.join(counts, "token").groupBy("node").agg(
+    ranked = live.join(counts, "token").groupBy("node").agg(
         *[F.first(c).alias(c) for c in ("comp", "n", "k", "e")],
-        F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts")).select(
-        "node", "comp", "n", "e", F.transform("ts", lambda t: t["token"]).alias("tokens"),
-        F.size("ts").alias("all"), (F.size("ts") - F.col("k")).cast("int").alias("room")))
-    kept = ["node", "comp", "n", "e", "all", "room"]
-    # the first shared token of a pair is among the first room + 1 of each, the next among room + 2, ...
-    entries = ranked.select(*kept, F.posexplode(F.slice("tokens", F.lit(1), F.col("room") + 1)).alias("at", "key"))
-    found, spent = [], [ranked]
-    for size in range(1, always_shared(percent) + 1):
+        F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts")).withColumn("all", F.size("ts"))
+    kept = ["node", "comp", "n", "e", "all"]
+    first = F.slice(F.transform("ts", lambda t: t["token"]), F.lit(1), (F.col("all") - F.col("k") + 1).cast("int"))
+    entries = staged(ranked.select(*kept, F.posexplode(first).alias("at", "key")))
+    keys = entries.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
+        F.sum("c").alias("g"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    keys = staged(keys.select("key", (F.col("g") > FREQUENT).alias("frequent")))
+    met = entries.join(keys.where("not frequent").select("key"), "key")
+    a = met.select("key", *[F.col(c).alias(f"a_{c}") for c in (*kept, "at")])
+    b = met.select("key", *[F.col(c).alias(f"b_{c}") for c in (*kept, "at")])
+    least = _needed("a_n", "b_n", percent) - F.greatest(F.col("a_n") - F.col("a_e"), F.col("b_n") - F.col("b_e"))
+    fits = ((F.col("a_comp") != F.col("b_comp")) & (F.col("a_node") < F.col("b_node"))
+            & (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
+            & (F.least(F.col("a_all") - F.col("a_at"), F.col("b_all") - F.col("b_at")) >= least))
+    pairs = staged(a.join(b, "key").where(fits).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct())
+    crowded = staged(entries.join(keys.where("frequent").select("key"), "key").select("node", "comp").distinct())
+    for done in (entries, keys):
+        discard(done)
+    return pairs, crowded
+
+
+def _needed(x: str, y: str, percent: int) -> Column:
+    """Tokens that sets of x and y tokens must share to be like each other."""
+    return F.ceil((F.col(x) + F.col(y)) * percent / (100 + percent))
+
+
+def _frequent_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of whole sets (node, comp, n, tokens) of different components that can be like each other.
+
+    Tokens are in order of their number of nodes, those of one component alone in front. The smaller set of a pair
+    (``probe`` false) shows itself under its size class, the larger one under each class that its partner may have,
+    with just the tokens that can be the first shared ones for that class. Keys that would make too many pairs take
+    one more token, up to k.
+    """
+    held = sets.select("node", "comp", "n", F.explode("tokens").alias("token"))
+    counts = held.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(
+        "lo <> hi").select("token", "df")
+    k = always_shared(percent)
+    least = F.ceil(F.col("n") * percent / 100)
+    ranked = staged(held.join(counts, "token").groupBy("node").agg(
+        F.first("comp").alias("comp"), F.first("n").alias("n"),
+        F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts")).where(F.size("ts") >= least).select(
+        "node", "comp", "n", (F.col("n") - F.size("ts")).alias("alone"), F.slice(
+            F.transform("ts", lambda t: t["token"]), F.lit(1), (F.size("ts") - least + k).cast("int")).alias("tokens")))
+    grade = lambda m: F.floor(F.log(m.cast("double")) * CLASSES).cast("int")
+    own = ranked.select("*", F.lit(False).alias("probe"), grade(F.col("n")).alias("grade"), F.col("n").alias("m"))
+    other = ranked.select("*", F.lit(True).alias("probe"), F.explode(F.sequence(grade(least), grade(F.col("n")))).alias("grade"))
+    other = other.withColumn("m", F.least(F.greatest(least, F.floor(F.exp(F.col("grade") / CLASSES))), F.col("n")))
+    views = staged(own.unionByName(other).withColumn(
+        "room", (F.col("n") - F.col("alone") - _needed("n", "m", percent)).cast("int")).where("room >= 0").drop("m"))
+    seen = ["node", "comp", "n", "alone", "probe", "grade", "room"]
+    entries = views.select(*seen, F.posexplode(F.slice("tokens", F.lit(1), F.col("room") + 1)).alias("at", "token")).select(
+        *seen, "at", F.xxhash64("grade", "token").alias("key"))
+    found, spent = [], [ranked, views]
+    for size in range(1, k + 1):
         keys = entries.groupBy("key", "comp").agg(
-            F.count(F.lit(1)).alias("c"), F.sum(F.col("room") + size - F.col("at")).alias("more"), F.max("n").alias("n"))
-        keys = keys.groupBy("key").agg(
-            F.sum("c").alias("g"), F.sum(F.col("c") * F.col("c")).alias("q"), F.max_by("comp", "c").alias("main"),
-            F.sum("more").alias("more"), F.max("n").alias("n")).where(F.col("g") * F.col("g") > F.col("q"))
-        grows = (F.col("g") > FREQUENT) & (
-            (F.col("n") <= LONG) | (F.col("g") * F.col("g") - F.col("q") > 2 * GAIN * F.col("more")))
-        last = size == always_shared(percent)
-        keys = staged(keys.select("key", "main", (F.lit(False) if last else grows).alias("grows")))
+            F.count_if(~F.col("probe")).alias("i"), F.count_if("probe").alias("p"),
+            F.sum(F.col("room") + size - F.col("at")).alias("more")).groupBy("key").agg(
+            (F.sum("i") * F.sum("p") - F.sum(F.col("i") * F.col("p"))).alias("made"),
+            F.max_by("comp", F.col("i") + F.col("p")).alias("main"), F.sum("more").alias("more")).where("made > 0")
+        grows = (F.col("made") > FREQUENT * FREQUENT) & (F.col("made") > GAIN * F.col("more")) & F.lit(size < k)
+        keys = staged(keys.select("key", "main", grows.alias("grows")))
         spent.append(keys)
-        met = entries.join(keys.where("not grows"), "key")
-        a = met.where("comp <> main").select("key", "main", *[F.col(c).alias(f"a_{c}") for c in (*kept, "at")])
-        b = met.select("key", *[F.col(c).alias(f"b_{c}") for c in (*kept, "at")])
-        common = F.ceil((F.col("a_n") + F.col("b_n")) * percent / (100 + percent))
-        least = common - F.greatest(F.col("a_n") - F.col("a_e"), F.col("b_n") - F.col("b_e"))
-        fits = ((F.col("a_comp") != F.col("b_comp")) & ((F.col("b_comp") == F.col("main")) | (F.col("a_node") < F.col("b_node")))
-                & (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
-                & (size + F.least(F.col("a_all") - F.col("a_at"), F.col("b_all") - F.col("b_at")) - 1 >= least))
-        pairs = staged(a.join(b, "key").where(fits).select(
-            F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct())
-        found.append(pairs)
+        met = entries.join(keys.where("not grows").select("key", "main"), "key")
+        side = lambda x: met.where(F.col("probe") == (x == "b")).select(
+            "key", "main", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "comp", "n", "alone", "at")])
+        a, b = side("a"), side("b").drop("main")
+        ends = F.least(F.col("a_n") - F.col("a_alone") - F.col("a_at"), F.col("b_n") - F.col("b_alone") - F.col("b_at"))
+        fits = ((F.col("a_comp") != F.col("b_comp")) & (F.col("a_n") * 100 >= F.col("b_n") * percent)
+                & ((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_node") < F.col("b_node"))))
+                & (size - 1 + ends >= _needed("a_n", "b_n", percent)))
+        rest = side("b").where("b_comp <> main").drop("main")
+        both = a.where("a_comp <> main").join(b, "key").unionByName(a.where("a_comp = main").join(rest, "key"))
+        found.append(staged(both.where(fits).select(
+            F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()))
         open_ = keys.where("grows")
-        if last or open_.isEmpty():
+        if size == k or open_.isEmpty():
             break
-        # groups that are still large: their keys take one more of each set's later tokens
-        more = entries.join(open_.select("key"), "key").select("node", "key", "at").join(ranked, "node")
-        grown = more.select(*kept, "key", "at", F.posexplode(F.slice(
+        more = entries.join(open_.select("key"), "key").select("node", "probe", "grade", "key", "at").join(
+            views, ["node", "probe", "grade"])
+        grown = more.select(*seen, "key", "at", F.posexplode(F.slice(
             "tokens", F.col("at") + 2, F.col("room") + size - F.col("at"))).alias("step", "token"))
-        entries = staged(grown.select(*kept, (F.col("at") + F.col("step") + 1).alias("at"),
+        entries = staged(grown.select(*seen, (F.col("at") + F.col("step") + 1).alias("at"),
                                       F.xxhash64("key", "token").alias("key")))
         spent.append(entries)
     pairs = staged(reduce(DataFrame.union, found).distinct())
@@ -257,7 +325,14 @@ def link(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
             discard(left)
         if links * 50 <= live.select("node").distinct().count():
             break
-    rest = _verified(_rest_pairs(live, percent), nodes, docs, size, percent)
+    pairs, crowded = _rare_pairs(live, percent)
+    rest = _verified(pairs, nodes, docs, size, percent)
+    if not crowded.isEmpty():
+        sets = _whole_sets(crowded, nodes, docs, size, percent)
+        pairs = _frequent_pairs(crowded.join(sets, "node"), percent)
+        rest = rest.union(_like(pairs, sets, percent))
+        for done in (sets, pairs):
+            discard(done)
     if not rest.isEmpty():
         edges = rest if edges is None else edges.union(rest)
         comps = staged(components(edges))

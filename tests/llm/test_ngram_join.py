@@ -59,11 +59,11 @@ def family(seed, n=160):
     return texts | {900: None, 901: "", 902: " \x0b ", 903: "é ü", 904: "É ü", 905: "one", 906: "ONE"}
 
 
-@pytest.mark.parametrize("seed,size,percent,frequent,long", [(1, 3, 90, 100, 1000), (2, 3, 90, 2, 40), (3, 5, 80, 2, 1000),
+@pytest.mark.parametrize("seed,size,percent,frequent,gain", [(1, 3, 90, 100, 16), (2, 3, 90, 2, 16), (3, 5, 80, 2, 0),
                                                             (4, 3, 80, 1, 0)])
-def test_against_all_pairs(spark, monkeypatch, seed, size, percent, frequent, long):
+def test_against_all_pairs(spark, monkeypatch, seed, size, percent, frequent, gain):
     monkeypatch.setattr(J, "FREQUENT", frequent)
-    monkeypatch.setattr(J, "LONG", long)
+    monkeypatch.setattr(J, "GAIN", gain)
     texts = family(seed)
     df = spark.createDataFrame([(d, t, d) for d, t in texts.items()], "doc_id long, text string, component_id long")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.link(df, size, percent).collect()}
@@ -73,14 +73,35 @@ def test_against_all_pairs(spark, monkeypatch, seed, size, percent, frequent, lo
 def test_rest_alone_finds_all_links(spark, monkeypatch):
     """With the star rounds switched off, combinations and rare tokens still find every component."""
     monkeypatch.setattr(J, "_star_pairs", lambda live, turn: live.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
-    for frequent, long in ((1, 1000), (3, 60), (1000, 10)):
+    for frequent, gain in ((1, 0), (3, 16), (1000, 16)):
         monkeypatch.setattr(J, "FREQUENT", frequent)
-        monkeypatch.setattr(J, "LONG", long)
+        monkeypatch.setattr(J, "GAIN", gain)
         texts = family(7, 100)
         df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in J.link(df).collect()} == expected(texts, 3, 90)
 
 
+@pytest.mark.parametrize("percent,frequent,gain", [(90, 30, 16), (90, 1, 0), (80, 2, 0)])
+def test_frequent_pairs_miss_no_like_pair(spark, monkeypatch, percent, frequent, gain):
+    """Copies of one set at all distances, some in one component: every like pair of two components is a candidate."""
+    monkeypatch.setattr(J, "FREQUENT", frequent)
+    monkeypatch.setattr(J, "GAIN", gain)
+    r = random.Random(percent)
+    base, rows = r.sample(range(10_000), 60), []
+    for node in range(120):
+        own = set(base[r.randrange(6):])
+        for _ in range(r.randrange(14)):
+            own.discard(r.choice(base))
+            own.add(r.choice(base) if r.random() < 0.3 else r.randrange(20_000, 20_400))
+        rows.append((node, min(node, 40), len(own), sorted(own)))
+    made = J._frequent_pairs(spark.createDataFrame(rows, "node long, comp long, n long, tokens array<long>"), percent)
+    got = {(p.a, p.b) for p in made.collect()}
+    like = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[1] != y[1]
+            and 100 * len({*x[3]} & {*y[3]}) >= percent * len({*x[3]} | {*y[3]})}
+    assert like and like <= got
+    assert all(rows[a][1] != rows[b][1] and a < b for a, b in got)
+
+
 def test_prefixes_share_enough():
     r = random.Random(5)
     for _ in range(300):
