@@ -106,7 +106,7 @@ def smallest(percent: int) -> int:
     return -(-percent // (100 - percent)) if percent < 100 else 1 << 62
 
 
-SET_SCHEMA = "doc_id long, th long, n long, node long, k long, mixed boolean, tokens array<long>"
+SET_SCHEMA = "doc_id long, th long, n long, node long, k long, tokens array<long>"
 
 
 def _sets(size: int, percent: int, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -117,22 +117,21 @@ def _sets(size: int, percent: int, whole: bool) -> Callable[[Iterator[pa.RecordB
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                n, node, k, mixed, tokens, ends = [], [], [], [], [], [0]
+                n, node, k, tokens, ends = [], [], [], [], [0]
                 for text in part.column(2):
                     s = shingle_set(text.as_py(), size)
                     m = len(s)
                     n.append(m)
                     node.append(xxhash.xxh64_intdigest(s.tobytes(), m) if m else 0)
                     k.append(shared_least(m, percent) if m else 0)
-                    mixed.append(bool(m) and shared_least(least_size(m, percent), percent) == 1)
                     tokens.append(s if whole else s[:prefix(m, percent) + extension(m, percent) - 1] if m else s)
                     ends.append(ends[-1] + len(tokens[-1]))
                 values = pa.array(np.concatenate(tokens).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(n, pa.int64()),
-                     pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(k, pa.int64()), pa.array(mixed, pa.bool_()),
+                     pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(k, pa.int64()),
                      pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)],
-                    ["doc_id", "th", "n", "node", "k", "mixed", "tokens"])
+                    ["doc_id", "th", "n", "node", "k", "tokens"])
     return run
 
 
@@ -307,13 +306,14 @@ def link(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     filled = rows.where("n > 0")
     nodes = staged(filled.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("x"), F.min("doc_id").alias("least")).select(
         "node", F.col("x.doc_id").alias("label"), F.col("x.th").alias("th"), "least"))
-    index = filled.where(F.col("n") >= smallest(percent)).groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "k", "mixed", "tokens")]).select(
-        "node", "n", "k", "mixed", F.size("tokens").alias("e"), F.explode("tokens").alias("token"))
+    heads = staged(filled.where(F.col("n") >= smallest(percent)).select("node", "n", "k", "tokens").dropDuplicates(["node"]))
+    index = heads.select("node", "n", "k", F.size("tokens").alias("e"), F.explode("tokens").alias("token"))
     shared = index.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
     hits = staged(index.join(shared, "token").withColumn("comp", F.col("node")))
     enough = hits.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.first("k").alias("k")).where("c >= k").select("node")
     live = staged(hits.join(enough, "node"))
-    discard(hits)
+    for done in (heads, hits):
+        discard(done)
     edges = comps = None
     for turn in range(STAR_ROUNDS):
         found = _verified(staged(_star_pairs(live, turn)), nodes, docs, size, percent)
