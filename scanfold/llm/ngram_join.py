@@ -323,7 +323,7 @@ def link(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
             comps, left = staged(components(edges)), live
             live = _live(left, comps)
             discard(left)
-        if links * 50 <= live.select("node").distinct().count():
+        if links * 4 <= live.select("node").distinct().count():
             break
     pairs, crowded = _rare_pairs(live, percent)
     rest = _verified(pairs, nodes, docs, size, percent)
