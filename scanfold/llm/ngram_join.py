@@ -14,7 +14,7 @@ extended by k - 1 tokens, so that a pair must share k of them:
    any. Verified pairs are links, and their
    components are found. Large groups of near copies collapse here at a cost in
    proportion to their size. Rounds go on, with other leaders, while they link
-   nodes in numbers.
+   a quarter of the nodes that are open.
 3. What is left: tokens whose nodes lie in several components, and nodes that
    have k such tokens; no other node can have a link that is missing. The first
    of k tokens that a pair shares, in order of their number of nodes, is among
