@@ -9,10 +9,13 @@ from pyspark.sql import types as T
 
 from scanfold.catalog import ANY, Catalogue
 from scanfold.catalog.frames import PATTERN_FIELDS, _colon
+from scanfold.functions import kernel
 from scanfold.functions.dialect import literal_gate, pattern_error, to_jvm
-from scanfold.operators.scan import explode_violations, find_violations
-from scanfold.operators.scope import parts_of, together
+from scanfold.operators.contents import texts_of
+from scanfold.operators.scan import FILE_COLUMNS, explode_violations, find_violations
+from scanfold.operators.scope import meet, together
 from scanfold.ship import ship
+from scanfold.sources.tables import staged
 
 UPDATABLE = ("name", "description", "severity", "enabled", "pattern", "ai_prompt", "fix_suggestion")
 
@@ -81,42 +84,56 @@ def _as_pattern() -> Column:
 def scan_custom(files: DataFrame, rules: DataFrame, most: int | None = None) -> DataFrame:
     """Run stored regex rules in their scope: everywhere, one organisation or one repository.
 
-    The rules are compiled once and cut into parts of bounded size, whatever
-    scopes own them; each part is broadcast to a pass over the files of its
-    scopes. Every rule is a rule of its own, so the passes' hits add up, and the
-    files' texts take part in no shuffle.
+    The files' narrow rows meet the rules of their scopes by joins. A pattern runs
+    once on each content that any file brings to it, if the text has one of its
+    literals, and its hits go back to the files and rules that asked. ``most``
+    bounds the bytes of a table that is broadcast.
     """
-    ready = compiled_rules(rules).filter(F.col("error").isNull())
-    weight = F.octet_length("pattern") * 4 + F.octet_length(F.concat_ws("", "name", "description", "fix_suggestion")) + 400
-    return together([_scan_part(files, part) for part in parts_of(ready, weight, most)])
-
-
-def _scan_part(files: DataFrame, ready: DataFrame) -> DataFrame:
-    entry = F.struct(F.col("id"), _as_pattern().alias("p"), F.coalesce(
-        F.transform("languages", F.lower), F.array().cast("array<string>")).alias("languages"))
-    ready = ready.select("org", "repo", entry.alias("e"))
-
-    def grouped(df: DataFrame, name: str, *keys: str) -> DataFrame:
-        """The rules of a scope as one array, which every file of the scope meets."""
-        return F.broadcast(df.groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias(name)))
-
-    # Rules of all organisations are keyed by the language they can meet, as the built-in catalogue is.
+    ready = staged(compiled_rules(rules).filter(F.col("error").isNull()).withColumn("_pattern", F.unhex(F.sha2("pattern", 256))).select(
+        "id", "org", "repo", "name", "description", "severity", "category", "owasp_mapping", "cwe_id", "_pattern", "jvm", "jvm_ascii", "gate",
+        F.coalesce(F.transform("languages", F.lower), F.array().cast("array<string>")).alias("languages")))
+    narrow, texts = texts_of(files, [])
+    columns = [c for c in FILE_COLUMNS if c in narrow.columns]
+    wanted = _wanted(narrow.select(*columns, "unit"), ready, most)
+    found = staged(_pattern_hits(wanted, texts, ready))
+    hits = meet(wanted, found, ["unit", "_pattern"], most=most)
+    blank = F.lit(None).cast("string")
+    filled = lambda c: F.replace(c, F.lit("{detail}"), F.lit(""))
+    rows = hits.select(*columns, F.transform("violations", lambda v: F.struct(
+        v["line_start"].alias("line_start"), v["line_end"].alias("line_end"), F.lit(100_000).alias("rule_ord"), F.lit(0).alias("pattern_ord"),
+        v["match_ord"].alias("match_ord"), F.col("id").alias("rule_id"), F.col("severity").alias("severity"), F.col("category").alias("category"),
+        F.col("name").alias("label"), filled(F.col("name")).alias("title"), filled(F.coalesce("description", "name")).alias("description"),
+        v["code_snippet"].alias("code_snippet"), F.col("owasp_mapping").alias("owasp_mapping"), F.col("cwe_id").alias("cwe_id"),
+        blank.alias("detail"))).alias("violations"))
+    return explode_violations(rows)
+
+
+def _wanted(files: DataFrame, ready: DataFrame, most: int | None) -> DataFrame:
+    """File rows with each rule that runs on them."""
     known = Catalogue.builtin().languages()
     every_key = F.array(*[F.lit(x) for x in [*known, ANY]])
-    keys = F.when(F.size("e.languages") == 0, every_key).otherwise(F.array_distinct(F.transform(
-        "e.languages", lambda x: F.when(x.isin(known), x).otherwise(F.lit(ANY)))))
-    everywhere = grouped(ready.filter(F.col("org").isNull()).withColumn("_key", F.explode(keys)), "_all", "_key")
-    by_org = grouped(ready.filter(F.col("org").isNotNull() & F.col("repo").isNull()), "_org_rules", "org")
-    by_repo = grouped(ready.filter(F.col("repo").isNotNull()), "_repo_rules", "org", "repo")
-
+    keys = F.when(F.size("languages") == 0, every_key).otherwise(F.array_distinct(F.transform(
+        "languages", lambda x: F.when(x.isin(known), x).otherwise(F.lit(ANY)))))
+    shown = [c for c in ready.columns if c not in ("org", "repo", "jvm", "jvm_ascii", "gate")]
     lang = F.lower("language")
     keyed = files.withColumn("_key", F.when(lang.isin(known), lang).otherwise(F.lit(ANY)))
-    scoped = (keyed.join(everywhere, "_key", "left").join(by_org, "org", "left")
-              .join(by_repo, ["org", "repo"], "left"))
-    rules_of_file = F.concat(*[F.coalesce(F.col(c), F.array()) for c in ("_all", "_org_rules", "_repo_rules")])
-    fitting = F.filter(rules_of_file, lambda e: (F.size(e["languages"]) == 0) | F.array_contains(e["languages"], lang))
-    # Each custom rule is a rule of its own: the position separates them in de-duplication.
-    numbered = F.transform(fitting, lambda e, i: e["p"].withField("rule_ord", (i + 100_000).cast("int")))
-    patterned = scoped.withColumn("_patterns", numbered)
-    return explode_violations(find_violations(
-        patterned, [], languages=Catalogue.builtin().languages(), extra_patterns="_patterns"))
+    # Rules of all organisations are keyed by the language they can meet, as the built-in catalogue is.
+    everywhere = ready.filter(F.col("org").isNull()).select(*shown, F.explode(keys).alias("_key"))
+    by_org = ready.filter(F.col("org").isNotNull() & F.col("repo").isNull()).select("org", *shown)
+    by_repo = ready.filter(F.col("org").isNotNull() & F.col("repo").isNotNull()).select("org", "repo", *shown)
+    scoped = together([meet(keyed, part, on, most=most).drop("_key") for part, on in (
+        (everywhere, ["_key"]), (by_org, ["org"]), (by_repo, ["org", "repo"]))])
+    return scoped.where((F.size("languages") == 0) | F.array_contains("languages", lang)).drop("languages")
+
+
+def _pattern_hits(wanted: DataFrame, texts: DataFrame, ready: DataFrame) -> DataFrame:
+    """(unit, _pattern, violations) where there are any; a row is one content and one pattern."""
+    names = [f.name for f in ready.schema if f.name in ("id", "name", "description", "severity", "category", "owasp_mapping", "cwe_id")]
+    patterns = ready.groupBy("_pattern").agg(*[F.any_value(c).alias(c) for c in ("jvm", "jvm_ascii", "gate")])
+    pairs = wanted.select("unit", "_pattern").distinct().join(patterns, "_pattern").join(texts.hint("merge"), "unit")
+    low, odd = F.lower("code"), kernel.folds_oddly(F.col("code"))
+    open_pairs = pairs.where((F.size("gate") == 0) | odd | F.exists("gate", lambda g: F.contains(low, g)))
+    patterned = open_pairs.select("*", *[F.lit("").alias(c) for c in names]).withColumn("_patterns", F.array(_as_pattern()))
+    scanned = find_violations(patterned, [], languages=Catalogue.builtin().languages(), extra_patterns="_patterns", keep=("unit", "_pattern"))
+    slim = F.transform("violations", lambda v: F.struct(*[v[c].alias(c) for c in ("line_start", "line_end", "match_ord", "code_snippet")]))
+    return scanned.select("unit", "_pattern", slim.alias("violations")).where(F.size("violations") > 0)

@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from scanfold.catalog import Catalogue
-from scanfold.operators import contents, scope
+from scanfold.operators import contents, rules_store, scope
 from scanfold.operators.scan import find_violations
-from test_scope import FILES
+from test_plans import plan
+from test_scope import FILES, RULES, _rule
 
 CATALOGUE = Catalogue.builtin()
 NOISY = 'console.log("a");\nconst q = "SELECT * FROM t WHERE id = " + id;\n'
@@ -42,3 +43,11 @@ def test_any_number_of_settings_is_one_pass_over_the_files(spark):
     files = settings.select("org", "repo", F.col("s").alias("file_id"))
     (met,) = scope.with_settings(files, settings, ["org", "repo"], F.lit(100), 1_000)      # 50 parts, and as many passes, before
     assert sorted((r["file_id"], r["s"]) for r in met.collect()) == [(i, i) for i in range(500)]
+
+
+def test_any_number_of_custom_rules_is_one_pass_for_each_kind_of_scope(spark):
+    rules = spark.createDataFrame([_rule(i, f"w{i}\\b", "o", f"r{i}") for i in range(60)], RULES)
+    files = spark.createDataFrame([(i, "o", f"r{i}", "a.py", "python", f"w{i}\nw{i + 1}\n") for i in range(60)], FILES)
+    df = rules_store.scan_custom(files, rules, 2_000)
+    assert plan(df).count("Scan ExistingRDD") <= 2 * 3                                      # named in the tree and below it
+    assert sorted((r["file_id"], r["rule_id"], r["line_start"]) for r in df.collect()) == [(i, f"R{i}", 1) for i in range(60)]
