@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from scanfold.catalog import Catalogue
 from scanfold.operators import rollup
-from scanfold.operators.scan import find_violations
+from scanfold.operators.contents import find_once
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -20,22 +22,34 @@ def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int |
 
 
 def scan_stream(files: DataFrame, rules, out: str, checkpoint: str) -> StreamingQuery:
-    """Scan files as they arrive.  The batch plan as it is: stateless, narrow, append only."""
-    scanned = find_violations(files, rules, languages=Catalogue.builtin().languages())
-    return (scanned.writeStream.format("parquet").outputMode("append")
-            .option("path", out).option("checkpointLocation", checkpoint)
+    """Scan files as they arrive: stateless, one folder per micro-batch, which a replay of it overwrites.
+
+    The equal contents of a batch are scanned once.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        scanned = find_once(batch, rules, languages=Catalogue.builtin().languages())
+        scanned.write.mode("overwrite").parquet(f"{out}/batch={batch_id:012d}")
+
+    return (files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def report_stream(summaries: DataFrame, out: str, checkpoint: str, keys=("org", "repo", "pr_number")) -> StreamingQuery:
+def scanned(spark: SparkSession, out: str) -> DataFrame:
+    """What ``scan_stream`` has written, of all batches."""
+    return spark.read.parquet(out).drop("batch")
+
+
+def report_stream(summaries: DataFrame, out: str, checkpoint: str, keys=("org", "repo", "pr_number"),
+                  of_batch: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Append every micro-batch's pull-request figures to a log, one folder per batch.
 
     A replayed batch overwrites its own folder, so the log holds each batch
     once.  The files of one scan may come in several batches, so a row is a part
-    of a scan; ``latest_reports`` adds the parts up.
+    of a scan; ``latest_reports`` adds the parts up. ``of_batch`` makes the summaries
+    of a batch of files, where the stream brings files.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        parts = rollup.roll_up(batch, *keys, "scanned_at")
+        parts = rollup.roll_up(of_batch(batch) if of_batch else batch, *keys, "scanned_at")
         parts.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id:012d}")
 
     return (summaries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
