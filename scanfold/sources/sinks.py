@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scanfold.operators.contents import with_hits
 from scanfold.operators.rollup import COUNTERS
 from scanfold.operators.scan import explode_violations
 
@@ -40,7 +41,9 @@ def commit(tables: dict[str, DataFrame], path: str, run: str, partition_by: dict
     attempt = uuid.uuid4().hex
     for name, rows in tables.items():
         parts = (partition_by or {}).get(name, [])
-        rows.withColumn("attempt", F.lit(attempt)).write.mode("append").partitionBy("attempt", *parts).parquet(f"{path}/{name}")
+        # Ids are hex text, which only a codec with an entropy coder makes smaller.
+        (rows.withColumn("attempt", F.lit(attempt)).write.mode("append").partitionBy("attempt", *parts)
+         .option("compression", "zstd").parquet(f"{path}/{name}"))
     spark.createDataFrame([(attempt,)], "attempt string").coalesce(1).write.mode("append").parquet(done)
     return True
 
@@ -76,14 +79,16 @@ def violation_rows(scans: DataFrame, now: Column) -> DataFrame:
         F.lit("open").alias("resolution_state"))
 
 
-def store_scans(acted: DataFrame, path: str, run: str, now: Column) -> bool:
+def store_scans(acted: DataFrame, path: str, run: str, now: Column, hits: DataFrame | None = None) -> bool:
     """Commit scan results and their violations under one run.
 
     ``acted``: scan-result rows with violations, counters, status and action, from
-    a written table, so that a lost executor costs a re-read and not a re-scan.
+    a written table, so that a lost executor costs a re-read and not a re-scan. With
+    ``hits``, the violations of each content, the rows have the unit of theirs instead.
     """
     scans = identified(acted, run)
-    return commit({"scan_results": result_rows(scans, now), "violations": violation_rows(scans, now)}, path, run,
+    found = scans if hits is None else with_hits(scans.select("scan_id", "file_path", "unit"), hits).drop("unit")
+    return commit({"scan_results": result_rows(scans, now), "violations": violation_rows(found, now)}, path, run,
                   {"violations": ["category", "severity"]})
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from scanfold.catalog import Catalogue
 from scanfold.operators import contents, rules_store, scope
 from scanfold.operators.scan import find_violations
+from scanfold.sources import sinks
 from test_plans import plan
 from test_scope import FILES, RULES, _rule
 
@@ -51,3 +52,16 @@ def test_any_number_of_custom_rules_is_one_pass_for_each_kind_of_scope(spark):
     df = rules_store.scan_custom(files, rules, 2_000)
     assert plan(df).count("Scan ExistingRDD") <= 2 * 3                                      # named in the tree and below it
     assert sorted((r["file_id"], r["rule_id"], r["line_start"]) for r in df.collect()) == [(i, f"R{i}", 1) for i in range(60)]
+
+
+def test_results_and_violations_stored_by_content_are_those_stored_by_file(spark, tmp_path):
+    from scanfold.operators import rollup
+    extra = {"pr_number": F.lit(1), "commit_sha": F.lit("c"), "enforcement_action": F.lit("none")}
+    files, hits = contents.scan_contents(_files(spark), CATALOGUE.list_rules(), languages=CATALOGUE.languages())
+    by_content = contents.meet(files, rollup.summarize(hits).drop("violations"), ["unit"]).withColumns(extra)
+    by_file = rollup.summarize(find_violations(_files(spark), CATALOGUE.list_rules(), languages=CATALOGUE.languages())).withColumns(extra)
+    now = F.expr("TIMESTAMP_NTZ '2024-06-01 12:00:00'")
+    assert sinks.store_scans(by_content, f"{tmp_path}/a", "run", now, hits) and sinks.store_scans(by_file, f"{tmp_path}/b", "run", now)
+    for name in ("scan_results", "violations"):
+        a, b = (sinks.committed(spark, f"{tmp_path}/{x}", name) for x in "ab")
+        assert _hits(a) == _hits(b.select(*a.columns)) and a.count()
