@@ -161,6 +161,77 @@ def _like(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return staged(both.where(common * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
 
 
+def _compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b, n, m, like, diff): nodes a and their leaders b, the sizes of their sets, whether these reach the threshold, and
+    the tokens that one of the two alone has, null where these are more than either's own; ``pairs`` is discarded."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+    sets = _whole_sets(ends, nodes, docs, size, percent)
+    both = pairs.join(sets.select(F.col("node").alias("a"), "n", F.col("tokens").alias("t")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("u")), "b")
+    diff = F.concat(F.array_except("t", "u"), F.array_except("u", "t"))
+    common = (F.col("n") + F.col("m") - F.size("diff")) / 2
+    out = staged(both.withColumn("diff", diff).select(
+        "a", "b", "n", "m", (common * (100 + percent) >= percent * (F.col("n") + F.col("m"))).alias("like"),
+        F.when(F.size("diff") <= F.least("n", "m"), F.col("diff")).alias("diff")))
+    for done in (pairs, sets):
+        discard(done)
+    return out
+
+
+def _diff_pairs(near: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of nodes of one leader that reach the threshold, but for those where both do so with the leader.
+
+    The sets x and y of two nodes differ in what their differences d and e from the leader's set differ in, so they
+    have (|d| + |e| - h) / 2 tokens of d and e in common or more, if x and y may differ in h = r * (|x| + |y|) tokens,
+    r = (100 - percent) / (100 + percent). That is |d| - h at least, and if y isn't like the leader's set z, so that
+    |e| > r * (|y| + |z|), more than (|d| + r * (|z| - |x|)) / 2. Differences that nobody shares can't make that up:
+    copies that differ from their original each in its own way are told apart without listing their pairs.
+    """
+    held = near.select("a", "b", F.explode("diff").alias("token"))
+    counts = held.groupBy("b", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    d, r = F.size("diff"), (100 - percent) / (100 + percent)
+    most = F.floor((F.col("n") + F.floor(F.col("n") * 100 / percent)) * r + 1e-9)
+    far = F.greatest(d - most, F.lit(1))
+    half = F.greatest(F.floor((d + (F.col("m") - F.col("n")) * r) / 2 - 1e-9) + 1, far)
+    ranked = held.join(counts, ["b", "token"]).groupBy("a").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))
+    sets = staged(near.select("a", "b", "n", "like", "diff", far.alias("far"), half.alias("half")).join(ranked, "a").select(
+        "a", "b", "n", "like", F.size("diff").alias("d"), "far", "half", F.transform("ts", lambda t: t["token"]).alias("ts")).where(
+        F.size("ts") >= F.when(F.col("like"), F.col("half")).otherwise(F.col("far"))))
+
+    def view(rows: DataFrame, least: str, x: str) -> DataFrame:
+        first = F.slice("ts", F.lit(1), F.greatest(F.size("ts") - F.col(least) + 1, F.lit(0)).cast("int"))
+        return rows.select("b", F.posexplode(first).alias(f"at_{x}", "token"), F.size("ts").alias(f"c_{x}"),
+                           *[F.col(c).alias(f"{c}_{x}") for c in ("a", "n", "d")])
+
+    room = F.least(F.col("c_x") - F.col("at_x"), F.col("c_y") - F.col("at_y"))
+    fits = ((F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent)
+            & (2 * room >= F.col("d_x") + F.col("d_y") - (F.col("n_x") + F.col("n_y") - 2 * _needed("n_x", "n_y", percent))))
+    pair = lambda x, y: x.join(y, ["b", "token"]).where(fits).select(F.col("a_x").alias("x"), F.col("a_y").alias("y"))
+    unlike, like = sets.where("not like"), sets.where("like")
+    pairs = staged(pair(view(unlike, "half", "x"), view(unlike, "half", "y")).where("x < y").union(
+        pair(view(like, "half", "x"), view(unlike, "far", "y"))).distinct())
+    side = lambda x: sets.select(F.col("a").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "d", "ts")])
+    total = F.col("n_x") + F.col("n_y")
+    common = (total - F.col("d_x") - F.col("d_y")) / 2 + F.size(F.array_intersect("ts_x", "ts_y"))
+    out = staged(pairs.join(side("x"), "x").join(side("y"), "y").where(common * (100 + percent) >= percent * total).select(
+        F.col("x").alias("a"), F.col("y").alias("b")))
+    for done in (sets, pairs):
+        discard(done)
+    return out
+
+
+def _apart(live: DataFrame, homes: DataFrame | None) -> DataFrame:
+    """live with ``part``, of which no two nodes need comparing: those of one leader (node, home), else of a component."""
+    if homes is None:
+        return live.withColumn("part", F.col("comp"))
+    parts = live.join(homes, "node", "left").withColumn(
+        "part", F.when(F.col("home").isNotNull(), F.xxhash64("home")).otherwise(F.col("comp"))).drop("home")
+    split = parts.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
+    open_ = parts.join(split, "token")
+    enough = open_.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.first("k").alias("k")).where("c >= k").select("node")
+    return staged(open_.join(enough, "node"))
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b), a written table, of nodes whose whole sets reach the threshold; ``pairs`` is discarded."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
@@ -184,14 +255,19 @@ def _live(hits: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 
 def _star_pairs(live: DataFrame, turn: int) -> DataFrame:
-    """(a, b): nodes and their tokens' leaders of another component, where one leads most of a node's prefix."""
+    """(a, b): nodes and their tokens' leaders of another component, where one leads most of a node's prefix.
+
+    That is three quarters; for the leaders of more than FREQUENT nodes over half, so that few of a large group stay out.
+    """
     counts = live.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     central = live.join(counts, "token").groupBy("node").agg((F.sum("df") / F.first("e")).alias("score"))
     order = F.col("score") if turn % 2 == 0 else F.xxhash64(F.lit(turn), "node")
     lead = F.max(F.struct(order.alias("o"), F.col("node").alias("b"), F.col("comp").alias("bc")))
     leaders = live.join(central, "node").groupBy("token").agg(lead.alias("lead")).select("token", "lead.b", "lead.bc")
-    return live.join(leaders, "token").where("comp <> bc").groupBy(F.col("node").alias("a"), "b").agg(
-        F.count(F.lit(1)).alias("c"), F.first("e").alias("e")).where("4 * c >= 3 * e").select("a", "b")
+    led = live.join(leaders, "token").where("comp <> bc").groupBy(F.col("node").alias("a"), "b").agg(
+        F.count(F.lit(1)).alias("c"), F.first("e").alias("e")).where("2 * c > e")
+    great = led.where("4 * c >= 3 * e").groupBy("b").agg(F.count(F.lit(1)).alias("led")).where(F.col("led") > FREQUENT)
+    return led.join(great, "b", "left").where("4 * c >= 3 * e or led is not null").select("a", "b")
 
 
 def always_shared(percent: int) -> int:
@@ -201,29 +277,32 @@ def always_shared(percent: int) -> int:
 
 
 def _rare_pairs(live: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b): pairs by the rare tokens of the extended prefixes; (node, comp): the nodes that meet at frequent ones.
+    """(a, b): pairs by the rare tokens of the extended prefixes; (node, comp, part): the nodes that meet at frequent ones.
 
     The first of k tokens that a pair shares is among the first l - k + 1 of each node's l.
     """
     counts = live.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     ranked = live.join(counts, "token").groupBy("node").agg(
-        *[F.first(c).alias(c) for c in ("comp", "n", "k", "e")],
+        *[F.first(c).alias(c) for c in ("comp", "part", "n", "k", "e")],
         F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts")).withColumn("all", F.size("ts"))
-    kept = ["node", "comp", "n", "e", "all"]
+    kept = ["node", "comp", "part", "n", "e", "all"]
     first = F.slice(F.transform("ts", lambda t: t["token"]), F.lit(1), (F.col("all") - F.col("k") + 1).cast("int"))
     entries = staged(ranked.select(*kept, F.posexplode(first).alias("at", "key")))
-    keys = entries.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
-        F.sum("c").alias("g"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    keys = staged(keys.select("key", (F.col("g") > FREQUENT).alias("frequent")))
-    met = entries.join(keys.where("not frequent").select("key"), "key")
-    a = met.select("key", *[F.col(c).alias(f"a_{c}") for c in (*kept, "at")])
-    b = met.select("key", *[F.col(c).alias(f"b_{c}") for c in (*kept, "at")])
+    keys = entries.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    keys = keys.groupBy("key").agg(F.sum("c").alias("g"), F.max("c").alias("most"), F.max_by("part", "c").alias("main"),
+                                   F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("g > most and lo <> hi")
+    keys = staged(keys.select("key", "main", (F.least(F.col("g"), F.col("g") - F.col("most") + 1) > FREQUENT).alias("frequent")))
+    met = entries.join(keys.where("not frequent").select("key", "main"), "key")
+    a = met.where("part <> main").select("key", *[F.col(c).alias(f"a_{c}") for c in (*kept, "at")])
+    b = met.select("key", "main", *[F.col(c).alias(f"b_{c}") for c in (*kept, "at")])
     least = _needed("a_n", "b_n", percent) - F.greatest(F.col("a_n") - F.col("a_e"), F.col("b_n") - F.col("b_e"))
-    fits = ((F.col("a_comp") != F.col("b_comp")) & (F.col("a_node") < F.col("b_node"))
+    fits = ((F.col("a_comp") != F.col("b_comp")) & (F.col("a_part") != F.col("b_part"))
+            & ((F.col("a_node") < F.col("b_node")) | (F.col("b_part") == F.col("main")))
             & (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
             & (F.least(F.col("a_all") - F.col("a_at"), F.col("b_all") - F.col("b_at")) >= least))
-    pairs = staged(a.join(b, "key").where(fits).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct())
-    crowded = staged(entries.join(keys.where("frequent").select("key"), "key").select("node", "comp").distinct())
+    pairs = staged(a.join(b, "key").where(fits).select(
+        F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct())
+    crowded = staged(entries.join(keys.where("frequent").select("key"), "key").select("node", "comp", "part").distinct())
     for done in (entries, keys):
         discard(done)
     return pairs, crowded
@@ -236,21 +315,24 @@ def _needed(x: str, y: str, percent: int) -> Column:
 
 def _frequent_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): all pairs of whole sets (node, comp, n, tokens) of different components that can be like each other.
+    With a column ``part``, those of different parts alone.
 
     Tokens are in order of their number of nodes, those of one component alone in front. The smaller set of a pair
     (``probe`` false) shows itself under its size class, the larger one under each class that its partner may have,
     with just the tokens that can be the first shared ones for that class. Keys that would make too many pairs take
     one more token, up to k.
     """
-    held = sets.select("node", "comp", "n", F.explode("tokens").alias("token"))
-    counts = held.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(
-        "lo <> hi").select("token", "df")
+    if "part" not in sets.columns:
+        sets = sets.withColumn("part", F.col("comp"))
+    held = sets.select("node", "comp", "part", "n", F.explode("tokens").alias("token"))
+    counts = held.groupBy("token").agg(F.count(F.lit(1)).alias("df"), *[g(c).alias(g.__name__ + c) for c in ("comp", "part") for g in (F.min, F.max)]).where(
+        "mincomp <> maxcomp and minpart <> maxpart").select("token", "df")
     k = always_shared(percent)
     least = F.ceil(F.col("n") * percent / 100)
     ranked = staged(held.join(counts, "token").groupBy("node").agg(
-        F.first("comp").alias("comp"), F.first("n").alias("n"),
+        *[F.first(c).alias(c) for c in ("comp", "part", "n")],
         F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts")).where(F.size("ts") >= least).select(
-        "node", "comp", "n", (F.col("n") - F.size("ts")).alias("alone"), F.slice(
+        "node", "comp", "part", "n", (F.col("n") - F.size("ts")).alias("alone"), F.slice(
             F.transform("ts", lambda t: t["token"]), F.lit(1), (F.size("ts") - least + k).cast("int")).alias("tokens")))
     grade = lambda m: F.floor(F.log(m.cast("double")) * CLASSES).cast("int")
     own = ranked.select("*", F.lit(False).alias("probe"), grade(F.col("n")).alias("grade"), F.col("n").alias("m"))
@@ -258,29 +340,29 @@ def _frequent_pairs(sets: DataFrame, percent: int) -> DataFrame:
     other = other.withColumn("m", F.least(F.greatest(least, F.floor(F.exp(F.col("grade") / CLASSES))), F.col("n")))
     views = staged(own.unionByName(other).withColumn(
         "room", (F.col("n") - F.col("alone") - _needed("n", "m", percent)).cast("int")).where("room >= 0").drop("m"))
-    seen = ["node", "comp", "n", "alone", "probe", "grade", "room"]
+    seen = ["node", "comp", "part", "n", "alone", "probe", "grade", "room"]
     entries = views.select(*seen, F.posexplode(F.slice("tokens", F.lit(1), F.col("room") + 1)).alias("at", "token")).select(
         *seen, "at", F.xxhash64("grade", "token").alias("key"))
     found, spent = [], [ranked, views]
     for size in range(1, k + 1):
-        keys = entries.groupBy("key", "comp").agg(
+        keys = entries.groupBy("key", "part").agg(
             F.count_if(~F.col("probe")).alias("i"), F.count_if("probe").alias("p"),
             F.sum(F.col("room") + size - F.col("at")).alias("more")).groupBy("key").agg(
             (F.sum("i") * F.sum("p") - F.sum(F.col("i") * F.col("p"))).alias("made"),
-            F.max_by("comp", F.col("i") + F.col("p")).alias("main"), F.sum("more").alias("more")).where("made > 0")
+            F.max_by("part", F.col("i") + F.col("p")).alias("main"), F.sum("more").alias("more")).where("made > 0")
         grows = (F.col("made") > FREQUENT * FREQUENT) & (F.col("made") > GAIN * F.col("more")) & F.lit(size < k)
         keys = staged(keys.select("key", "main", grows.alias("grows")))
         spent.append(keys)
         met = entries.join(keys.where("not grows").select("key", "main"), "key")
         side = lambda x: met.where(F.col("probe") == (x == "b")).select(
-            "key", "main", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "comp", "n", "alone", "at")])
+            "key", "main", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "comp", "part", "n", "alone", "at")])
         a, b = side("a"), side("b").drop("main")
         ends = F.least(F.col("a_n") - F.col("a_alone") - F.col("a_at"), F.col("b_n") - F.col("b_alone") - F.col("b_at"))
-        fits = ((F.col("a_comp") != F.col("b_comp")) & (F.col("a_n") * 100 >= F.col("b_n") * percent)
+        fits = ((F.col("a_comp") != F.col("b_comp")) & (F.col("a_part") != F.col("b_part")) & (F.col("a_n") * 100 >= F.col("b_n") * percent)
                 & ((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_node") < F.col("b_node"))))
                 & (size - 1 + ends >= _needed("a_n", "b_n", percent)))
-        rest = side("b").where("b_comp <> main").drop("main")
-        both = a.where("a_comp <> main").join(b, "key").unionByName(a.where("a_comp = main").join(rest, "key"))
+        rest = side("b").where("b_part <> main").drop("main")
+        both = a.where("a_part <> main").join(b, "key").unionByName(a.where("a_part = main").join(rest, "key"))
         found.append(staged(both.where(fits).select(
             F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()))
         open_ = keys.where("grows")
@@ -314,9 +396,11 @@ def link(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     live = staged(hits.join(enough, "node"))
     for done in (heads, hits):
         discard(done)
-    edges = comps = None
+    edges = comps = near = homes = None
     for turn in range(STAR_ROUNDS):
-        found = _verified(staged(_star_pairs(live, turn)), nodes, docs, size, percent)
+        met = _compared(staged(_star_pairs(live, turn)), nodes, docs, size, percent)
+        close, found = met.where("diff is not null"), met.where("like").select("a", "b")
+        near = close if near is None else near.union(close.join(near.select("a"), "a", "left_anti").select(close.columns))
         links = found.count()
         if links:
             edges = found if edges is None else edges.union(found)
@@ -325,6 +409,18 @@ def link(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
             discard(left)
         if links * 4 <= live.select("node").distinct().count():
             break
+    if not near.isEmpty():
+        near = staged(near)
+        found = _diff_pairs(near, percent)
+        if not found.isEmpty():
+            edges = found if edges is None else edges.union(found)
+            comps, left = staged(components(edges)), live
+            live = _live(left, comps)
+            discard(left)
+        homes = near.select(F.col("a").alias("node"), F.col("b").alias("home"))
+        others = near.select(F.col("b").alias("node")).distinct().join(homes.select("node"), "node", "left_anti")
+        homes = homes.union(others.select("node", F.col("node").alias("home")))
+    live = _apart(live, homes)
     pairs, crowded = _rare_pairs(live, percent)
     rest = _verified(pairs, nodes, docs, size, percent)
     if not crowded.isEmpty():

@@ -102,6 +102,52 @@ def test_frequent_pairs_miss_no_like_pair(spark, monkeypatch, percent, frequent,
     assert all(rows[a][1] != rows[b][1] and a < b for a, b in got)
 
 
+def test_copies_that_differ_each_in_its_own_way_are_not_listed_in_pairs(spark, monkeypatch):
+    """Near copies of one text around the threshold: links as by brute force, pairs to verify in proportion to the copies."""
+    r, listed, like = random.Random(11), [], J._like
+    base = [f"w{r.randrange(400)}" for _ in range(150)]
+    texts = {0: " ".join(base)}
+    for d in range(1, 241):
+        words = list(base)
+        for at in r.sample(range(150), r.randrange(1, 6)):
+            words[at] = f"x{d}-{at}" if r.random() < 0.9 else f"y{at}"
+        texts[d] = " ".join(words)
+
+    def counted(pairs, sets, percent):
+        listed.append(pairs.count())
+        return like(pairs, sets, percent)
+
+    monkeypatch.setattr(J, "_like", counted)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in J.link(df).collect()}
+    assert got == expected(texts, 3, 90)
+    assert 20 < len({c for _, c in got.values()}) < 220
+    assert sum(listed) < 2 * len(texts)
+
+
+@pytest.mark.parametrize("percent", [90, 80])
+def test_diff_pairs_are_the_like_pairs_of_one_leader(spark, percent):
+    r = random.Random(percent)
+    rows, sets = [], {}
+    for home in (1000, 2000):
+        head = set(r.sample(range(10_000), 50 if home == 1000 else 23))
+        for node in range(home + 1, home + 150):
+            own = set(head) if r.random() < 0.7 or node < home + 3 else set(sets[r.randrange(home + 1, node)][1])
+            for _ in range(r.randrange(12)):
+                own.discard(r.choice(sorted(own)))
+                if r.random() < 0.8:
+                    own.add(r.randrange(20_000, 20_100) if r.random() < 0.3 else r.randrange(30_000, 90_000))
+            sets[node] = (home, own, 100 * len(own & head) >= percent * len(own | head))
+            rows.append((node, home, len(own), len(head), sets[node][2], sorted(own ^ head)))
+    near = spark.createDataFrame(rows, "a long, b long, n long, m long, like boolean, diff array<long>")
+    got = [(p.a, p.b) for p in J._diff_pairs(near, percent).collect()]
+    got = {(min(p), max(p)) for p in got}
+    pairs = {(a, b): sets[a][2] and sets[b][2] for a in sets for b in sets if a < b and sets[a][0] == sets[b][0]
+             and 100 * len(sets[a][1] & sets[b][1]) >= percent * len(sets[a][1] | sets[b][1])}
+    assert {p for p, both in pairs.items() if not both} <= got <= set(pairs)
+    assert len({p for p, both in pairs.items() if not both}) > 20
+
+
 def test_prefixes_share_enough():
     r = random.Random(5)
     for _ in range(300):
