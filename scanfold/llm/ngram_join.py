@@ -220,18 +220,6 @@ def _diff_pairs(near: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def _apart(live: DataFrame, homes: DataFrame | None) -> DataFrame:
-    """live with ``part``, of which no two nodes need comparing: those of one leader (node, home), else of a component."""
-    if homes is None:
-        return live.withColumn("part", F.col("comp"))
-    parts = live.join(homes, "node", "left").withColumn(
-        "part", F.when(F.col("home").isNotNull(), F.xxhash64("home")).otherwise(F.col("comp"))).drop("home")
-    split = parts.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
-    open_ = parts.join(split, "token")
-    enough = open_.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.first("k").alias("k")).where("c >= k").select("node")
-    return staged(open_.join(enough, "node"))
-
-
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b), a written table, of nodes whose whole sets reach the threshold; ``pairs`` is discarded."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
@@ -242,13 +230,17 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, pe
     return like
 
 
-def _live(hits: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """hits of tokens whose nodes lie in several components, for nodes with k such tokens."""
+def _live(hits: DataFrame, comps: DataFrame | None, homes: DataFrame) -> DataFrame:
+    """hits of tokens whose nodes lie in several components and parts, for nodes with k such tokens.
+
+    No two nodes of a part need comparing: those of one leader (node, home), else those of a component."""
     if comps is None:
         return hits
     comps = comps.select("node", F.col("comp").alias("joined"))
-    now = hits.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("joined", "node")).drop("joined")
-    split = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    now = hits.drop("comp", "part").join(comps.join(homes, "node", "full"), "node", "left").withColumn(
+        "comp", F.coalesce("joined", "node")).withColumn("part", F.coalesce("home", "comp")).drop("joined", "home")
+    split = now.groupBy("token").agg(*[g(c).alias(g.__name__ + c) for c in ("comp", "part") for g in (F.min, F.max)]).where(
+        "mincomp <> maxcomp and minpart <> maxpart").select("token")
     open_ = now.join(split, "token")
     enough = open_.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.first("k").alias("k")).where("c >= k").select("node")
     return staged(open_.join(enough, "node"))
@@ -391,36 +383,31 @@ def link(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     heads = staged(filled.where(F.col("n") >= smallest(percent)).select("node", "n", "k", "tokens").dropDuplicates(["node"]))
     index = heads.select("node", "n", "k", F.size("tokens").alias("e"), F.explode("tokens").alias("token"))
     shared = index.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
-    hits = staged(index.join(shared, "token").withColumn("comp", F.col("node")))
+    hits = staged(index.join(shared, "token").withColumns({"comp": F.col("node"), "part": F.col("node")}))
     enough = hits.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.first("k").alias("k")).where("c >= k").select("node")
     live = staged(hits.join(enough, "node"))
     for done in (heads, hits):
         discard(done)
-    edges = comps = near = homes = None
+    edges = comps = homes = None
     for turn in range(STAR_ROUNDS):
         met = _compared(staged(_star_pairs(live, turn)), nodes, docs, size, percent)
-        close, found = met.where("diff is not null"), met.where("like").select("a", "b")
-        near = close if near is None else near.union(close.join(near.select("a"), "a", "left_anti").select(close.columns))
-        links = found.count()
-        if links:
+        near = met.where("diff is not null")
+        if homes is not None:
+            near = near.join(homes.select(F.col("node").alias("a")), "a", "left_anti")
+        links = met.where("like").count()
+        found = staged(met.where("like").select("a", "b").union(_diff_pairs(near, percent)))
+        if not found.isEmpty():
+            own = near.select(F.col("a").alias("node"), F.xxhash64("b", F.lit(turn)).alias("home"))
+            heads = near.select(F.col("b").alias("node"), F.xxhash64("b", F.lit(turn)).alias("home")).distinct()
+            known = own if homes is None else homes.union(own)
+            homes = staged(known.union(heads.join(known.select("node"), "node", "left_anti")))
             edges = found if edges is None else edges.union(found)
             comps, left = staged(components(edges)), live
-            live = _live(left, comps)
+            live = _live(left, comps, homes)
             discard(left)
+        discard(met)
         if links * 4 <= live.select("node").distinct().count():
             break
-    if not near.isEmpty():
-        near = staged(near)
-        found = _diff_pairs(near, percent)
-        if not found.isEmpty():
-            edges = found if edges is None else edges.union(found)
-            comps, left = staged(components(edges)), live
-            live = _live(left, comps)
-            discard(left)
-        homes = near.select(F.col("a").alias("node"), F.col("b").alias("home"))
-        others = near.select(F.col("b").alias("node")).distinct().join(homes.select("node"), "node", "left_anti")
-        homes = homes.union(others.select("node", F.col("node").alias("home")))
-    live = _apart(live, homes)
     pairs, crowded = _rare_pairs(live, percent)
     rest = _verified(pairs, nodes, docs, size, percent)
     if not crowded.isEmpty():
