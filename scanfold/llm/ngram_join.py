@@ -13,10 +13,12 @@ extended by k - 1 tokens, so that a pair must share k of them:
    tokens the most nodes have, such as the text that copies were made from) and
    any. Verified pairs are links, and their
    components are found. Large groups of near copies collapse here at a cost in
-   proportion to their size. Rounds go on, with other leaders, while they link
-   a quarter of the nodes that are open.
-3. What is left: tokens whose nodes lie in several components, and nodes that
-   have k such tokens; no other node can have a link that is missing. The first
+   proportion to their size. Nodes of one leader that aren't both like it are
+   paired by what their sets differ in from the leader's; later steps compare
+   nodes of different leaders only. Rounds go on, with other leaders, while
+   leaders link a quarter of the nodes that are open.
+3. What is left: tokens whose nodes lie in several components and have several
+   leaders, and nodes that have k such tokens; no other node can have a link that is missing. The first
    of k tokens that a pair shares, in order of their number of nodes, is among
    the first l - k + 1 of each node's l. A rare token pairs its nodes at once.
 4. Nodes that meet at a frequent token are taken with their whole sets, in
